@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Offset = int | Column
@@ -54,3 +54,16 @@ def stream_id_text(data: Column, offset: Offset) -> Column:
 def flag(value: Column, mask: int) -> Column:
     """Whether any bit of `mask` is set."""
     return value.bitwiseAND(F.lit(mask)) != 0
+
+
+def computed_once(df: DataFrame, fields: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add columns that later filters and projections read but never recompute.
+
+    A filter on a decoded column would otherwise be pushed below the projection with the whole decoding expression
+    copied into it, once per reference. The one-element `inline` is the border such rewrites stop at; it stays
+    inside whole-stage codegen.
+    """
+    kept = [c for c in df.columns if c not in drop]
+    df = df.select(*kept, *[c.alias(f"_{n}") for n, c in fields.items()])
+    row = F.struct(*[F.col(f"_{n}").alias(n) for n in fields])
+    return df.select(*kept, F.inline(F.array(row)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.addresses import ip_text
 from tallywire.functions.arith import signed_wrap
-from tallywire.functions.binary import cut, eui, flag, hex_at, stream_id_text, tail, uint
+from tallywire.functions.binary import computed_once, cut, eui, flag, hex_at, stream_id_text, tail, uint
 from tallywire.functions.lookups import (
     CLOCK_ACCURACY,
     CLOCK_CLASSES,
@@ -33,17 +33,23 @@ def decode_l2(df: DataFrame, frame: str = "frame", max_tags: int = 4) -> DataFra
     """
     data = F.col(frame)
     size = F.length(data)
-    kinds = [uint(data, 12 + 4 * i, 2) for i in range(max_tags + 1)]
-    df = df.withColumns({f"_et{i}": k for i, k in enumerate(kinds)})
-    ethertype, offset = F.lit(None).cast("bigint"), F.lit(None).cast("int")
+    marks = [f"{t:04X}" for t in VLAN_TAGS]
+    tags = F.lit(None).cast("int")
     for i in reversed(range(max_tags + 1)):
-        whole = size >= 14 + 4 * i
-        tagged = F.col(f"_et{i}").isin(*VLAN_TAGS)
-        ethertype = F.when(whole & tagged, ethertype).when(whole, F.col(f"_et{i}"))
-        offset = F.when(whole & tagged, offset).when(whole, F.lit(14 + 4 * i))
-    df = df.withColumns({"ethertype": ethertype.cast("int"), "l2_offset": offset})
-    pcp = F.when(F.col("ethertype").isNotNull() & F.col("_et0").isin(*VLAN_TAGS), F.shiftright(uint(data, 14), 5))
-    return df.withColumns({"src_mac": eui(data, 6, 6), "pcp": pcp.cast("int")}).drop(*[f"_et{i}" for i in range(max_tags + 1)])
+        at = 12 + 4 * i
+        tags = F.when(size < at + 2, None).when(F.hex(cut(data, at, 2)).isin(marks), tags).otherwise(F.lit(i))
+    df = df.withColumn("_tags", tags)
+    tags = F.col("_tags")
+    return computed_once(
+        df,
+        {
+            "src_mac": eui(data, 6, 6),
+            "ethertype": uint(data, tags * 4 + 12, 2).cast("int"),
+            "pcp": F.when(tags > 0, F.shiftright(uint(data, 14), 5)).cast("int"),
+            "l2_offset": (tags * 4 + 14).cast("int"),
+        },
+        drop=("_tags",),
+    )
 
 
 def decode_ipv4(df: DataFrame, frame: str = "frame") -> DataFrame:
@@ -58,25 +64,29 @@ def decode_ipv4(df: DataFrame, frame: str = "frame") -> DataFrame:
             "_tos": uint(ip, 1),
             "_total": uint(ip, 2, 2),
             "_frag": uint(ip, 6, 2).bitwiseAND(0x1FFF),
-            "src_ip_num": uint(ip, 12, 4),
-            "dst_ip_num": uint(ip, 16, 4),
-            "ip_proto": uint(ip, 9).cast("int"),
-            "ttl": uint(ip, 8).cast("int"),
+            "_src": uint(ip, 12, 4),
+            "_dst": uint(ip, 16, 4),
         }
     )
     start = F.col("l2_offset") + F.col("_ihl")
     stop = F.least(F.length(data), start + F.greatest(F.col("_total") - F.col("_ihl"), F.lit(0)))
-    return df.withColumns(
+    return computed_once(
+        df,
         {
-            "src_ip": ip_text(F.col("src_ip_num")),
-            "dst_ip": ip_text(F.col("dst_ip_num")),
+            "src_ip_num": F.col("_src"),
+            "dst_ip_num": F.col("_dst"),
+            "src_ip": ip_text(F.col("_src")),
+            "dst_ip": ip_text(F.col("_dst")),
+            "ip_proto": uint(F.col("_ip"), 9).cast("int"),
+            "ttl": uint(F.col("_ip"), 8).cast("int"),
             "dscp": F.shiftright(F.col("_tos"), 2).cast("int"),
             "ecn": F.col("_tos").bitwiseAND(3).cast("int"),
             "first_fragment": F.col("_frag") == 0,
             "ip_payload_start": start.cast("int"),
             "ip_payload_end": stop.cast("int"),
-        }
-    ).drop("_ip", "_ihl", "_tos", "_total", "_frag")
+        },
+        drop=("_ip", "_ihl", "_tos", "_total", "_frag", "_src", "_dst"),
+    )
 
 
 def decode_l4(df: DataFrame, frame: str = "frame") -> DataFrame:
@@ -98,7 +108,8 @@ def decode_l4(df: DataFrame, frame: str = "frame") -> DataFrame:
         .when(F.col("ip_proto") == PROTO_IGMP, cut(data, start, room))
         .when(F.col("ethertype") != ETHERTYPE_IPV4, tail(data, F.col("l2_offset")))
     )
-    df = df.withColumns(
+    return computed_once(
+        df.withColumn("_payload", payload),
         {
             "src_port": uint(l4, 0, 2).cast("int"),
             "dst_port": uint(l4, 2, 2).cast("int"),
@@ -107,10 +118,11 @@ def decode_l4(df: DataFrame, frame: str = "frame") -> DataFrame:
             "fin": flag(flags, 0x01),
             "syn": flag(flags, 0x02),
             "rst": flag(flags, 0x04),
-            "payload": payload,
-        }
+            "payload": F.col("_payload"),
+            "payload_len": F.length("_payload"),
+        },
+        drop=("_l4", "_payload"),
     )
-    return df.withColumn("payload_len", F.length("payload")).drop("_l4")
 
 
 def decode_rtp(df: DataFrame, payload: str = "payload", only: Column | None = None) -> DataFrame:
@@ -120,14 +132,16 @@ def decode_rtp(df: DataFrame, payload: str = "payload", only: Column | None = No
     gate = gate if only is None else gate & only
     df = df.withColumn("_rtp", F.when(gate, cut(p, 0, 12)))
     r = F.col("_rtp")
-    return df.withColumns(
+    return computed_once(
+        df,
         {
             "rtp_pt": uint(r, 1).bitwiseAND(0x7F).cast("int"),
             "rtp_seq": uint(r, 2, 2).cast("int"),
             "rtp_ts": uint(r, 4, 4),
             "rtp_ssrc": uint(r, 8, 4),
-        }
-    ).drop("_rtp")
+        },
+        drop=("_rtp",),
+    )
 
 
 def decode_packets(frames: DataFrame) -> DataFrame:
