@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.addresses import is_aes67_group, is_dante_group, is_st2110_group
 from tallywire.functions.arith import as_col
+from tallywire.functions.binary import computed_once
 from tallywire.functions.lookups import ALLOWED_DSCP
 
 Rule = tuple[str, Column]
@@ -30,11 +31,15 @@ HARDWARE_DESTINATION = [(61440, 61951)]
 ETHERTYPES = [("msrp", 0x22EA), ("lldp", 0x88CC), ("flow_control", 0x8808), ("mvrp", 0x88F5), ("avtp", 0x22F0), ("gptp", 0x88F7)]
 
 
+DROPPED = "-"
+
+
 def first_match(rules: Sequence[Rule], otherwise: str | None = None) -> Column:
     """One CASE chain out of ordered rules: the first that holds names the row."""
     out = None
     for name, cond in rules:
-        out = F.when(cond, name) if out is None else out.when(cond, name)
+        value = F.lit(None if name == DROPPED else name)
+        out = F.when(cond, value) if out is None else out.when(cond, value)
     return out.otherwise(F.lit(otherwise))
 
 
@@ -102,7 +107,7 @@ def packet_rules(
 ) -> list[Rule]:
     """The rule list for `first_match`. Optional columns say what the payload turned out to be.
 
-    Names starting with "-" mark rows that are recognised and dropped.
+    Rules named DROPPED recognise rows that get no name.
     """
     et, proto = as_col(ethertype), as_col(ip_proto)
     src, dst, to, pt = as_col(src_port), as_col(dst_port), as_col(dst_ip), as_col(payload_type)
@@ -122,23 +127,23 @@ def packet_rules(
         ("adp", (et == l2["avtp"]) & is_entity),
         ("avtp", et == l2["avtp"]),
         ("ptp", (et == l2["gptp"]) & is_ptp),
-        ("-", (et != 0x0800) | et.isNull()),
+        (DROPPED, (et != 0x0800) | et.isNull()),
         ("igmp", proto == 2),
         ("tcp", (proto == 6) & src.isNotNull()),
-        ("-", (proto != 17) | proto.isNull() | src.isNull()),
+        (DROPPED, (proto != 17) | proto.isNull() | src.isNull()),
         ("sap", (dst == SAP_PORT) & is_sap),
-        ("-", dst == SAP_PORT),
+        (DROPPED, dst == SAP_PORT),
     ]
     if mdns_kind is not None:
         rules += [("dante_discovery", mdns & (mdns_kind == "dante")), ("ndi_discovery", mdns & (mdns_kind == "ndi"))]
     return rules + [
-        ("-", mdns),
+        (DROPPED, mdns),
         ("dante_conmon", dst.between(*CONMON_PORTS) & is_conmon),
         ("dante_control", src.isin(*CONTROL_PORTS) | dst.isin(*CONTROL_PORTS)),
         ("dante_control_plane", control_plane_class(src, dst).isNotNull()),
         ("ptp", (src.isin(*PTP_PORTS) | dst.isin(*PTP_PORTS)) & is_ptp),
         ("dante_audio", (is_dante_group(to) & (dst == ATP_PORT)) | dst.between(*ATP_PORTS) | src.between(*ATP_PORTS)),
-        ("-", ~is_rtp),
+        (DROPPED, ~is_rtp),
         ("dante_audio", likely_dante_audio(src, dst, pt)),
         ("dante_audio", is_dante_group(to) & dst.between(*AUDIO_PORTS) & (dst % 2 == 0)),
         ("aes67", is_aes67_group(to)),
@@ -148,8 +153,7 @@ def packet_rules(
 
 def classify(df: DataFrame, rules: Sequence[Rule], name: str = "kind") -> DataFrame:
     """Add the name of the first rule that holds; null for dropped and unmatched rows."""
-    hit = first_match(rules)
-    return df.withColumn(name, hit).withColumn(name, F.when(F.col(name) != "-", F.col(name)))
+    return computed_once(df, {name: first_match(rules)})
 
 
 def protocol_label(kind: Column | str = "kind", payload_type: Column | str = "rtp_pt", dst_port: Column | str = "dst_port") -> Column:

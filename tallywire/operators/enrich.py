@@ -15,6 +15,7 @@ from tallywire.functions.arith import MICROS, micros
 from tallywire.functions.lookups import (
     LISTENER_STATES,
     RESERVATION_FAILURES,
+    STREAM_DEFAULTS,
     UNKNOWN_FAILURE,
     case_of,
     literal_table,
@@ -342,3 +343,15 @@ def attribute_sender(segments: DataFrame, sources: DataFrame) -> DataFrame:
 def exclude_local(df: DataFrame, local: DataFrame, key: str = "src_ip") -> DataFrame:
     """Drop sightings of the monitor's own addresses."""
     return df.join(local.select(key).distinct(), key, "left_anti")
+
+
+def stream_defaults(streams: DataFrame, protocol: str = "protocol") -> DataFrame:
+    """Fill unknown clock rate, packet time and media type of a stream from its protocol."""
+    dim = literal_table(
+        streams.sparkSession, STREAM_DEFAULTS, f"{protocol} string, _clock double, _ptime double, _media string"
+    )
+    out = streams.join(F.broadcast(dim), protocol, "left")
+    have = set(streams.columns)
+    fills = {"clock_hz": "_clock", "ptime_ms": "_ptime", "media_type": "_media"}
+    values = {n: F.coalesce(F.col(n), F.col(d)) if n in have else F.col(d) for n, d in fills.items()}
+    return out.withColumns(values).drop(*fills.values())
