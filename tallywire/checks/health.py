@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tallywire.checks.base import CHUNK, DAY, HOUR, ORDER, check, events, table, us
 from tallywire.checks.ordered import wrap_sql
+from tallywire.checks.windowed import counters
 from tallywire.operators.enrich import device_registry
 from tallywire.operators.windows import densify, distinct_per_group
 from tallywire.plans.health import health_report, stream_windows, with_jitter, with_silence
+from tallywire.plans.report import window_report
 from tallywire.plans.scoring import (
     Limits,
     device_list,
@@ -283,3 +285,28 @@ def _device_list(spark, sf_dir):
         device_registry([c]), s.where(F.col("s_acctbal") < 3000), s.where(F.col("s_acctbal") > 8000), flows
     )
     return out.select("src_ip", "last_seen", "state", "tx_flows")
+
+
+@check(
+    "window_report",
+    _STREAMS
+    + f""",
+c AS (SELECT {H} AS w, count(*) AS packets, sum(event_id % 1500 + 64) AS bytes FROM events GROUP BY 1),
+l AS (SELECT {H} AS w, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2),
+t AS (SELECT w, sum(n) AS n, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS labels FROM l GROUP BY 1)
+SELECT CAST(h.w AS BIGINT) AS window_start, CAST(h.score AS DOUBLE) AS score, CAST(c.packets AS BIGINT) AS packets, CAST(c.bytes AS BIGINT) AS bytes,
+  CAST(coalesce(t.n, 0) AS BIGINT) AS n_streams, t.labels FROM h LEFT JOIN c ON h.w = c.w LEFT JOIN t ON h.w = t.w""",
+)
+def _window_report(spark, sf_dir):
+    capture = F.lit("c").alias("capture_id")
+    counts = counters(spark, sf_dir)
+    labels = distinct_per_group(
+        events(spark, sf_dir).select(capture, "window_start", F.col("event_type").alias("protocol"), "user_id"),
+        ["capture_id", "window_start", "protocol"],
+        ["user_id"],
+    )
+    out = window_report(counts, report(spark, sf_dir).withColumn("capture_id", F.lit("c")), labels)
+    shown = F.transform("streams", lambda s: F.concat(s["protocol"], F.lit("="), s["streams"].cast("string")))
+    return out.select(
+        us("window_start"), "score", "traffic.packets", "traffic.bytes", "n_streams", F.array_join(shown, ",").alias("labels")
+    )
