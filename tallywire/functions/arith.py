@@ -42,7 +42,8 @@ def plus_seconds(ts: Column | str, seconds: float) -> Column:
 
 def block(counter: Column | str, size: int) -> Column:
     """Number of the fixed-size run of `counter` values a row falls in."""
-    return F.floor(as_col(counter) / F.lit(size)).cast("bigint")
+    value, whole = as_col(counter).cast("bigint"), F.lit(size).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, whole), whole)
 
 
 def percent(part: Column, whole: Column) -> Column:

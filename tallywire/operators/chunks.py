@@ -53,11 +53,11 @@ def fold_pairs(
     names = list(fields)
     rows = df.select(
         *[F.col(c) for c in dict.fromkeys(key + chunk)],
-        F.struct(*[as_col(c) for c in order]).alias("_order"),
+        *[F.col(c).alias(f"_o_{i}") for i, c in enumerate(order)],
         *[as_col(fields[n]).alias(f"_c_{n}") for n in names],
         *[c.alias(f"_t_{n}") for n, (_, c) in totals.items()],
     )
-    w = Window.partitionBy(*key, *chunk).orderBy("_order")
+    w = Window.partitionBy(*key, *chunk).orderBy(*[f"_o_{i}" for i in range(len(order))])
     rows = rows.select(
         "*",
         *[F.lag(f"_c_{n}").over(w).alias(f"_p_{n}") for n in names],
@@ -91,21 +91,29 @@ def fold_pairs(
 def _carry_in(
     df: DataFrame, key: list[str], order: list[str], chunk: list[str], fields: Mapping[str, str], known: bool
 ) -> DataFrame:
-    """Per (key, chunk): each field of the last row (or the last non-null value) before the chunk."""
+    """Per (key, chunk): each field of the last row (or the last non-null value) before the chunk.
+
+    Partial aggregation leaves one row per key, chunk and input split to shuffle, never the rows themselves.
+    """
     at = F.struct(*order)
-    if known:
-        last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_l_{n}") for n, c in fields.items()]
-    else:
-        last = [F.max_by(F.struct(*fields.values()), at).alias("_last")]
-    per_chunk = df.groupBy(*key, *chunk).agg(*last)
-    w = Window.partitionBy(*key).orderBy(*chunk)
-    if known:
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-        out = [F.last(f"_l_{n}", ignorenulls=True).over(w).alias(f"_in_{n}") for n in fields]
-    else:
-        prev = F.lag("_last").over(w)
-        out = [prev[c].alias(f"_in_{n}") for n, c in fields.items()]
-    return per_chunk.select(*key, *chunk, *out)
+    if not known:
+        across = Window.partitionBy(*key).orderBy(*chunk)
+        last = df.groupBy(*key, *chunk).agg(F.max_by(F.struct(*fields.values()), at).alias("_last"))
+        prev = F.lag("_last").over(across)
+        return last.select(*key, *chunk, *[prev[c].alias(f"_in_{n}") for n, c in fields.items()])
+    # Only rows that carry a value need the ordered aggregate; all others just name their chunk. The chunk's own
+    # values sort after its name, so they count for later chunks only.
+    some = F.lit(False)
+    for c in fields.values():
+        some = some | F.col(c).isNotNull()
+    last = df.where(some).groupBy(*key, *chunk).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_l_{n}") for n, c in fields.items()]
+    )
+    slots = df.select(*key, *chunk).distinct().withColumn("_side", F.lit(0))
+    both = slots.unionByName(last.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    past = Window.partitionBy(*key).orderBy(*chunk, "_side").rowsBetween(Window.unboundedPreceding, -1)
+    known_before = [F.last(f"_l_{n}", ignorenulls=True).over(past).alias(f"_in_{n}") for n in fields]
+    return both.select(*key, *chunk, "_side", *known_before).where(F.col("_side") == 0).drop("_side")
 
 
 def with_previous(
@@ -176,15 +184,24 @@ def latest_n(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Seq
 
 
 def split_large_keys(
-    df: DataFrame, key: Sequence[str], fine: Column, none: Column, name: str = "chunk", min_rows: int = 2_000_000
+    df: DataFrame,
+    key: Sequence[str],
+    fine: Column,
+    none: Column,
+    name: str = "chunk",
+    min_rows: int = 2_000_000,
+    buckets: int = 1 << 16,
 ) -> DataFrame:
-    """Add a chunk column: `fine` for keys with at least `min_rows` rows, the constant `none` for the rest.
+    """Add a chunk column: `fine` for keys that may hold many rows, the constant `none` for the rest.
 
-    Small keys then keep a single chunk, and only large ones are cut. At most rows/min_rows keys qualify,
-    which bounds the broadcast side.
+    Keys are counted by hash bucket in one narrow pass, so at most `buckets` rows are shuffled and broadcast. A
+    bucket is large from `min_rows` rows on if it also holds four times the mean; keys that share a bucket with a
+    large one are cut as well, which changes the work but never the result. What stays uncut is below
+    max(min_rows, 4/buckets of all rows).
     """
-    key = list(key)
-    large = df.groupBy(*key).count().where(F.col("count") >= min_rows).select(*key, F.lit(True).alias("_large"))
-    return df.join(F.broadcast(large), key, "left").select(
-        *df.columns, F.when(F.col("_large"), fine).otherwise(none).alias(name)
-    )
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    counts = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    mean = counts.select(F.sum("_n") / float(buckets)).scalar()
+    large = counts.where((F.col("_n") >= min_rows) & (F.col("_n") >= mean * 4)).select("_bucket", F.lit(True).alias("_large"))
+    marked = df.withColumn("_bucket", bucket).join(F.broadcast(large), "_bucket", "left")
+    return marked.select(*df.columns, F.when(F.col("_large"), fine).otherwise(none).alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywire.functions.arith import as_col, micros, period_start, signed_wrap
+from tallywire.functions.arith import as_col, block, micros, period_start, signed_wrap
 from tallywire.functions.lookups import KNOWN_STEPS, literal_table
 from tallywire.operators.chunks import (
     Step,
@@ -75,12 +75,12 @@ def jitter_ewma(
     base = df.select(
         *key,
         *chunk,
-        F.struct(*order).alias("_order"),
+        *[F.col(c).alias(f"_o_{i}") for i, c in enumerate(order)],
         micros(ts).alias("_a"),
         F.col(rtp_ts).cast("bigint").alias("_m"),
         as_col(clock_hz).cast("double").alias("_hz"),
     )
-    down = Window.partitionBy(*key, *chunk).orderBy(F.col("_order").desc())
+    down = Window.partitionBy(*key, *chunk).orderBy(*[F.col(f"_o_{i}").desc() for i in range(len(order))])
     rows = base.select(
         "*",
         (F.row_number().over(down) - 1).alias("_after"),
@@ -148,7 +148,7 @@ def infer_step(
     step = signed_wrap(F.col(value).cast("bigint") - F.col("_pv").cast("bigint"), bits)
     positive = prev.select(*key, *chunk, *order, step.alias("step"), F.lit(1).alias("_one")).where(F.col("step") > 0)
     ranked = with_running_sum(positive, key, order, chunk, {"_nth": "_one"})
-    ranked = ranked.withColumn("batch", F.floor((F.col("_nth") - 1) / batch).cast("bigint"))
+    ranked = ranked.withColumn("batch", block(F.col("_nth") - 1, batch))
     counts = ranked.groupBy(*key, "batch", "step").agg(F.count(F.lit(1)).alias("_n"))
     modes = counts.groupBy(*key, "batch").agg(
         F.max_by("step", F.struct(F.col("_n"), -F.col("step"))).alias("step"), F.sum("_n").alias("_size")
