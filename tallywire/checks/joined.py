@@ -31,6 +31,8 @@ from tallywire.operators.enrich import (
 )
 
 H = "epoch_us(ts) // 3600000000 * 3600000000"
+Q = "epoch_us(ts) // 900000000 * 900000000"
+QUARTER = 900
 
 
 @check(
@@ -269,7 +271,7 @@ def family():
 
 
 def _correlated(spark, sf_dir):
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, QUARTER)
     ptp = ev.where(F.col("event_type") == "error").select(
         "window_start", (F.col("user_id") % 2 + 1).alias("version"), (F.col("value") > 30).alias("lost")
     )
@@ -278,8 +280,8 @@ def _correlated(spark, sf_dir):
 
 
 _CORR = f"""
-l AS (SELECT {H} AS w, user_id % 2 + 1 AS version FROM events WHERE event_type = 'error' AND value > 30),
-s AS (SELECT {H} AS w, {_FAMILY} AS family FROM events WHERE event_type = 'view' AND event_id % 3 > 0),
+l AS (SELECT {Q} AS w, user_id % 2 + 1 AS version FROM events WHERE event_type = 'error' AND value > 30),
+s AS (SELECT {Q} AS w, {_FAMILY} AS family FROM events WHERE event_type = 'view' AND event_id % 3 > 0),
 x AS (SELECT DISTINCT l.w FROM l JOIN s ON l.w = s.w AND ((l.version = 1 AND s.family = 'Dante')
       OR (l.version = 2 AND s.family IN ('AES67', 'ST2110'))))"""
 
@@ -292,10 +294,10 @@ def _correlated_windows(spark, sf_dir):
 @check(
     "suppressed_singles",
     f"""WITH {_CORR}
-SELECT event_id FROM events WHERE event_type = 'error' AND value > 30 AND {H} NOT IN (SELECT w FROM x)""",
+SELECT event_id FROM events WHERE event_type = 'error' AND value > 30 AND {Q} NOT IN (SELECT w FROM x)""",
 )
 def _suppressed_singles(spark, sf_dir):
-    alerts = events(spark, sf_dir).where((F.col("event_type") == "error") & (F.col("value") > 30))
+    alerts = events(spark, sf_dir, QUARTER).where((F.col("event_type") == "error") & (F.col("value") > 30))
     return uncorrelated(alerts, _correlated(spark, sf_dir)).select("event_id")
 
 
@@ -359,13 +361,13 @@ def _status_join(spark, sf_dir):
 @check(
     "announced_no_flow",
     """SELECT c_nationkey AS src_ip, CAST(min(c_custkey) AS BIGINT) AS first_seen FROM customer
-WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000) GROUP BY 1""",
+WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9700) GROUP BY 1""",
 )
 def _announced_no_flow(spark, sf_dir):
     devices = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("src_ip"), F.col("c_custkey").alias("first_seen")
     )
-    flows = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 3000)
+    flows = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 9700)
     return announced_no_flow(devices, flows.select(F.col("s_nationkey").alias("src_ip")), window="first_seen")
 
 

