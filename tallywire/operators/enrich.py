@@ -59,6 +59,7 @@ def announce_enrich(
     ts: str = "ts",
     order: Sequence[str] = ("ts", "frame_no"),
     chunk: Sequence[str] = ("window_start",),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Apply announced media fields to the packets of a stream from the announcement on.
 
@@ -77,14 +78,14 @@ def announce_enrich(
     stamped = media.select(
         F.col("port").alias(port),
         F.col("connection_ip").alias(ip),
-        *dict.fromkeys([*order, *chunk]),
+        *dict.fromkeys([*by, *order, *chunk]),
         *[F.when(v.isNotNull(), F.struct(at.alias("at"), v.alias("v"))).alias(n) for n, v in values.items()],
         F.struct(at.alias("at"), F.col("session_name").alias("v")).alias("session_name"),
     )
     exact, loose = stamped.where(F.col(ip).isNotNull()), stamped.where(F.col(ip).isNull()).drop(ip)
     names = [*values, "session_name"]
     out = packets
-    for side, rows, key in (("x", exact, [port, ip]), ("y", loose, [port])):
+    for side, rows, key in (("x", exact, [*by, port, ip]), ("y", loose, [*by, port])):
         first = rows.groupBy(*key).agg(F.min_by("session_name", at).alias("_first"))
         rows = rows.join(first, key).withColumn(
             "session_name", F.when(F.col("session_name.at") == F.col("_first.at"), F.col("session_name"))
@@ -346,7 +347,10 @@ def exclude_local(df: DataFrame, local: DataFrame, key: str = "src_ip") -> DataF
 
 
 def stream_defaults(streams: DataFrame, protocol: str = "protocol") -> DataFrame:
-    """Fill unknown clock rate, packet time and media type of a stream from its protocol."""
+    """Fill unknown clock rate, packet time and media type of a stream from its protocol.
+
+    A default clock is not confirmed, except the fixed one of ST 2110 video.
+    """
     dim = literal_table(
         streams.sparkSession, STREAM_DEFAULTS, f"{protocol} string, _clock double, _ptime double, _media string"
     )
@@ -354,4 +358,6 @@ def stream_defaults(streams: DataFrame, protocol: str = "protocol") -> DataFrame
     have = set(streams.columns)
     fills = {"clock_hz": "_clock", "ptime_ms": "_ptime", "media_type": "_media"}
     values = {n: F.coalesce(F.col(n), F.col(d)) if n in have else F.col(d) for n, d in fills.items()}
+    fixed = F.coalesce(F.col(protocol) == "2110-20", F.lit(False))
+    values["clock_confirmed"] = F.coalesce("clock_confirmed", F.lit(False)) | fixed if "clock_confirmed" in have else fixed
     return out.withColumns(values).drop(*fills.values())

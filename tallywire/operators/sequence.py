@@ -118,15 +118,18 @@ def tcp_retransmissions(
     syn: Column | None = None,
     bits: int = 32,
     chunk: Sequence[str] = ("window_start",),
+    keep: Sequence[str] = (),
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Rows behind the highest sequence number so far, not SYN, from the third row of the connection on.
 
     Sequence numbers are unwrapped by summing signed steps. A chunk needs three values from the past: its offset,
-    the highest number reached and the rows seen, all of which come from one small row per chunk.
+    the highest number reached and the rows seen, all of which come from one small row per chunk. `keep` names chunk
+    columns of the result, `totals` further sums.
     """
     key, order, chunk = list(key), list(order), list(chunk)
     syn = F.lit(False) if syn is None else F.coalesce(syn, F.lit(False))
-    base = df.select(*key, *chunk, *order, F.col(seq).cast("bigint").alias("_seq"), syn.alias("_syn"))
+    base = df.select(*key, *chunk, *order, F.col(seq).cast("bigint").alias("_seq"), syn.alias("_syn"), *[c.cast("bigint").alias(f"_t_{n}") for n, c in (totals or {}).items()])
     w = Window.partitionBy(*key, *chunk).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -158,8 +161,10 @@ def tcp_retransmissions(
     placed = rows.join(per_chunk, [*key, *chunk], "left")
     top = F.greatest(F.col("_reached"), F.col("_begin") + F.col("_high"))
     behind = (F.col("_begin") + F.col("_rel") < top) & ~F.col("_syn") & (F.col("_seen") + F.col("_rn") > 2)
-    return placed.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("packets"), F.count_if(behind).cast("bigint").alias("retransmissions")
+    return placed.groupBy(*key, *keep).agg(
+        F.count(F.lit(1)).alias("packets"),
+        F.count_if(behind).cast("bigint").alias("retransmissions"),
+        *[F.sum(f"_t_{n}").alias(n) for n in totals or {}],
     )
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywire.plans.health import health_report, stream_windows, with_jitter, with_silence
+from tallywire.plans.network import network_report
 from tallywire.plans.packets import STREAM_KEY, packets_table, selected_packets, stream_packets
 from tallywire.plans.scoring import session_verdict
 from tallywire.plans.report import window_report, write_window_report
@@ -155,3 +156,26 @@ def test_report_sink(spark, score, tmp_path):
 def test_decode_is_one_narrow_job_without_python(spark):
     plan = packets_table(frames(spark, [(0, CASES["tcp"])]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_whole_network_report(spark):
+    """A lossy AES67 stream without a querier, a clock that is lost, a Dante device, and an energy-saving port."""
+    lldp = bytes.fromhex("0207040011223344550403053731") + bytes.fromhex("fe0e00120f050011001e000000000000") + b"\0\0"
+    lldp = ether(0x88CC, lldp)
+    announce = bytes([0x0B, 2]) + bytes(18) + b"\1" * 8 + bytes(25) + b"\7" * 8 + bytes(3)
+    clock = ether(0x0800, ipv4(17, udp(320, 320, announce), dst="224.0.1.129"))
+    items = [(0.0, clock), (0.1, CASES["sap"]), (0.2, CASES["dante_discovery"]), (0.3, lldp)]
+    for i in range(200):
+        seq = i + (3 if i >= 150 else 0)
+        items.append((0.5 + i * 0.1, ether(0x0800, ipv4(17, udp(7000, 5004, rtp(seq, seq * 48, 1))))))
+    net = network_report(frames(spark, sorted(items, key=lambda x: x[0])), ["audio"])
+    got = {r["window_start"].second: (r["score"], r["summary"]) for r in net.report.collect()}
+    first, last = got[0], got[15]
+    gaps = ["signal gaps: 1"]
+    assert first == (100 - 10 - 10 - 15, [*gaps, "querier absent: 1", "EEE active: 1"])
+    loss = 100 * 3 / 53
+    assert last[1] == ["packet loss: 1", *gaps, "querier absent: 1", "clock source lost: 1", "EEE active: 1"]
+    assert round(last[0], 6) == round(100 - loss - 10 - 10 - 25 - 15, 6)
+    assert [(r["code"], r["window_start"].second) for r in net.alerts.collect()] == [("clock_lost", 5)]
+    assert [(r["src_ip"], r["name"]) for r in net.devices.collect()] == [("10.0.0.1", "desk")]
+    assert {r["clock_confirmed"] for r in net.streams.collect()} == {True}
