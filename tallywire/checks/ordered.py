@@ -17,6 +17,7 @@ from tallywire.operators.timing import (
     latest_bitrate,
     presence_stats,
     rate_buckets,
+    tcp_payload_estimate,
     timing_regularity,
 )
 
@@ -259,7 +260,7 @@ WITH b AS (SELECT user_id, epoch_us(ts) // 3600000000 AS h, sum(greatest(event_i
 SELECT user_id, CAST(floor(arg_max(bytes, h) * 8 / 3600.0) AS BIGINT) AS bitrate_bps FROM b GROUP BY user_id""",
 )
 def _latest_bitrate(spark, sf_dir):
-    size = F.greatest(F.col("event_id") % 1500 - 40, F.lit(0))
+    size = tcp_payload_estimate(F.col("event_id") % 1500)
     return latest_bitrate(rate_buckets(events(spark, sf_dir), ["user_id"], "ts", size, HOUR), ["user_id"])
 
 

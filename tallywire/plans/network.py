@@ -45,7 +45,7 @@ ALL_SYSTEMS = "224.0.0.1"
 
 @dataclass(frozen=True)
 class NetworkReport:
-    """Lazy tables of one run."""
+    """Tables of one run; the stages they read are stored."""
 
     packets: DataFrame
     streams: DataFrame
@@ -96,25 +96,30 @@ def _factor(df: DataFrame, code: Column | str, n: Column, scope: Column | None =
     return df.select(*GROUP, name.alias("code"), where.alias("scope"), n.cast("bigint").alias("n"))
 
 
-def clock_windows(ptp: DataFrame, windows: DataFrame, seconds: float, until: Column) -> tuple[DataFrame, DataFrame]:
-    """State of every clock domain at each Window end from its first message on, and the events behind it."""
-    key = ["capture_id", "domain", "version"]
-    events = clock_state(ptp, key, ORDER, chunk=CHUNK, seconds=seconds, until=until)
+def with_event_window(events: DataFrame, seconds: float) -> DataFrame:
+    """Add the Window of a clock event. A loss is found at a Window end and belongs to the Window that ends there."""
     length = F.lit(period_micros(seconds)).cast("bigint")
-    # A loss is found at a Window end and belongs to the Window that ends there.
     us = micros("ts") - F.when(F.col("event") == "lost", 1).otherwise(0)
-    events = events.withColumn("window_start", F.timestamp_micros(us - F.pmod(us, length)))
-    per = events.groupBy(*key, "window_start").agg(
+    return events.withColumn("window_start", F.timestamp_micros(us - F.pmod(us, length)))
+
+
+def clock_windows(ptp: DataFrame, events: DataFrame, windows: DataFrame, seconds: float) -> DataFrame:
+    """State and number of changes of every clock domain at each Window end from its first message on."""
+    key = ["capture_id", "domain", "version"]
+    per = with_event_window(events, seconds).groupBy(*key, "window_start").agg(
         F.max_by("event", F.struct("ts", F.col("event") == "lost")).alias("_state"),
         F.count_if(F.col("event") == "changed").alias("_changes"),
     )
     first = ptp.groupBy(*key).agg(F.min("window_start").alias("_first"))
-    grid = first.join(windows.select(*GROUP), BY).where(F.col("window_start") >= F.col("_first")).drop("_first")
+    last = windows.groupBy(*BY).agg(F.max("window_start").alias("_last"))
+    each = F.sequence(micros("_first"), micros("_last"), F.lit(period_micros(seconds)).cast("bigint"))
+    grid = first.join(last, BY).select(*key, F.explode(each).alias("_us"))
+    grid = grid.withColumn("window_start", F.timestamp_micros("_us")).drop("_us")
     w = Window.partitionBy(*key).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     out = grid.join(per, [*key, "window_start"], "left").withColumns(
         {"state": F.last("_state", ignorenulls=True).over(w), "changes": F.sum(F.coalesce("_changes", F.lit(0))).over(w)}
     )
-    return out.drop("_state", "_changes"), events
+    return out.drop("_state", "_changes")
 
 
 def connection_windows(tcp: DataFrame, seconds: float, until: Column) -> DataFrame:
@@ -144,16 +149,28 @@ def reservation_windows(avtp: DataFrame, msrp: DataFrame) -> DataFrame:
     )
 
 
+def stage(df: DataFrame, root: str, name: str, partition: Sequence[str] = ()) -> DataFrame:
+    """Store an intermediate table under `root` and read it back: computed once, and safe when executors are lost."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition) if partition else writer).parquet(f"{root}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+
+
 def network_report(
-    frames: DataFrame, choices: Sequence[str] = ("all",), seconds: float = WINDOW_SECONDS, limits: Limits = Limits()
+    frames: DataFrame, root: str, choices: Sequence[str] = ("all",), seconds: float = WINDOW_SECONDS, limits: Limits = Limits()
 ) -> NetworkReport:
-    """Every section of the report for the chosen protocols, one set of rows per capture."""
+    """Every section of the report for the chosen protocols, one set of rows per capture.
+
+    `root` is a shared folder for the stages. Packets are stored by capture and kind, so each kind reads its own
+    partitions only.
+    """
     packets = selected_packets(packets_table(frames, seconds), choices)
-    kinds = kind_tables(packets)
+    packets = stage(packets, root, "packets", ["capture_id", "kind"])
+    kinds = {name: stage(df, root, name) for name, df in kind_tables(packets).items()}
     until = packets.select(F.max("window_start")).scalar()
     tcp = relevant_segments(kinds["tcp"], kinds["ndi_sources"])
 
-    media = media_packets(packets, kinds)
+    media = stage(media_packets(packets, kinds), root, "media")
     extra = {
         "ecn_marks": ("sum", (F.col("ecn") == 3).cast("bigint")),
         "_multicast": ("max", F.col("is_multicast").cast("int")),
@@ -173,22 +190,26 @@ def network_report(
             "jitter_ms": F.last("jitter_ms", ignorenulls=True).over(life),
         }
     ).drop("_rtp", "_confirmed", "_multicast")
+    streams = stage(streams, root, "streams")
 
     pause = F.when(F.hex(F.substring("payload", 1, 2)) == "0001", "pause").when(F.hex(F.substring("payload", 1, 2)) == "0101", "pfc")
     flows = packets.withColumn("kind", F.when(F.col("kind") == "flow_control", pause).otherwise(F.col("kind")))
     counters = window_counters(
         flows, BY, retransmission=F.coalesce("rst", F.lit(False)), dispatched=F.col("kind").isNotNull()
     )
+    counters = stage(counters, root, "counters")
     windows = densify(counters.select(*GROUP), BY, seconds=seconds)
     active = streams.where(F.col("multicast")).select(*GROUP).distinct()
 
     queries = kinds["igmp"].where((F.col("igmp_kind") == "query") & (F.col("group_ip") == ALL_SYSTEMS))
     state = windows.join(active.withColumn("active_multicast", F.lit(True)), GROUP, "left").na.fill(False, ["active_multicast"])
-    querier = querier_state(queries, state, BY, "ts", ORDER, chunk=CHUNK, seconds=seconds)
-    conflicts = conflicting_senders(queries, active, BY)
-    clocks, clock_events = clock_windows(kinds["ptp"], windows, seconds, until)
-    connections = connection_windows(tcp, seconds, until)
-    reserved = reservation_windows(kinds["avtp"], kinds["msrp"])
+    querier = stage(querier_state(queries, state, BY, "ts", ORDER, chunk=CHUNK, seconds=seconds), root, "querier")
+    conflicts = stage(conflicting_senders(queries, active, BY), root, "conflicts")
+    clock_key = ["capture_id", "domain", "version"]
+    clock_events = stage(clock_state(kinds["ptp"], clock_key, ORDER, chunk=CHUNK, seconds=seconds, until=until), root, "clock_events")
+    clocks = stage(clock_windows(kinds["ptp"], clock_events, windows, seconds), root, "clocks")
+    connections = stage(connection_windows(tcp, seconds, until), root, "connections")
+    reserved = stage(reservation_windows(kinds["avtp"], kinds["msrp"]), root, "reserved")
     ports = kinds["eee"].groupBy("capture_id", "chassis_id", "port_id").agg(F.min("window_start").alias("window_start"))
     running = Window.partitionBy(*BY).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     eee = windows.join(ports.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")), GROUP, "left")
@@ -217,7 +238,7 @@ def network_report(
         every = every.unionByName(f)
 
     found = stream_diagnostics(streams, [*GROUP, *[k for k in STREAM_KEY if k not in GROUP]], limits)
-    charged = penalties(found, infrastructure_deductions(every, GROUP), GROUP)
+    charged = stage(penalties(found, infrastructure_deductions(every, GROUP), GROUP), root, "penalties")
     score = health_score(charged, windows, GROUP)
     labels = distinct_per_group(streams, [*GROUP, "protocol"], ["stream_src", "dst_ip", "dst_port"])
 
@@ -232,7 +253,7 @@ def network_report(
     reports = kinds["igmp"].where(F.col("igmp_kind") == "v3_report")
     versions = version_mismatch(queries.withColumn("version", F.col("igmp_version")), reports, BY)
     raised = alerts(
-        alert(clock_events.where(F.col("event") == "lost"), "error", "clock_lost", domain),
+        alert(with_event_window(clock_events, seconds).where(F.col("event") == "lost"), "error", "clock_lost", domain),
         alert(conflicts, "error", "multiple_queriers", F.col("src_ip")),
         alert(querier.where(F.col("slow_queries")), "info", "slow_queries", F.col("interval_secs")),
         alert(versions, "warn", "version_mismatch"),

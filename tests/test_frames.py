@@ -158,17 +158,18 @@ def test_decode_is_one_narrow_job_without_python(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-def test_whole_network_report(spark):
+def test_whole_network_report(spark, tmp_path):
     """A lossy AES67 stream without a querier, a clock that is lost, a Dante device, and an energy-saving port."""
     lldp = bytes.fromhex("0207040011223344550403053731") + bytes.fromhex("fe0e00120f050011001e000000000000") + b"\0\0"
     lldp = ether(0x88CC, lldp)
     announce = bytes([0x0B, 2]) + bytes(18) + b"\1" * 8 + bytes(25) + b"\7" * 8 + bytes(3)
     clock = ether(0x0800, ipv4(17, udp(320, 320, announce), dst="224.0.1.129"))
-    items = [(0.0, clock), (0.1, CASES["sap"]), (0.2, CASES["dante_discovery"]), (0.3, lldp)]
+    sap = ether(0x0800, ipv4(17, udp(9875, 9875, b"\x20\0\0\0\x0a\0\0\1" + SDP.replace(b"ptime:1", b"ptime:100"))))
+    items = [(0.0, clock), (0.1, sap), (0.2, CASES["dante_discovery"]), (0.3, lldp)]
     for i in range(200):
         seq = i + (3 if i >= 150 else 0)
-        items.append((0.5 + i * 0.1, ether(0x0800, ipv4(17, udp(7000, 5004, rtp(seq, seq * 48, 1))))))
-    net = network_report(frames(spark, sorted(items, key=lambda x: x[0])), ["audio"])
+        items.append((0.5 + i * 0.1, ether(0x0800, ipv4(17, udp(7000, 5004, rtp(seq, i * 4800, 1))))))
+    net = network_report(frames(spark, sorted(items, key=lambda x: x[0])), str(tmp_path), ["audio"])
     got = {r["window_start"].second: (r["score"], r["summary"]) for r in net.report.collect()}
     first, last = got[0], got[15]
     gaps = ["signal gaps: 1"]
