@@ -282,7 +282,7 @@ FROM c""",
 )
 def _cv_regularity(spark, sf_dir):
     # Poisson arrivals have a coefficient near 1, so the band is moved there.
-    out = timing_regularity(events(spark, sf_dir, DAY), ["user_id"], ORDER, "ts", CHUNK, low=0.85, high=1.05)
+    out = timing_regularity(events(spark, sf_dir, DAY), ["user_id"], "ts", CHUNK, low=0.85, high=1.05)
     return out.select("user_id", "samples", F.round("cv", 6).alias("cv"), "regularity")
 
 

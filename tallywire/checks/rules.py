@@ -259,7 +259,7 @@ SELECT user_id, CASE WHEN cp IS NOT NULL THEN cp WHEN steady THEN 'Hardware' WHE
 def _multi_signal_verdict(spark, sf_dir):
     ev = events(spark, sf_dir, DAY)
     i, u = F.col("event_id"), F.col("user_id")
-    timing = timing_regularity(ev, ["user_id"], ORDER, "ts", CHUNK, low=0.85, high=1.05)
+    timing = timing_regularity(ev, ["user_id"], "ts", CHUNK, low=0.85, high=1.05)
     marks = ev.select(
         "user_id",
         *ORDER,

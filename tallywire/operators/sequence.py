@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.arith import percent, signed_wrap
-from tallywire.operators.chunks import Row, Step, fold_pairs, with_previous
+from tallywire.operators.chunks import Row, Step, fold_pairs
 
 
 def seq_delta(prev: Column, cur: Column, bits: int) -> Column:
@@ -177,8 +177,3 @@ def connection_quality(rst: Column, fin: Column, retransmissions: Column) -> Col
         .otherwise("healthy")
     )
 
-
-def with_iat(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, chunk: Sequence[str]) -> DataFrame:
-    """Add `iat_us`, the microseconds since the row before of the same key."""
-    prev = with_previous(df, key, order, chunk, {"_prev_ts": ts})
-    return prev.withColumn("iat_us", F.unix_micros(ts) - F.unix_micros("_prev_ts")).drop("_prev_ts")

@@ -12,11 +12,9 @@ from tallywire.functions.lookups import KNOWN_STEPS, literal_table
 from tallywire.operators.chunks import (
     Step,
     fold_pairs,
-    latest_n,
     with_previous,
     with_running_sum,
 )
-from tallywire.operators.sequence import with_iat
 
 _SPAN = 2048  # rows per segment of the closed-form fold; (16/15)^2048 stays far inside a double
 
@@ -184,7 +182,6 @@ def latest_bitrate(buckets: DataFrame, key: Sequence[str]) -> DataFrame:
 def timing_regularity(
     df: DataFrame,
     key: Sequence[str],
-    order: Sequence[str],
     ts: str = "ts",
     chunk: Sequence[str] = ("window_start",),
     n: int = 64,
@@ -192,12 +189,20 @@ def timing_regularity(
     low: float = 0.10,
     high: float = 0.30,
 ) -> DataFrame:
-    """Coefficient of variation of the last `n` positive inter-arrival times and the regularity read from it."""
-    iat = with_iat(df.select(*dict.fromkeys([*key, *chunk, *order, ts])), key, order, ts, chunk)
-    recent = latest_n(iat.where(F.col("iat_us") > 0), key, order, chunk, n)
-    stats = recent.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("samples"),
-        (F.stddev_pop(F.col("iat_us").cast("double")) / F.avg(F.col("iat_us").cast("double"))).alias("cv"),
+    """Coefficient of variation of the last `n` positive inter-arrival times and the regularity read from it.
+
+    Positive inter-arrival times are the steps between distinct arrival times, so the last n + 1 of those suffice.
+    The rank limit is applied before the shuffle as well: a busy stream sends n + 1 times per chunk and input split.
+    """
+    us = micros(ts).alias("_us")
+    inner = Window.partitionBy(*key, *chunk).orderBy(F.col("_us").desc())
+    rows = df.select(*key, *chunk, us).select("*", F.dense_rank().over(inner).alias("_rank"))
+    times = rows.where(F.col("_rank") <= n + 1).select(*key, "_us").distinct()
+    outer = Window.partitionBy(*key).orderBy(F.col("_us").desc())
+    recent = times.select("*", F.row_number().over(outer).alias("_rank")).where(F.col("_rank") <= n + 1)
+    recent = recent.select(*key, (F.col("_us") - F.lead("_us").over(outer)).cast("double").alias("_iat"))
+    stats = recent.where(F.col("_iat").isNotNull()).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("samples"), (F.stddev_pop("_iat") / F.avg("_iat")).alias("cv")
     )
     enough = F.col("samples") >= min_n
     return stats.select(

@@ -65,7 +65,7 @@ def media_packets(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
     media = media.withColumnsRenamed({"announced_clock_hz": "clock_hz", "announced_ptime_ms": "ptime_ms"})
     media = stream_defaults(media.withColumn("expected_pt", F.col("announced_expected_pt")))
     dante = stream_packets(packets).where(F.col("protocol") == "Dante")
-    timing = timing_regularity(dante, STREAM_KEY, ORDER, "ts", CHUNK)
+    timing = timing_regularity(dante, STREAM_KEY, "ts", CHUNK)
     ttl = dante.groupBy(*STREAM_KEY).agg(F.min("ttl").alias("_ttl"))
     classes = class_registry(
         kinds["control_plane"].select(F.struct("capture_id", "src_ip").alias("_who"), *ORDER, "class"), "_who", order=ORDER
@@ -82,7 +82,7 @@ def sender_classes(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame
     """Class, confidence and number of signals of every Dante stream's sender."""
     dante = stream_packets(packets).where(F.col("protocol") == "Dante")
     signals = dante.groupBy(*STREAM_KEY).agg(F.min("ttl").alias("_ttl"), F.min_by("dscp", F.struct(*ORDER)).alias("_dscp"))
-    timing = timing_regularity(dante, STREAM_KEY, ORDER, "ts", CHUNK)
+    timing = timing_regularity(dante, STREAM_KEY, "ts", CHUNK)
     seen = kinds["control_plane"].select(F.struct("capture_id", "src_ip").alias("_who"), *ORDER, "class")
     classes = class_registry(seen, "_who", order=ORDER).select("_who.capture_id", F.col("_who.src_ip").alias("stream_src"), "class")
     out = signals.join(timing, STREAM_KEY, "left").join(classes, ["capture_id", "stream_src"], "left")
