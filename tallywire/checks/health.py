@@ -9,7 +9,7 @@ from tallywire.checks.ordered import wrap_sql
 from tallywire.checks.windowed import counters
 from tallywire.operators.enrich import device_registry
 from tallywire.operators.windows import densify, distinct_per_group
-from tallywire.plans.health import health_report, stream_windows, with_jitter, with_silence
+from tallywire.plans.health import health_report, stream_windows, with_silence
 from tallywire.plans.report import window_report
 from tallywire.plans.scoring import (
     Limits,
@@ -202,7 +202,7 @@ def rtp_streams(spark, sf_dir):
         (F.col("value") > 5).alias("clock_confirmed"),
         (i % 1500 + 64).alias("frame_bytes"),
     )
-    return ev, stream_windows(ev, ["user_id"], ORDER, chunk=CHUNK, gap_ms=12 * HOUR * 1000)
+    return stream_windows(ev, ["user_id"], ORDER, chunk=CHUNK, gap_ms=12 * HOUR * 1000)
 
 
 @check(
@@ -215,7 +215,7 @@ SELECT k AS user_id, CAST(w AS BIGINT) AS window_start, CAST(received AS BIGINT)
   CAST(last_us AS BIGINT) AS last_ts FROM m""",
 )
 def _stream_windows(spark, sf_dir):
-    _, rows = rtp_streams(spark, sf_dir)
+    rows = rtp_streams(spark, sf_dir)
     names = ["received", "lost", "reorders", "ts_disc", "ssrc_changes", "gap_events", "max_iat_us", "bytes"]
     return rows.select("user_id", us("window_start"), *names, us("last_ts"))
 
@@ -234,9 +234,7 @@ SELECT e.user_id, CAST(w AS BIGINT) AS window_start,
 FROM e JOIN l ON e.user_id = l.user_id""",
 )
 def _window_jitter(spark, sf_dir):
-    packets, rows = rtp_streams(spark, sf_dir)
-    out = with_jitter(rows, packets, ["user_id"], ORDER, chunk=CHUNK)
-    return out.select("user_id", us("window_start"), F.round(F.col("jitter_ms") + 1.37e-7, 3).alias("jitter_ms"))
+    return rtp_streams(spark, sf_dir).select("user_id", us("window_start"), F.round(F.col("jitter_ms") + 1.37e-7, 3).alias("jitter_ms"))
 
 
 _FAMILY = "CASE user_id % 5 WHEN 0 THEN 'AES67' WHEN 1 THEN 'Dante' WHEN 2 THEN 'NDI' WHEN 3 THEN 'ST2110' ELSE 'AVB' END"

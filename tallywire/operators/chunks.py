@@ -22,6 +22,9 @@ from tallywire.functions.arith import as_col
 Row = Mapping[str, Column]
 Step = tuple[str, Callable[[Row, Row], Column]]
 Total = tuple[str, Column]
+Decay = tuple[float, Callable[[Row, Row], Column]]
+
+SPAN = 2048  # rows per segment of the closed-form fold; (16/15)^2048 stays far inside a double
 
 COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -41,15 +44,20 @@ def fold_pairs(
     steps: Mapping[str, Step],
     totals: Mapping[str, Total] | None = None,
     keep: Sequence[str] | None = None,
+    decays: Mapping[str, Decay] | None = None,
 ) -> DataFrame:
     """Aggregate a function of each row and the row before it, per key and chunk.
 
     `fields` are the values a step may look at. A step is `(combine, fn(previous, current))`; it is null for
     the first row of a key. A total is `(combine, column)`. The pair that spans two chunks counts for the later
     one. `keep` names the chunk columns of the result (default all); the others are merged away.
+
+    A decay is `(alpha, fn)`: the moving average J += alpha * (fn - J), from 0, as it stands after each chunk. The
+    recurrence is linear, so a chunk of n rows acts as J -> (1-alpha)^n J + S with S a plain weighted sum: chunks are
+    summed independently and the per-chunk rows are combined in closed form. No group is ever collected.
     """
     key, order, chunk = list(key), list(order), list(chunk)
-    totals = dict(totals or {})
+    totals, decays = dict(totals or {}), dict(decays or {})
     names = list(fields)
     rows = df.select(
         *[F.col(c) for c in dict.fromkeys(key + chunk)],
@@ -64,11 +72,16 @@ def fold_pairs(
         F.lag(F.lit(1)).over(w).isNull().alias("_head"),
         F.lead(F.lit(1)).over(w).isNull().alias("_tail"),
     )
+    if decays:
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn("_after", F.count(F.lit(1)).over(whole) - F.row_number().over(w))
     before = {n: F.col(f"_p_{n}") for n in names}
     here = {n: F.col(f"_c_{n}") for n in names}
     per_chunk = rows.groupBy(*key, *chunk).agg(
         *[COMBINE[how](fn(before, here)).alias(out) for out, (how, fn) in steps.items()],
         *[COMBINE[how](F.col(f"_t_{out}")).alias(out) for out, (how, _) in totals.items()],
+        *[F.sum(fn(before, here) * F.pow(F.lit(1.0 - a), F.col("_after"))).alias(out) for out, (a, fn) in decays.items()],
+        F.count(F.lit(1)).alias("_rows"),
         *[F.max(F.when(F.col("_head"), F.col(f"_c_{n}"))).alias(f"_f_{n}") for n in names],
         *[F.max(F.when(F.col("_tail"), F.col(f"_c_{n}"))).alias(f"_l_{n}") for n in names],
     )
@@ -81,11 +94,56 @@ def fold_pairs(
         *chunk,
         *[merge_two(how, F.col(out), fn(edge, first)).alias(out) for out, (how, fn) in steps.items()],
         *totals,
+        *[
+            (
+                (
+                    F.coalesce(F.col(out), F.lit(0.0))
+                    + F.coalesce(fn(edge, first), F.lit(0.0)) * F.pow(F.lit(1.0 - a), F.col("_rows") - 1)
+                )
+                * a
+            ).alias(out)
+            for out, (a, fn) in decays.items()
+        ],
+        *(["_rows"] if decays else []),
     )
+    if decays:
+        merged = fold_decays(merged, key, chunk, {out: 1.0 - a for out, (a, _) in decays.items()}).drop("_rows")
     if keep is None or list(keep) == chunk:
         return merged
     ways = {**{o: h for o, (h, _) in steps.items()}, **{o: h for o, (h, _) in totals.items()}}
-    return merged.groupBy(*key, *keep).agg(*[COMBINE[how](out).alias(out) for out, how in ways.items()])
+    return merged.groupBy(*key, *keep).agg(
+        *[COMBINE[how](out).alias(out) for out, how in ways.items()],
+        *[F.max_by(out, F.struct(*chunk)).alias(out) for out in decays],
+    )
+
+
+def fold_decays(per_chunk: DataFrame, key: list[str], chunk: list[str], keeps: Mapping[str, float], rows: str = "_rows") -> DataFrame:
+    """Turn the weighted sums of chunks into the averages after them: earlier sums count keep^(rows since).
+
+    Running sums are taken in segments of SPAN rows, with weights relative to the segment's start. What the segment
+    before leaves behind is added; older ones weigh less than keep^SPAN, which no double can show.
+    """
+    across = Window.partitionBy(*key).orderBy(*chunk)
+    upto = across.rowsBetween(Window.unboundedPreceding, 0)
+    placed = per_chunk.withColumn("_at", F.sum(rows).over(upto))
+    placed = placed.withColumns({"_seg": F.floor(F.col("_at") / SPAN), "_pos": F.pmod("_at", F.lit(SPAN))})
+    seg = Window.partitionBy(*key, "_seg").orderBy(*chunk)
+    so_far = seg.rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumns(
+        {
+            f"_v_{n}": F.sum(F.col(n) * F.pow(F.lit(k), -F.col("_pos"))).over(so_far) * F.pow(F.lit(k), F.col("_pos"))
+            for n, k in keeps.items()
+        }
+    )
+    placed = placed.select(
+        "*", F.lag("_at").over(across).alias("_pat"), *[F.lag(f"_v_{n}").over(across).alias(f"_pv_{n}") for n in keeps]
+    )
+
+    def left(n: str, k: float) -> Column:
+        return F.coalesce(F.first(f"_pv_{n}").over(seg) * F.pow(F.lit(k), F.col("_at") - F.first("_pat").over(seg)), F.lit(0.0))
+
+    rest = [c for c in per_chunk.columns if c not in keeps]
+    return placed.select(*rest, *[(F.col(f"_v_{n}") + left(n, k)).alias(n) for n, k in keeps.items()])
 
 
 def _carry_in(
@@ -174,15 +232,6 @@ def with_running_sum(
     )
 
 
-def latest_n(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Sequence[str], n: int) -> DataFrame:
-    """The last `n` rows of every key: first within chunks, then over what is left (n rows per chunk)."""
-    down = [F.col(c).desc() for c in order]
-    inner = Window.partitionBy(*key, *chunk).orderBy(*down)
-    outer = Window.partitionBy(*key).orderBy(*down)
-    top = df.select("*", F.row_number().over(inner).alias("_rank")).where(F.col("_rank") <= n).drop("_rank")
-    return top.select("*", F.row_number().over(outer).alias("_rank")).where(F.col("_rank") <= n).drop("_rank")
-
-
 def split_large_keys(
     df: DataFrame,
     key: Sequence[str],

@@ -9,14 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.arith import as_col, block, micros, period_start, signed_wrap
 from tallywire.functions.lookups import KNOWN_STEPS, literal_table
-from tallywire.operators.chunks import (
-    Step,
-    fold_pairs,
-    with_previous,
-    with_running_sum,
-)
-
-_SPAN = 2048  # rows per segment of the closed-form fold; (16/15)^2048 stays far inside a double
+from tallywire.operators.chunks import Decay, Row, Step, fold_pairs, with_previous, with_running_sum
 
 
 def iat_steps(gap_ms: float = 50.0) -> dict[str, Step]:
@@ -51,6 +44,20 @@ def iat_stats(
     return out.withColumn("gap_events", F.coalesce("gap_events", F.lit(0).cast("bigint")))
 
 
+def jitter_decay(bits: int = 32, alpha: float = 1.0 / 16.0) -> Decay:
+    """Interarrival jitter in seconds as a decay for `fold_pairs`, on the fields `us`, `rtp` and `hz`."""
+
+    def deviation(p: Row, c: Row) -> Column:
+        media = F.when(c["hz"] > 0, signed_wrap(c["rtp"] - p["rtp"], bits) / c["hz"])
+        return F.abs((c["us"] - p["us"]) / 1e6 - media)
+
+    return alpha, deviation
+
+
+def jitter_fields(ts: str = "ts", rtp_ts: str = "rtp_ts", clock_hz: Column | str = "clock_hz") -> dict[str, Column]:
+    return {"us": micros(ts), "rtp": F.col(rtp_ts).cast("bigint"), "hz": as_col(clock_hz).cast("double")}
+
+
 def jitter_ewma(
     df: DataFrame,
     key: Sequence[str],
@@ -62,62 +69,10 @@ def jitter_ewma(
     chunk: Sequence[str] = ("window_start",),
     alpha: float = 1.0 / 16.0,
 ) -> DataFrame:
-    """Interarrival jitter in seconds after each chunk: J += alpha * (|arrival step - media step| - J), from 0.
-
-    The recurrence is linear, so a chunk of n rows acts as J -> (1-alpha)^n J + S with S a plain weighted sum:
-    chunks are summed independently and the small per-chunk rows are combined in closed form. No group is ever
-    collected.
-    """
-    key, order, chunk = list(key), list(order), list(chunk)
-    keep = 1.0 - alpha
-    base = df.select(
-        *key,
-        *chunk,
-        *[F.col(c).alias(f"_o_{i}") for i, c in enumerate(order)],
-        micros(ts).alias("_a"),
-        F.col(rtp_ts).cast("bigint").alias("_m"),
-        as_col(clock_hz).cast("double").alias("_hz"),
-    )
-    down = Window.partitionBy(*key, *chunk).orderBy(*[F.col(f"_o_{i}").desc() for i in range(len(order))])
-    rows = base.select(
-        "*",
-        (F.row_number().over(down) - 1).alias("_after"),
-        F.lead("_a").over(down).alias("_pa"),
-        F.lead("_m").over(down).alias("_pm"),
-    )
-
-    def deviation(pa: Column, pm: Column, a: Column, m: Column, hz: Column) -> Column:
-        media = F.when(hz > 0, signed_wrap(m - pm, bits) / hz)
-        return F.abs((a - pa) / 1e6 - media)
-
-    d = deviation(F.col("_pa"), F.col("_pm"), F.col("_a"), F.col("_m"), F.col("_hz"))
-    head, tail = F.col("_pa").isNull(), F.col("_after") == 0
-    per_chunk = rows.groupBy(*key, *chunk).agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.coalesce(F.sum(d * F.pow(F.lit(keep), F.col("_after"))), F.lit(0.0)).alias("_s"),
-        *[F.max(F.when(head, F.col(c))).alias(f"_f{c}") for c in ("_a", "_m", "_hz")],
-        *[F.max(F.when(tail, F.col(c))).alias(f"_l{c}") for c in ("_a", "_m")],
-    )
-    across = Window.partitionBy(*key).orderBy(*chunk)
-    edge = deviation(
-        F.lag("_l_a").over(across), F.lag("_l_m").over(across), F.col("_f_a"), F.col("_f_m"), F.col("_f_hz")
-    ) * F.pow(F.lit(keep), F.col("packets") - 1)
-    total = (F.col("_s") + F.coalesce(edge, F.lit(0.0))) * alpha
-    return _fold_decay(per_chunk.select(*key, *chunk, "packets", total.alias("_s")), key, chunk, keep)
-
-
-def _fold_decay(per_chunk: DataFrame, key: list[str], chunk: list[str], keep: float) -> DataFrame:
-    """J after each chunk: the sum of earlier `_s` weighted by keep^(rows since). Two segments of _SPAN rows suffice."""
-    across = Window.partitionBy(*key).orderBy(*chunk)
-    upto = across.rowsBetween(Window.unboundedPreceding, 0)
-    placed = per_chunk.withColumn("_n", F.sum("packets").over(upto))
-    placed = placed.withColumns({"_seg": F.floor(F.col("_n") / _SPAN), "_pos": F.pmod("_n", F.lit(_SPAN))})
-    seg = Window.partitionBy(*key, "_seg").orderBy(*chunk)
-    grown = F.sum(F.col("_s") * F.pow(F.lit(keep), -F.col("_pos"))).over(seg.rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("_v", grown * F.pow(F.lit(keep), F.col("_pos")))
-    placed = placed.select("*", F.lag("_v").over(across).alias("_pv"), F.lag("_n").over(across).alias("_pn"))
-    before = F.first("_pv").over(seg) * F.pow(F.lit(keep), F.col("_n") - F.first("_pn").over(seg))
-    return placed.select(*key, *chunk, "packets", (F.col("_v") + F.coalesce(before, F.lit(0.0))).alias("jitter"))
+    """Jitter after each chunk: J += alpha * (|arrival step - media step| - J), from 0."""
+    fields = jitter_fields(ts, rtp_ts, clock_hz)
+    packets = {"packets": ("sum", F.lit(1).cast("bigint"))}
+    return fold_pairs(df, key, order, chunk, fields, {}, packets, None, {"jitter": jitter_decay(bits, alpha)})
 
 
 def final_jitter(per_chunk: DataFrame, key: Sequence[str], chunk: Sequence[str]) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.arith import MICROS, micros, percent, period_micros, signed_wrap
-from tallywire.operators.chunks import Step, Total, fold_pairs
+from tallywire.operators.chunks import Decay, Step, Total, fold_pairs
 from tallywire.operators.sequence import expected_step, loss_steps
-from tallywire.operators.timing import jitter_ewma
+from tallywire.operators.timing import jitter_decay, jitter_fields
 from tallywire.operators.windows import WINDOW_SECONDS, silence_states
 from tallywire.plans.scoring import Limits, health_score, penalties, stream_diagnostics
 
@@ -28,7 +28,7 @@ def stream_windows(
     """All metrics of every stream and Window from one shuffle and one sort of the packets.
 
     Uses whichever of the columns rtp_seq, rtp_ts, rtp_ssrc, clock_hz, ptime_ms, clock_confirmed, frame_bytes,
-    dscp_viol, pcp_viol, pt_mismatch and ttl are present. `extra` adds totals `{name: (combine, column)}`.
+    dscp_viol, pcp_viol, pt_mismatch and ttl are present; `jitter_ms` is the jitter at the end of the Window. `extra` adds totals `{name: (combine, column)}`.
     """
     have = set(packets.columns)
     fields: dict[str, Column | str] = {"us": micros(ts)}
@@ -48,7 +48,6 @@ def stream_windows(
         fields["ssrc"] = "rtp_ssrc"
         steps["ssrc_changes"] = ("sum", lambda p, c: (p["ssrc"] != c["ssrc"]).cast("bigint"))
     if {"rtp_ts", "clock_hz", "ptime_ms"} <= have:
-        fields["rtp"] = "rtp_ts"
         fields["expect"] = expected_step(F.col("clock_hz"), F.col("ptime_ms"))
         fields["ok"] = F.coalesce(F.col("clock_confirmed"), F.lit(False)) if "clock_confirmed" in have else F.lit(True)
 
@@ -57,6 +56,10 @@ def stream_windows(
             return (c["ok"] & ((step < c["expect"] * 0.5) | (step > c["expect"] * 1.5))).cast("bigint")
 
         steps["ts_disc"] = ("sum", off)
+    decays: dict[str, Decay] = {}
+    if {"rtp_ts", "clock_hz"} <= have:
+        fields.update(jitter_fields(ts))
+        decays["jitter_ms"] = jitter_decay(32)
     if "frame_bytes" in have:
         totals["bytes"] = ("sum", F.col("frame_bytes").cast("bigint"))
     for flag in ("dscp_viol", "pcp_viol", "pt_mismatch"):
@@ -65,7 +68,8 @@ def stream_windows(
     if "ttl" in have:
         totals["min_ttl"] = ("min", F.col("ttl"))
     totals.update(extra or {})
-    out = fold_pairs(packets, key, order, chunk, fields, steps, totals, [window])
+    out = fold_pairs(packets, key, order, chunk, fields, steps, totals, [window], decays)
+    out = out.withColumns({n: F.col(n) * 1000.0 for n in decays})
     counted = [n for n, (how, _) in steps.items() if how == "sum"]
     return out.withColumns({n: F.coalesce(n, F.lit(0).cast("bigint")) for n in counted}).withColumn(
         "last_ts", F.timestamp_micros("last_us")
@@ -97,22 +101,6 @@ def with_silence(
     return out
 
 
-def with_jitter(
-    stream_rows: DataFrame,
-    packets: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str] = ("ts", "frame_no"),
-    ts: str = "ts",
-    clock_hz: Column | str = "clock_hz",
-    chunk: Sequence[str] = ("window_start",),
-    window: str = "window_start",
-) -> DataFrame:
-    """Add `jitter_ms` at the end of each Window. It shares the packets' shuffle on (key, chunk)."""
-    per = jitter_ewma(packets, key, order, ts, "rtp_ts", clock_hz, 32, chunk)
-    at_end = per.groupBy(*key, window).agg(F.max_by("jitter", F.struct(*chunk)).alias("_j"))
-    return stream_rows.join(at_end, [*key, window], "left").withColumn("jitter_ms", F.col("_j") * 1000.0).drop("_j")
-
-
 def health_report(
     stream_rows: DataFrame,
     windows: DataFrame,

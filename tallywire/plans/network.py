@@ -32,7 +32,7 @@ from tallywire.operators.windows import (
     version_mismatch,
     window_counters,
 )
-from tallywire.plans.health import stream_windows, with_jitter, with_silence
+from tallywire.plans.health import stream_windows, with_silence
 from tallywire.plans.packets import CHUNK, ORDER, STREAM_KEY, kind_tables, packets_table, selected_packets, stream_packets
 from tallywire.plans.report import window_report
 from tallywire.plans.scoring import Limits, health_score, infrastructure_deductions, penalties, stream_diagnostics
@@ -178,7 +178,6 @@ def network_report(
         "_confirmed": ("max", F.col("clock_confirmed").cast("int")),
     }
     streams = stream_windows(media, STREAM_KEY, ORDER, chunk=CHUNK, extra=extra)
-    streams = with_jitter(streams, media, STREAM_KEY, ORDER, chunk=CHUNK)
     streams = with_silence(streams, STREAM_KEY, until, seconds=seconds)
     life = Window.partitionBy(*STREAM_KEY, "session").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     streams = streams.withColumns(

@@ -1,6 +1,7 @@
 """Chunked operators give the same result however a key is cut, with one key holding most rows."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import Window
@@ -8,14 +9,13 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.arith import block
 from tallywire.operators.chunks import (
-    latest_n,
     split_large_keys,
     with_last_known,
     with_previous,
     with_running_sum,
 )
 from tallywire.operators.sequence import seq_gaps, tcp_retransmissions, ts_discontinuity
-from tallywire.operators.timing import final_jitter, infer_step, jitter_ewma
+from tallywire.operators.timing import final_jitter, infer_step, jitter_ewma, timing_regularity
 
 KEY, ORDER = ["key"], ["n"]
 
@@ -125,12 +125,16 @@ def test_row_look_back(df, size):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
-def test_latest_rows(df):
-    cut = df.withColumn("chunk", block("n", 100))
-    w = Window.partitionBy("key").orderBy(F.col("n").desc())
-    want = df.select("key", "n", F.row_number().over(w).alias("r")).where("r <= 64").select("key", "n")
-    got = latest_n(cut, KEY, ORDER, ["chunk"], 64).select("key", "n")
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+def test_regularity_of_recent_times(df, rows):
+    shared = df.withColumn("ts", F.timestamp_micros(F.col("us") - F.col("us") % 3000))  # repeated arrival times
+    for size in (50, 100_000):
+        got = timing_regularity(shared.withColumn("chunk", block("n", size)), KEY, "ts", ["chunk"]).collect()
+        for r in got:
+            us = [x[2] - x[2] % 3000 for x in by_key(rows)[r["key"]]]
+            iat = [b - a for a, b in zip(us, us[1:]) if b > a][-64:]
+            assert r["samples"] == len(iat)
+            if len(iat) >= 16:
+                assert r["cv"] == pytest.approx(statistics.pstdev(iat) / statistics.fmean(iat))
 
 
 def test_inference_across_chunks(spark):

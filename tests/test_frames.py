@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tallywire.plans.health import health_report, stream_windows, with_jitter, with_silence
+from tallywire.plans.health import health_report, stream_windows, with_silence
 from tallywire.plans.network import network_report
 from tallywire.plans.packets import STREAM_KEY, packets_table, selected_packets, stream_packets
 from tallywire.plans.scoring import session_verdict
@@ -125,7 +125,6 @@ def score(spark):
         {"dscp_viol": F.col("dscp") != 46, "clock_hz": F.lit(48000.0), "ptime_ms": F.lit(100.0), "clock_confirmed": F.lit(True)}
     )
     rows = stream_windows(packets, STREAM_KEY, gap_ms=500)
-    rows = with_jitter(rows, packets, STREAM_KEY)
     rows = with_silence(rows, STREAM_KEY, packets.select(F.max("window_start")).scalar())
     windows = packets.select("window_start").distinct()
     return packets, rows, health_report(rows, windows, STREAM_KEY).orderBy("window_start")
