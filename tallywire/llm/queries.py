@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm import quality_rules, sharding, warc
+from tallywire.llm import quality_rules, sharding, token_counts, warc
 from tallywire.llm.common import shared_folder
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_counts.spark_default_path(spark)
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,5 +47,5 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_warc_revisits, op5_hash_tree, op9_weak_rules)}
+QUERIES = {f.__name__: f for f in (op2_prefix_counts, op4_warc_revisits, op5_hash_tree, op9_weak_rules)}
 ORACLES = {"op4_warc_revisits": OP4_SQL}
