@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm import quality_rules, sharding, token_counts, warc
+from tallywire.llm import line_dedup, quality_gam, quality_rules, sharding, token_counts, warc
 from tallywire.llm.common import shared_folder
 
 
@@ -41,11 +41,37 @@ def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.deal(_table(spark, sf_dir, "documents"), 8)
 
 
+def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"), min_sites=10)
+    kept = F.md5(F.coalesce("kept_text", F.lit("")))
+    return rows.select("doc.doc_id", "n_lines", "n_removed", kept.alias("kept_md5"))
+
+
+OP6_SQL = """
+WITH l AS (
+  SELECT doc_id, source, pos, line, length(translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0 AS word
+  FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+bad AS (SELECT line FROM l WHERE word GROUP BY line HAVING count(DISTINCT source) >= 10),
+m AS (SELECT *, word AND line IN (SELECT line FROM bad) AS gone FROM l)
+SELECT doc_id, CAST(count(*) FILTER (word) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_md5
+FROM m GROUP BY doc_id
+"""
+
+
+def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_gam.score(docs, model)
+    return scored.select("doc_id", quality_gam.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_prefix_counts, op4_warc_revisits, op5_hash_tree, op9_weak_rules)}
-ORACLES = {"op4_warc_revisits": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op2_prefix_counts, op4_warc_revisits, op5_hash_tree, op6_site_spread, op8_additive_quality, op9_weak_rules)}
+ORACLES = {"op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL}
