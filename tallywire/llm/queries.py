@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm import line_dedup, quality_gam, quality_rules, sharding, token_counts, warc
+from tallywire.llm import line_dedup, ngram_join, quality_gam, quality_rules, sharding, token_counts, warc
 from tallywire.llm.common import shared_folder
 
 
@@ -18,6 +18,27 @@ def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, c.component_id
+FROM g JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = g.doc_id
+"""
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,5 +94,5 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_prefix_counts, op4_warc_revisits, op5_hash_tree, op6_site_spread, op8_additive_quality, op9_weak_rules)}
-ORACLES = {"op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op8_additive_quality, op9_weak_rules)}
+ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL}
