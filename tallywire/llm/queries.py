@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm import line_dedup, ngram_join, quality_gam, quality_rules, sharding, token_counts, warc
+from tallywire.llm import decontaminate, line_dedup, ngram_join, quality_gam, quality_rules, sharding, suffix_repeats, token_counts, warc
 from tallywire.llm.common import shared_folder
 
 
@@ -81,6 +81,13 @@ FROM m GROUP BY doc_id
 """
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    leaks = found.select("doc.doc_id", F.explode("leaks").alias("leak"))
+    return leaks.select("doc_id", F.col("leak.item").alias("item_id"), "leak.score", "leak.doc_from", "leak.doc_to")
+
+
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_gam.fit(docs, _table(spark, sf_dir, "labels"))
@@ -94,5 +101,21 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op8_additive_quality, op9_weak_rules)}
-ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL}
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.repeats(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM e),
+bad AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT DISTINCT doc_id, i FROM h WHERE h IN (SELECT h FROM bad)),
+g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f)
+SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS word_from, CAST(max(i) + 49 AS BIGINT) AS word_to,
+  CAST(max(i) - min(i) + 50 AS BIGINT) AS n_words
+FROM g GROUP BY doc_id, island
+"""
+
+QUERIES = {f.__name__: f for f in (op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op7_benchmark_leaks, op8_additive_quality, op9_weak_rules, op10_suffix_repeats)}
+ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL, "op10_suffix_repeats": OP10_SQL}
