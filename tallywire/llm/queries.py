@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm import decontaminate, line_dedup, ngram_join, quality_gam, quality_rules, sharding, suffix_repeats, token_counts, warc
+from tallywire.llm import decontaminate, line_dedup, ngram_join, quality_gam, quality_rules, sentence_pieces, sharding, suffix_repeats, token_counts, warc
 from tallywire.llm.common import shared_folder
 
 
@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentence_pieces.read_pieces(sentence_pieces.model_path(spark))
+    encoded = sentence_pieces.encode(_table(spark, sf_dir, "documents"), pieces, keep=["doc_id"])
+    both = sentence_pieces.decode(encoded, pieces)
+    same = F.col("decoded") == F.coalesce("body", F.lit(""))
+    return both.select("doc.doc_id", F.size("ids").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
 def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_counts.spark_default_path(spark)
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
@@ -117,5 +125,5 @@ SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS word_from, CAST(max(i) + 49 AS BIGI
 FROM g GROUP BY doc_id, island
 """
 
-QUERIES = {f.__name__: f for f in (op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op7_benchmark_leaks, op8_additive_quality, op9_weak_rules, op10_suffix_repeats)}
+QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op7_benchmark_leaks, op8_additive_quality, op9_weak_rules, op10_suffix_repeats)}
 ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL, "op10_suffix_repeats": OP10_SQL}
