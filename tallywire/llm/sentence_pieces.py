@@ -55,12 +55,26 @@ class Pieces:
         return "".join(c for c in "\n\t\r" if c not in joined)
 
     def pattern(self) -> regex.Pattern:
+        """Words: the marks before a mark, a solitary character, or the other characters up to a mark with the mark before them."""
         alone = regex.escape(self.solitary())
-        return regex.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        return regex.compile(f"{MARK}+(?={MARK})" + (f"|[{alone}]" if alone else "") + f"|{MARK}?[^{MARK}{alone}]+|{MARK}")
 
     def words(self, text: str, pattern: regex.Pattern) -> list[str]:
         return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def marks(self, n: int) -> list[int]:
+        """Ids of a run of n marks. Its pieces rank alike, so the leftmost pair that makes a piece joins first, each time anew."""
+        most = max((len(p) for p in self.ids if not p.strip(MARK)), default=1)
+        sizes = [1] * (n % most)
+        at = 0
+        while at + 1 < len(sizes):
+            if MARK * (sizes[at] + sizes[at + 1]) in self.ids:
+                sizes[at : at + 2] = [sizes[at] + sizes[at + 1]]
+                at = max(0, at - 1)
+            else:
+                at += 1
+        return self.encode_cut([MARK * s for s in [most] * (n // most) + sizes])
+
     def encode_cut(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for p in parts:
@@ -73,6 +87,9 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
+    def characters(self, word: str) -> bytes:
+        return np.array(self.encode_cut(list(word)), "<i4").tobytes()
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text.removeprefix(" ")
@@ -267,17 +284,30 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
     def together(held: pa.Table, entries: pa.Table) -> Iterator[pa.RecordBatch]:
         p = shared.value
         pattern = p.pattern()
+        mark = p.characters(MARK)
         known = dict(zip(entries.column("word").to_pylist(), entries.column("ids").to_pylist()))
         for data in held.column("data").to_pylist():
             for batch in pa.ipc.open_stream(data).read_all().to_batches(max_chunksize=2000):
                 ids = []
                 for t in batch.column("body").to_pylist():
-                    parts = []
+                    parts, run = [], 0
                     for w in p.words(t or "", pattern):
+                        if run or (w[0] == MARK and not w.strip(MARK)):
+                            if not w.strip(MARK) and len(w) > 1 or w == MARK:
+                                run += len(w)
+                                continue
+                            # marks join before a word whose own mark stays alone
+                            part = known[w] or p.characters(w)
+                            own = w[0] == MARK and part[:4] == mark
+                            parts += [np.array(p.marks(run + own), "<i4").tobytes(), part[4 * own :]]
+                            run = 0
+                            continue
                         part = known[w]
                         if part is None:  # no two of its characters join
-                            known[w] = part = np.array(p.encode_cut(list(w)), "<i4").tobytes()
+                            known[w] = part = p.characters(w)
                         parts.append(part)
+                    if run:
+                        parts.append(np.array(p.marks(run), "<i4").tobytes())
                     ids.append(np.frombuffer(b"".join(parts), "<i4"))
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
