@@ -37,10 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc(name: str):
+    """A timestamp without a zone read as UTC, whatever the session's zone is."""
+    return F.timestamp_micros(
+        F.datediff(F.to_date(name), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000
+        + F.hour(name).cast("bigint") * 3_600_000_000
+        + F.minute(name).cast("bigint") * 60_000_000
+        + (F.date_part(F.lit("SECONDS"), F.col(name)) * 1_000_000).cast("bigint")
+    )
+
+
 def events(spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> DataFrame:
     """Events as a packet stream: `ts` as a TIMESTAMP, its Window, and the block that bounds a chunk."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    df = table(spark, sf_dir, "events").withColumn("ts", utc("ts"))
     return df.withColumns({"window_start": period_start("ts", seconds), "block": block("event_id", BLOCK)})
 
 

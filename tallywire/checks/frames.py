@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,8 +87,8 @@ def synth_frames(spark, sf_dir):
     """SELECT event_id AS frame_no, CAST(epoch_us(ts) AS BIGINT) AS ts FROM events WHERE event_id % 3 <> 0""",
 )
 def _scan_frames(spark, sf_dir):
-    folder = f"{checkpoint_root(spark).rstrip('/')}/frames-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
-    write_frames(synth_frames(spark, sf_dir), folder, "overwrite")
+    folder = f"{checkpoint_root(spark).rstrip('/')}/frames-{uuid.uuid4().hex}"  # each call reads what it wrote
+    write_frames(synth_frames(spark, sf_dir), folder, "errorifexists")
     scanned = read_frames(spark, folder).where(F.col("capture_id") == "c")
     return decode_l2(scanned).where(F.col("pcp").isNull()).select("frame_no", us("ts"))
 
@@ -415,15 +417,19 @@ def _decode_caps(spark, sf_dir):
 @check(
     "code_lookup",
     """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'IEC 61883' WHEN 1 THEN 'MMA Streams' WHEN 2 THEN 'CRF' WHEN 3 THEN 'CVF' WHEN 4 THEN 'CEF' ELSE 'AVTP' END AS subtype,
-  CASE p_size WHEN 1 THEN 'insufficient bandwidth' WHEN 8 THEN 'egress port is not AVB-capable' WHEN 19 THEN 'SR class priority mismatch' ELSE
-  CASE WHEN p_size > 19 THEN 'unknown failure' ELSE 'known' END END AS reason FROM part""",
+  CASE p_size WHEN 1 THEN 'insufficient bandwidth' WHEN 2 THEN 'insufficient bridge resources' WHEN 3 THEN 'insufficient bandwidth for Traffic Class'
+  WHEN 4 THEN 'StreamID already in use by another Talker' WHEN 5 THEN 'stream destination address already in use' WHEN 6 THEN 'stream pre-empted by a higher-rank stream'
+  WHEN 7 THEN 'reported latency has changed' WHEN 8 THEN 'egress port is not AVB-capable' WHEN 9 THEN 'use a different destination address' WHEN 10 THEN 'out of MSRP resources'
+  WHEN 11 THEN 'out of MMRP resources' WHEN 12 THEN 'cannot store destination address' WHEN 13 THEN 'requested priority is not an SR Class priority'
+  WHEN 14 THEN 'MaxFrameSize too large for the media' WHEN 15 THEN 'max fan-in ports limit reached' WHEN 16 THEN 'changed FirstValue for a registered StreamID'
+  WHEN 17 THEN 'VLAN blocked on this egress port (registration forbidden)' WHEN 18 THEN 'VLAN tagging disabled on this egress port'
+  WHEN 19 THEN 'SR class priority mismatch' ELSE 'unknown failure' END AS reason FROM part""",
 )
 def _code_lookup(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 7).cast("int").alias("code"))
     out = lookup(df, AVTP_SUBTYPES, "code", "code int, subtype string", UNKNOWN_SUBTYPE, "subtype")
     reason = case_of(F.col("p_size"), RESERVATION_FAILURES, UNKNOWN_FAILURE)
-    shown = F.when(F.col("p_size").isin(1, 8, 19) | (F.col("p_size") > 19), reason).otherwise("known")
-    return out.select("p_partkey", "subtype", shown.alias("reason"))
+    return out.select("p_partkey", "subtype", reason.alias("reason"))
 
 
 @check(

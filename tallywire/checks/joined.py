@@ -142,12 +142,11 @@ g AS (SELECT arg_min(gm, domain) AS gm FROM m)
 SELECT c_custkey AS src_ip FROM customer WHERE c_custkey NOT IN (SELECT src FROM f) AND c_custkey <> (SELECT gm FROM g)""",
 )
 def _census_anti(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     o = table(spark, sf_dir, "orders")
     i = F.col("o_orderkey")
     ptp = o.select(
         F.col("o_custkey").alias("src_ip"),
-        F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.timestamp_seconds(F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * DAY).alias("ts"),
         F.lit(1).alias("version"),
         (i % 4).alias("message_type"),
         (i % 3).alias("domain"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallywire.checks.base import CHUNK, DAY, HOUR, ORDER, check, events, table, us
 from tallywire.functions.arith import block
-from tallywire.operators.chunks import split_large_keys
 from tallywire.operators.sequence import loss_rates, seq_gaps, tcp_retransmissions, ts_discontinuity, value_changes
 from tallywire.operators.timing import (
     final_jitter,
@@ -25,12 +24,10 @@ LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as packets of a connection; orders with very many lines are cut by day and line number."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Line items as packets of a connection, in chunks of a month of shipping: no task gets all lines of a large order."""
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", *LINE_ORDER)
-    df = df.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
-    fine = F.unix_date(F.col("l_shipdate").cast("date")) * 8 + F.col("l_linenumber")
-    return split_large_keys(df, ["l_orderkey"], fine.cast("bigint"), F.lit(0).cast("bigint"))
+    df = df.withColumn("l_shipdate", F.timestamp_seconds(F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * DAY))
+    return df.withColumn("chunk", F.year("l_shipdate") * 12 + F.month("l_shipdate"))
 
 
 def wrap_sql(x: str, bits: int) -> str:

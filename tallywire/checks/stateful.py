@@ -205,9 +205,9 @@ def _dependent_reset(spark, sf_dir):
 @check(
     "alerts_union",
     f"""
-SELECT CAST({H} AS BIGINT) AS window_start, 'error' AS level, 'clock_lost' AS code, CAST(user_id AS VARCHAR) AS subject, CAST(2 AS BIGINT) AS rank
+SELECT CAST({H} AS BIGINT) AS window_start, 'error' AS level, 'clock_lost' AS code, CAST(user_id AS VARCHAR) AS subject, CAST(1 AS BIGINT) AS rank
 FROM events WHERE event_type = 'error' AND value > 100
-UNION ALL SELECT CAST({H} AS BIGINT), 'warn', 'stream_spike', NULL, 4 FROM events WHERE event_type = 'view' GROUP BY 1 HAVING count(*) > 5
+UNION ALL SELECT CAST({H} AS BIGINT), 'warn', 'stream_spike', NULL, 3 FROM events WHERE event_type = 'view' GROUP BY 1 HAVING count(*) > 5
 UNION ALL SELECT CAST({H} AS BIGINT), 'info', 'new_device', CAST(user_id AS VARCHAR), 15 FROM events WHERE event_type = 'signup' AND value > 200""",
 )
 def _alerts_union(spark, sf_dir):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.checks.base import DAY, HOUR, check, table
+from tallywire.checks.base import DAY, HOUR, check, table, utc
 from tallywire.checks.ordered import wrap_sql
 from tallywire.plans.scoring import Limits
 from tallywire.session import checkpoint_root
@@ -29,10 +29,9 @@ def run_folder(spark: SparkSession) -> str:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return source.withColumn("ts", F.col("ts").cast("timestamp"))
+    return source.withColumn("ts", utc("ts"))
 
 
 def captured_stream(spark, sf_dir):
@@ -120,12 +119,17 @@ UNION ALL SELECT user_id, CAST(dead_at AS BIGINT), 'dead' FROM t WHERE dead_at <
 UNION ALL SELECT user_id, CAST(prune_at AS BIGINT), 'pruned' FROM t WHERE prune_at <= stop""",
 )
 def _stream_silence(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     folder = run_folder(spark)
     closed = stream_window_totals(captured_stream(spark, sf_dir), "1 day", ["user_id"], {}, seconds=DAY)
     rules = [("dead", 2 * DAY, True), ("pruned", 4 * DAY, False)]
     out = stream_silence(closed, ["user_id"], "user_id bigint", rules, DAY)
-    start(out, f"{folder}/out", f"{folder}/ck").awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)  # read when the stream starts; the caller's session stays as it was
+    try:
+        start(out, f"{folder}/out", f"{folder}/ck").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.parquet(f"{folder}/out")
 
 

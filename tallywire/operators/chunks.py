@@ -12,6 +12,7 @@ Level 2 holds as many rows per key as the key has chunks, whatever the number of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ Step = tuple[str, Callable[[Row, Row], Column]]
 Total = tuple[str, Column]
 Decay = tuple[float, Callable[[Row, Row], Column]]
 
-SPAN = 2048  # rows per segment of the closed-form fold; (16/15)^2048 stays far inside a double
+WEIGHT_LOG = 600.0  # a segment of the closed-form fold ends before its weights pass e^600, the range of a double
 
 COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -45,6 +46,7 @@ def fold_pairs(
     totals: Mapping[str, Total] | None = None,
     keep: Sequence[str] | None = None,
     decays: Mapping[str, Decay] | None = None,
+    fresh: Callable[[Row, Row], Column] | None = None,
 ) -> DataFrame:
     """Aggregate a function of each row and the row before it, per key and chunk.
 
@@ -55,10 +57,22 @@ def fold_pairs(
     A decay is `(alpha, fn)`: the moving average J += alpha * (fn - J), from 0, as it stands after each chunk. The
     recurrence is linear, so a chunk of n rows acts as J -> (1-alpha)^n J + S with S a plain weighted sum: chunks are
     summed independently and the per-chunk rows are combined in closed form. No group is ever collected.
+
+    `fresh(previous, current)` says that a row starts a new session: its step is null like that of a first row, and
+    averages start from 0 again.
     """
     key, order, chunk = list(key), list(order), list(chunk)
     totals, decays = dict(totals or {}), dict(decays or {})
     names = list(fields)
+
+    def new(p: Row, c: Row) -> Column:
+        return F.coalesce(fresh(p, c), F.lit(False)) if fresh else F.lit(False)
+
+    def inside(fn: Callable[[Row, Row], Column]) -> Callable[[Row, Row], Column]:
+        return (lambda p, c: F.when(~new(p, c), fn(p, c))) if fresh else fn
+
+    steps = {out: (how, inside(fn)) for out, (how, fn) in steps.items()}
+    decays = {out: (a, inside(fn)) for out, (a, fn) in decays.items()}
     rows = df.select(
         *[F.col(c) for c in dict.fromkeys(key + chunk)],
         *[F.col(c).alias(f"_o_{i}") for i, c in enumerate(order)],
@@ -77,10 +91,17 @@ def fold_pairs(
         rows = rows.withColumn("_after", F.count(F.lit(1)).over(whole) - F.row_number().over(w))
     before = {n: F.col(f"_p_{n}") for n in names}
     here = {n: F.col(f"_c_{n}") for n in names}
+    live = F.lit(True)
+    if decays and fresh:
+        later = w.rowsBetween(1, Window.unboundedFollowing)
+        rows = rows.withColumn("_new", (~F.col("_head") & new(before, here)).cast("bigint"))
+        rows = rows.withColumn("_later", F.coalesce(F.sum("_new").over(later), F.lit(0)))
+        live = F.col("_later") == 0
     per_chunk = rows.groupBy(*key, *chunk).agg(
         *[COMBINE[how](fn(before, here)).alias(out) for out, (how, fn) in steps.items()],
         *[COMBINE[how](F.col(f"_t_{out}")).alias(out) for out, (how, _) in totals.items()],
-        *[F.sum(fn(before, here) * F.pow(F.lit(1.0 - a), F.col("_after"))).alias(out) for out, (a, fn) in decays.items()],
+        *[F.sum(F.when(live, fn(before, here) * F.pow(F.lit(1.0 - a), F.col("_after")))).alias(out) for out, (a, fn) in decays.items()],
+        (F.sum("_new") if decays and fresh else F.lit(0)).alias("_breaks"),
         F.count(F.lit(1)).alias("_rows"),
         *[F.max(F.when(F.col("_head"), F.col(f"_c_{n}"))).alias(f"_f_{n}") for n in names],
         *[F.max(F.when(F.col("_tail"), F.col(f"_c_{n}"))).alias(f"_l_{n}") for n in names],
@@ -89,16 +110,21 @@ def fold_pairs(
     per_chunk = per_chunk.select("*", *[F.lag(f"_l_{n}").over(across).alias(f"_e_{n}") for n in names])
     edge = {n: F.col(f"_e_{n}") for n in names}
     first = {n: F.col(f"_f_{n}") for n in names}
+    if decays and fresh:
+        starts = ((F.col("_breaks") > 0) | new(edge, first)).cast("bigint")
+        per_chunk = per_chunk.withColumn("_session", F.sum(starts).over(across))
     merged = per_chunk.select(
         *key,
         *chunk,
+        *(["_session"] if decays and fresh else []),
         *[merge_two(how, F.col(out), fn(edge, first)).alias(out) for out, (how, fn) in steps.items()],
         *totals,
         *[
             (
                 (
                     F.coalesce(F.col(out), F.lit(0.0))
-                    + F.coalesce(fn(edge, first), F.lit(0.0)) * F.pow(F.lit(1.0 - a), F.col("_rows") - 1)
+                    + F.when(F.col("_breaks") == 0, F.coalesce(fn(edge, first), F.lit(0.0)) * F.pow(F.lit(1.0 - a), F.col("_rows") - 1))
+                    .otherwise(0.0)
                 )
                 * a
             ).alias(out)
@@ -107,7 +133,10 @@ def fold_pairs(
         *(["_rows"] if decays else []),
     )
     if decays:
-        merged = fold_decays(merged, key, chunk, {out: 1.0 - a for out, (a, _) in decays.items()}).drop("_rows")
+        lives = [*key, "_session"] if fresh else key
+        for out, (a, _) in decays.items():  # segments depend on the rate
+            merged = fold_decays(merged, lives, chunk, {out: 1.0 - a})
+        merged = merged.drop("_rows", "_session")
     if keep is None or list(keep) == chunk:
         return merged
     ways = {**{o: h for o, (h, _) in steps.items()}, **{o: h for o, (h, _) in totals.items()}}
@@ -120,13 +149,16 @@ def fold_pairs(
 def fold_decays(per_chunk: DataFrame, key: list[str], chunk: list[str], keeps: Mapping[str, float], rows: str = "_rows") -> DataFrame:
     """Turn the weighted sums of chunks into the averages after them: earlier sums count keep^(rows since).
 
-    Running sums are taken in segments of SPAN rows, with weights relative to the segment's start. What the segment
-    before leaves behind is added; older ones weigh less than keep^SPAN, which no double can show.
+    Running sums are taken in segments of rows, with weights relative to the segment's start; a segment is as long as the
+    smallest `keep` lets weights grow. What the segment before leaves behind is added; older ones weigh less than
+    e^-WEIGHT_LOG, which no double can show. With several rates call this once for each.
     """
+    least = min(keeps.values())
+    span = max(1, int(WEIGHT_LOG / -math.log(least))) if 0 < least < 1 else 1
     across = Window.partitionBy(*key).orderBy(*chunk)
     upto = across.rowsBetween(Window.unboundedPreceding, 0)
     placed = per_chunk.withColumn("_at", F.sum(rows).over(upto))
-    placed = placed.withColumns({"_seg": F.floor(F.col("_at") / SPAN), "_pos": F.pmod("_at", F.lit(SPAN))})
+    placed = placed.withColumns({"_seg": F.floor(F.col("_at") / span), "_pos": F.pmod("_at", F.lit(span))})
     seg = Window.partitionBy(*key, "_seg").orderBy(*chunk)
     so_far = seg.rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumns(
@@ -231,26 +263,3 @@ def with_running_sum(
         *[(F.coalesce(F.col(f"_w_{n}"), zero) + F.coalesce(F.col(f"_in_{n}"), zero)).alias(n) for n in fields],
     )
 
-
-def split_large_keys(
-    df: DataFrame,
-    key: Sequence[str],
-    fine: Column,
-    none: Column,
-    name: str = "chunk",
-    min_rows: int = 2_000_000,
-    buckets: int = 1 << 16,
-) -> DataFrame:
-    """Add a chunk column: `fine` for keys that may hold many rows, the constant `none` for the rest.
-
-    Keys are counted by hash bucket in one narrow pass, so at most `buckets` rows are shuffled and broadcast. A
-    bucket is large from `min_rows` rows on if it also holds four times the mean; keys that share a bucket with a
-    large one are cut as well, which changes the work but never the result. What stays uncut is below
-    max(min_rows, 4/buckets of all rows).
-    """
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    counts = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    mean = counts.select(F.sum("_n") / float(buckets)).scalar()
-    large = counts.where((F.col("_n") >= min_rows) & (F.col("_n") >= mean * 4)).select("_bucket", F.lit(True).alias("_large"))
-    marked = df.withColumn("_bucket", bucket).join(F.broadcast(large), "_bucket", "left")
-    return marked.select(*df.columns, F.when(F.col("_large"), fine).otherwise(none).alias(name))

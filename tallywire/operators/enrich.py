@@ -317,26 +317,28 @@ def source_rollup(connections: DataFrame, sources: DataFrame, key: str = "src_ip
     return partial.withColumnRenamed("_end", key).join(sources.select(key).distinct(), key, "left_semi")
 
 
-def known_ends(segments: DataFrame, sources: DataFrame, src: str = "src_ip", dst: str = "dst_ip", key: str = "src_ip") -> DataFrame:
-    """Add `src_known`/`dst_known`: whether either end is a known source. Two equi joins, no OR join."""
-    ids = sources.select(F.col(key).alias("_id")).distinct()
+def known_ends(
+    segments: DataFrame, sources: DataFrame, src: str = "src_ip", dst: str = "dst_ip", key: str = "src_ip", by: Sequence[str] = ()
+) -> DataFrame:
+    """Add `src_known`/`dst_known`: whether either end is a known source of the same `by` columns (a capture). Two equi joins, no OR join."""
+    ids = sources.select(*by, F.col(key).alias("_id")).distinct()
     out = segments
     for side, name in ((src, "src_known"), (dst, "dst_known")):
-        flag = ids.select(F.col("_id").alias(side), F.lit(True).alias(name))
-        out = out.join(flag, side, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        flag = ids.select(*by, F.col("_id").alias(side), F.lit(True).alias(name))
+        out = out.join(flag, [*by, side], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return out
 
 
-def relevant_segments(segments: DataFrame, sources: DataFrame, lo: int = 5960, hi: int = 5980) -> DataFrame:
+def relevant_segments(segments: DataFrame, sources: DataFrame, lo: int = 5960, hi: int = 5980, by: Sequence[str] = ()) -> DataFrame:
     """TCP segments on a media port or from/to a known source."""
-    ends = known_ends(segments, sources)
+    ends = known_ends(segments, sources, by=by)
     port = F.col("src_port").between(lo, hi) | F.col("dst_port").between(lo, hi)
     return ends.where(port | F.col("src_known") | F.col("dst_known")).select(*segments.columns)
 
 
-def attribute_sender(segments: DataFrame, sources: DataFrame) -> DataFrame:
+def attribute_sender(segments: DataFrame, sources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add `sender`: the source address if known, else the destination if known, else null."""
-    ends = known_ends(segments, sources)
+    ends = known_ends(segments, sources, by=by)
     sender = F.when(F.col("src_known"), F.col("src_ip")).when(F.col("dst_known"), F.col("dst_ip"))
     return ends.select(*segments.columns, sender.alias("sender"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywire.functions.arith import percent, signed_wrap
+from tallywire.functions.arith import micros, percent, signed_wrap
 from tallywire.operators.chunks import Row, Step, fold_pairs
 
 
@@ -48,7 +48,8 @@ def seq_gaps(
 
 
 def loss_rates(windows: DataFrame, key: Sequence[str], window: str = "window_start") -> DataFrame:
-    """Add the loss and reorder percentages of each Window and the running lifetime loss of its key."""
+    """Add the loss and reorder percentages of each Window and the running lifetime loss of its key. A key that comes back after
+    being pruned has a new lifetime: put the `session` of `silence_states` into `key`."""
     life = Window.partitionBy(*key).orderBy(window).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("received") + F.col("lost")
     return windows.withColumns(
@@ -120,16 +121,20 @@ def tcp_retransmissions(
     chunk: Sequence[str] = ("window_start",),
     keep: Sequence[str] = (),
     totals: dict[str, Column] | None = None,
+    prune: float | None = None,
+    ts: str = "ts",
+    window: str = "window_start",
 ) -> DataFrame:
     """Rows behind the highest sequence number so far, not SYN, from the third row of the connection on.
 
     Sequence numbers are unwrapped by summing signed steps. A chunk needs three values from the past: its offset,
     the highest number reached and the rows seen, all of which come from one small row per chunk. `keep` names chunk
-    columns of the result, `totals` further sums.
+    columns of the result, `totals` further sums. With `prune`, a connection that was silent for so many whole seconds when a Window began
+    is a new one on the same ports (chunks must not be longer than Windows).
     """
     key, order, chunk = list(key), list(order), list(chunk)
     syn = F.lit(False) if syn is None else F.coalesce(syn, F.lit(False))
-    base = df.select(*key, *chunk, *order, F.col(seq).cast("bigint").alias("_seq"), syn.alias("_syn"), *[c.cast("bigint").alias(f"_t_{n}") for n, c in (totals or {}).items()])
+    base = df.select(*key, *dict.fromkeys([*chunk, *order]), *([micros(ts).alias("_us"), micros(window).alias("_begin_us")] if prune is not None else []), F.col(seq).cast("bigint").alias("_seq"), syn.alias("_syn"), *[c.cast("bigint").alias(f"_t_{n}") for n, c in (totals or {}).items()])
     w = Window.partitionBy(*key, *chunk).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -143,8 +148,14 @@ def tcp_retransmissions(
         F.max("_rel").alias("_top"),
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(F.col("_rn") == 1, F.col("_seq"))).alias("_first"),
+        *([F.max("_us").alias("_last_us"), F.min("_begin_us").alias("_begin_us")] if prune is not None else []),
     )
     across = Window.partitionBy(*key).orderBy(*chunk)
+    if prune is not None:
+        silent = F.floor((F.col("_begin_us") - F.lag("_last_us").over(across)) / 1_000_000) >= prune
+        per_chunk = per_chunk.withColumn("_new", F.coalesce(silent, F.lit(False)).cast("bigint"))
+        per_chunk = per_chunk.withColumn("_life", F.sum("_new").over(across))
+        across = Window.partitionBy(*key, "_life").orderBy(*chunk)
     past = across.rowsBetween(Window.unboundedPreceding, -1)
     last = signed_wrap(F.col("_first") + F.col("_end"), bits)
     per_chunk = per_chunk.withColumn("_last", last)

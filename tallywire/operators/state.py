@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.arith import micros, period_micros
 from tallywire.operators.chunks import with_previous, with_running_sum
-from tallywire.operators.windows import WINDOW_SECONDS
+from tallywire.operators.windows import WINDOW_SECONDS, with_until
 
 
 def _length(seconds: float) -> Column:
@@ -23,7 +23,7 @@ def clock_sessions(
     window: str = "window_start",
     seconds: float = WINDOW_SECONDS,
     timeout: float = 5,
-    until: Column | None = None,
+    until: Column | DataFrame | None = None,
     refresh: Column | None = None,
 ) -> DataFrame:
     """Per clock domain and active Window: the session number and, on its last Window, when the clock is lost.
@@ -41,7 +41,8 @@ def clock_sessions(
     per = per.withColumn("session", F.sum(broke.cast("bigint")).over(w))
     due = F.col("_us") + _length(timeout)
     lost_at = due - F.pmod(due, _length(seconds)) + _length(seconds)  # first end strictly after the limit
-    last_end = F.coalesce(F.col("_next"), micros(until) + _length(seconds) if until is not None else F.lit(None))
+    per = with_until(per, until)
+    last_end = F.coalesce(F.col("_next"), F.col("_until") + _length(seconds))
     return per.select(
         *key,
         window,
@@ -60,7 +61,7 @@ def clock_state(
     chunk: Sequence[str] = ("window_start",),
     seconds: float = WINDOW_SECONDS,
     timeout: float = 5,
-    until: Column | None = None,
+    until: Column | DataFrame | None = None,
 ) -> DataFrame:
     """Clock events per domain: detected, changed (with the clock before) and lost.
 
@@ -241,16 +242,16 @@ def dependent_reset(
 
 # Fixed order in which the checks of one Window report.
 ALERT_ORDER = [
-    "refclk_mismatch",
     "clock_lost",
     "clock_dropout",
     "stream_spike",
-    "multiple_queriers",
     "slow_queries",
+    "multiple_queriers",
     "version_mismatch",
     "filtered_multicast",
     "high_multicast",
     "ptp_blocked",
+    "refclk_mismatch",
     "ip_config",
     "bridged_network",
     "followers_missing",

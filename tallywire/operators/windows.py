@@ -299,6 +299,15 @@ def qos_status(streams: DataFrame, group: Sequence[str], violations: str = "dscp
     return out.withColumn("qos", F.when(F.col("streams") == 0, "none").when(F.col("bad") == 0, "ok").otherwise("violations"))
 
 
+def with_until(df: DataFrame, until: Column | DataFrame | None, name: str = "_until") -> DataFrame:
+    """Add the start of the last Window in microseconds: one for all rows, or one per capture from a table with the key columns and
+    `until`."""
+    if isinstance(until, DataFrame):
+        keys = [c for c in until.columns if c != "until"]
+        return df.join(until.select(*keys, micros("until").alias(name)), keys, "left")
+    return df.withColumn(name, micros(until) if until is not None else F.lit(None).cast("bigint"))
+
+
 def silence_states(
     active: DataFrame,
     key: Sequence[str],
@@ -307,19 +316,21 @@ def silence_states(
     seconds: float = WINDOW_SECONDS,
     dead: float = 10,
     prune: float = 20,
-    until: Column | None = None,
+    until: Column | DataFrame | None = None,
 ) -> DataFrame:
     """State of every key at each Window end from its first row until it is pruned.
 
     `active` has one row per key and Window with rows, holding the last arrival. Silent Windows are generated per
-    key only up to the prune limit, so there is no product of keys and Windows. `until` is the last Window's start.
+    key only up to the prune limit, so there is no product of keys and Windows. `until` is the last Window's start,
+    or a table with that start by capture (see `with_until`).
     A key is dead after more than `dead` seconds of silence and pruned at `prune` whole seconds; `session` numbers
     the lives between prunes.
     """
     length = F.lit(period_micros(seconds)).cast("bigint")
     w = Window.partitionBy(*key).orderBy(window)
-    rows = active.select(
+    rows = with_until(active, until).select(
         *key,
+        "_until",
         F.col(window),
         micros(window).alias("_w"),
         micros(last_ts).alias("_us"),
@@ -332,7 +343,7 @@ def silence_states(
     past = F.pmod(F.col("_us") + F.lit(period_micros(prune)).cast("bigint"), length)
     gone = F.col("_us") + F.lit(period_micros(prune)).cast("bigint")
     prune_end = F.when(past == 0, gone).otherwise(gone - past + length)  # first close at or after the limit
-    final = F.coalesce(F.col("_next") - length, micros(until) if until is not None else F.col("_w"))
+    final = F.coalesce(F.col("_next") - length, F.col("_until"), F.col("_w"))
     last = F.greatest(F.least(prune_end - length, final), F.col("_w"))
     ends = F.explode(F.sequence(F.col("_w"), last, length)).alias("_at")
     out = rows.select(*key, "session", "_us", ends)

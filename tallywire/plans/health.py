@@ -24,11 +24,13 @@ def stream_windows(
     window: str = "window_start",
     gap_ms: float = 50.0,
     extra: Mapping[str, Total] | None = None,
+    prune: float | None = None,
 ) -> DataFrame:
     """All metrics of every stream and Window from one shuffle and one sort of the packets.
 
     Uses whichever of the columns rtp_seq, rtp_ts, rtp_ssrc, clock_hz, ptime_ms, clock_confirmed, frame_bytes,
     dscp_viol, pcp_viol, pt_mismatch and ttl are present; `jitter_ms` is the jitter at the end of the Window. `extra` adds totals `{name: (combine, column)}`.
+    A stream that was silent for `prune` whole seconds when its Window began starts afresh, as in `silence_states`.
     """
     have = set(packets.columns)
     fields: dict[str, Column | str] = {"us": micros(ts)}
@@ -68,7 +70,11 @@ def stream_windows(
     if "ttl" in have:
         totals["min_ttl"] = ("min", F.col("ttl"))
     totals.update(extra or {})
-    out = fold_pairs(packets, key, order, chunk, fields, steps, totals, [window], decays)
+    fresh = None
+    if prune is not None:
+        fields["begin"] = micros(window)
+        fresh = lambda p, c: F.floor((c["begin"] - p["us"]) / MICROS) >= prune
+    out = fold_pairs(packets, key, order, chunk, fields, steps, totals, [window], decays, fresh)
     out = out.withColumns({n: F.col(n) * 1000.0 for n in decays})
     counted = [n for n, (how, _) in steps.items() if how == "sum"]
     return out.withColumns({n: F.coalesce(n, F.lit(0).cast("bigint")) for n in counted}).withColumn(
@@ -79,7 +85,7 @@ def stream_windows(
 def with_silence(
     stream_rows: DataFrame,
     key: Sequence[str],
-    until: Column,
+    until: Column | DataFrame,
     window: str = "window_start",
     seconds: float = WINDOW_SECONDS,
     dead: float = 10,
@@ -90,9 +96,10 @@ def with_silence(
     rest = stream_rows.drop("last_ts")
     out = states.where(F.col("state") != "pruned").join(rest, [*key, window], "left")
     counts = [c for c in ("received", "lost") if c in rest.columns]
+    others = ("reorders", "gap_events", "ssrc_changes", "ts_disc", "bytes", "dscp_viol", "pcp_viol", "pt_mismatch", "ecn_marks")
     end = micros(window) + F.lit(period_micros(seconds)).cast("bigint")
     out = out.withColumn("silent_secs", (end - micros("last_ts")) / float(MICROS))
-    out = out.na.fill(0, counts)
+    out = out.na.fill(0, [*counts, *[c for c in others if c in rest.columns]])
     life = Window.partitionBy(*key, "session").orderBy(window).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({f"lifetime_{c}": F.sum(c).over(life) for c in counts})
     if len(counts) == 2:

@@ -38,6 +38,7 @@ from tallywire.plans.report import window_report
 from tallywire.plans.scoring import Limits, health_score, infrastructure_deductions, penalties, stream_diagnostics
 
 BY = ["capture_id"]
+PRUNE = 20  # seconds of silence after which a stream, connection or reservation is forgotten
 GROUP = ["capture_id", "window_start"]
 # Fixed value: the address that general group queries go to.
 ALL_SYSTEMS = "224.0.0.1"
@@ -56,6 +57,13 @@ class NetworkReport:
     devices: DataFrame
 
 
+def sightings(kinds: dict[str, DataFrame]) -> DataFrame:
+    """Where each sender's class was seen: control-plane messages, and device announcements, which only hardware sends."""
+    control = kinds["control_plane"].select("capture_id", "src_ip", *ORDER, "class")
+    devices = kinds["conmon"].select("capture_id", "src_ip", *ORDER, F.lit("Hardware").alias("class"))
+    return control.unionByName(devices).select(F.struct("capture_id", "src_ip").alias("_who"), *ORDER, "class")
+
+
 def media_packets(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
     """Media packets with announced fields, defaults, and flags for wrong marks and payload types.
 
@@ -67,9 +75,7 @@ def media_packets(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
     dante = stream_packets(packets).where(F.col("protocol") == "Dante")
     timing = timing_regularity(dante, STREAM_KEY, "ts", CHUNK)
     ttl = dante.groupBy(*STREAM_KEY).agg(F.min("ttl").alias("_ttl"))
-    classes = class_registry(
-        kinds["control_plane"].select(F.struct("capture_id", "src_ip").alias("_who"), *ORDER, "class"), "_who", order=ORDER
-    ).select("_who.capture_id", F.col("_who.src_ip").alias("stream_src"), "class")
+    classes = class_registry(sightings(kinds), "_who", order=ORDER).select("_who.capture_id", F.col("_who.src_ip").alias("stream_src"), "class")
     soft = ttl.join(timing, STREAM_KEY, "left").join(classes, ["capture_id", "stream_src"], "left")
     soft = soft.select(*STREAM_KEY, is_software(F.col("class"), F.col("regularity"), F.col("_ttl")).alias("_soft"))
     out = media.join(soft, STREAM_KEY, "left")
@@ -83,8 +89,7 @@ def sender_classes(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame
     dante = stream_packets(packets).where(F.col("protocol") == "Dante")
     signals = dante.groupBy(*STREAM_KEY).agg(F.min("ttl").alias("_ttl"), F.min_by("dscp", F.struct(*ORDER)).alias("_dscp"))
     timing = timing_regularity(dante, STREAM_KEY, "ts", CHUNK)
-    seen = kinds["control_plane"].select(F.struct("capture_id", "src_ip").alias("_who"), *ORDER, "class")
-    classes = class_registry(seen, "_who", order=ORDER).select("_who.capture_id", F.col("_who.src_ip").alias("stream_src"), "class")
+    classes = class_registry(sightings(kinds), "_who", order=ORDER).select("_who.capture_id", F.col("_who.src_ip").alias("stream_src"), "class")
     out = signals.join(timing, STREAM_KEY, "left").join(classes, ["capture_id", "stream_src"], "left")
     v = sender_verdict(F.col("class"), F.col("regularity"), F.col("_ttl"), F.col("_dscp"))
     return out.select(*STREAM_KEY, v.alias("_v")).select(*STREAM_KEY, "_v.*")
@@ -122,11 +127,11 @@ def clock_windows(ptp: DataFrame, events: DataFrame, windows: DataFrame, seconds
     return out.drop("_state", "_changes")
 
 
-def connection_windows(tcp: DataFrame, seconds: float, until: Column) -> DataFrame:
+def connection_windows(tcp: DataFrame, seconds: float, until: Column | DataFrame) -> DataFrame:
     """Retransmissions, resets and quality of every TCP connection per Window until it is pruned."""
     key = ["capture_id", "src_ip", "dst_ip", "src_port", "dst_port"]
     sums = {"rst_n": F.col("rst"), "fin_n": F.col("fin")}
-    per = tcp_retransmissions(tcp, key, ORDER, "tcp_seq", F.col("syn"), 32, CHUNK, ["window_start"], sums)
+    per = tcp_retransmissions(tcp, key, ORDER, "tcp_seq", F.col("syn"), 32, CHUNK, ["window_start"], sums, prune=PRUNE)
     last = per_window_last(tcp, key)
     states = silence_states(last, key, seconds=seconds, until=until).where(F.col("state") != "pruned")
     out = states.join(per, [*key, "window_start"], "left").na.fill(0, ["retransmissions", "rst_n", "fin_n"])
@@ -136,16 +141,26 @@ def connection_windows(tcp: DataFrame, seconds: float, until: Column) -> DataFra
     return out.withColumn("quality", quality).where((F.col("quality") != "terminated") | F.col("packets").isNotNull())
 
 
-def reservation_windows(avtp: DataFrame, msrp: DataFrame) -> DataFrame:
-    """Per AVB stream and active Window: frames whose priority breaks the reservation, and whether it failed."""
+def reservation_windows(avtp: DataFrame, msrp: DataFrame, until: Column | DataFrame, seconds: float = WINDOW_SECONDS) -> DataFrame:
+    """Per AVB stream and Window until it is pruned: frames whose priority breaks the declaration then in force, and whether the
+    reservation in force at the end of the Window has failed."""
+    key = ["capture_id", "stream_id"]
     talkers = msrp.where(F.col("decl_type") != "listener").select(
         "capture_id", *ORDER, *CHUNK, "stream_id", F.col("priority").alias("_p"), (F.col("decl_type") == "talker_failed").alias("_f")
     )
     rows = avtp.select("capture_id", *ORDER, *CHUNK, "stream_id", "pcp", F.lit(True).alias("_frame"))
-    rows = rows.unionByName(talkers, allowMissingColumns=True)
-    known = with_last_known(rows, ["capture_id", "stream_id"], ORDER, CHUNK, {"_declared": "_p", "_failed": "_f"})
-    return known.where(F.col("_frame")).groupBy("capture_id", "stream_id", "window_start").agg(
-        F.count_if(F.col("pcp") != F.col("_declared")).alias("pcp_viol"), F.bool_or(F.coalesce("_failed", F.lit(False))).alias("failed")
+    known = with_last_known(rows.unionByName(talkers, allowMissingColumns=True), key, ORDER, CHUNK, {"_declared": "_p"})
+    broken = known.where(F.col("_frame")).groupBy(*key, "window_start").agg(F.count_if(F.col("pcp") != F.col("_declared")).alias("pcp_viol"))
+    seen = rows.select(*key, "ts", "window_start").unionByName(talkers.select(*key, "ts", "window_start"))
+    states = silence_states(per_window_last(seen, key), key, seconds=seconds, prune=PRUNE, until=until).where(F.col("state") != "pruned")
+    last = talkers.groupBy(*key, "window_start").agg(F.max_by("_f", F.struct(*ORDER)).alias("_f"))
+    life = Window.partitionBy(*key, "session").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    out = states.select(*key, "session", "window_start").join(last, [*key, "window_start"], "left").join(broken, [*key, "window_start"], "left")
+    return out.select(
+        *key,
+        "window_start",
+        F.coalesce("pcp_viol", F.lit(0)).alias("pcp_viol"),
+        F.coalesce(F.last("_f", ignorenulls=True).over(life), F.lit(False)).alias("failed"),
     )
 
 
@@ -164,11 +179,12 @@ def network_report(
     `root` is a shared folder for the stages. Packets are stored by capture and kind, so each kind reads its own
     partitions only.
     """
-    packets = selected_packets(packets_table(frames, seconds), choices)
-    packets = stage(packets, root, "packets", ["capture_id", "kind"])
+    everything = stage(packets_table(frames, seconds), root, "packets", ["capture_id", "kind"])
+    packets = selected_packets(everything, choices)
     kinds = {name: stage(df, root, name) for name, df in kind_tables(packets).items()}
-    until = packets.select(F.max("window_start")).scalar()
-    tcp = relevant_segments(kinds["tcp"], kinds["ndi_sources"])
+    # a capture ends with its own last frame
+    until = stage(everything.groupBy(*BY).agg(F.max("window_start").alias("until")), root, "ends")
+    tcp = relevant_segments(kinds["tcp"], kinds["ndi_sources"], by=BY)
 
     media = stage(media_packets(packets, kinds), root, "media")
     extra = {
@@ -177,8 +193,8 @@ def network_report(
         "_rtp": ("max", F.col("rtp_seq").isNotNull().cast("int")),
         "_confirmed": ("max", F.col("clock_confirmed").cast("int")),
     }
-    streams = stream_windows(media, STREAM_KEY, ORDER, chunk=CHUNK, extra=extra)
-    streams = with_silence(streams, STREAM_KEY, until, seconds=seconds)
+    streams = stream_windows(media, STREAM_KEY, ORDER, chunk=CHUNK, extra=extra, prune=PRUNE)
+    streams = with_silence(streams, STREAM_KEY, until, seconds=seconds, prune=PRUNE)
     life = Window.partitionBy(*STREAM_KEY, "session").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     streams = streams.withColumns(
         {
@@ -192,7 +208,8 @@ def network_report(
     streams = stage(streams, root, "streams")
 
     pause = F.when(F.hex(F.substring("payload", 1, 2)) == "0001", "pause").when(F.hex(F.substring("payload", 1, 2)) == "0101", "pfc")
-    flows = packets.withColumn("kind", F.when(F.col("kind") == "flow_control", pause).otherwise(F.col("kind")))
+    # traffic is counted before any selection
+    flows = everything.withColumn("kind", F.when(F.col("kind") == "flow_control", pause).otherwise(F.col("kind")))
     counters = window_counters(
         flows, BY, retransmission=F.coalesce("rst", F.lit(False)), dispatched=F.col("kind").isNotNull()
     )
@@ -208,7 +225,7 @@ def network_report(
     clock_events = stage(clock_state(kinds["ptp"], clock_key, ORDER, chunk=CHUNK, seconds=seconds, until=until), root, "clock_events")
     clocks = stage(clock_windows(kinds["ptp"], clock_events, windows, seconds), root, "clocks")
     connections = stage(connection_windows(tcp, seconds, until), root, "connections")
-    reserved = stage(reservation_windows(kinds["avtp"], kinds["msrp"]), root, "reserved")
+    reserved = stage(reservation_windows(kinds["avtp"], kinds["msrp"], until, seconds), root, "reserved")
     ports = kinds["eee"].groupBy("capture_id", "chassis_id", "port_id").agg(F.min("window_start").alias("window_start"))
     running = Window.partitionBy(*BY).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     eee = windows.join(ports.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")), GROUP, "left")

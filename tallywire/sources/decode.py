@@ -26,16 +26,19 @@ ETHERTYPE_IPV4 = 0x0800
 PROTO_IGMP, PROTO_TCP, PROTO_UDP = 2, 6, 17
 
 
-def decode_l2(df: DataFrame, frame: str = "frame", max_tags: int = 4) -> DataFrame:
+def decode_l2(df: DataFrame, frame: str = "frame", few: int = 2) -> DataFrame:
     """Add `src_mac`, `ethertype`, `pcp` of the outermost tag and `l2_offset`; null when a tag is cut off.
 
-    Tag stacks deeper than `max_tags` give a null EtherType.
+    Tag stacks of any depth are walked: up to `few` tags by plain comparisons, deeper ones by a search for the first
+    position without a tag.
     """
     data = F.col(frame)
     size = F.length(data)
     marks = [f"{t:04X}" for t in VLAN_TAGS]
-    tags = F.lit(None).cast("int")
-    for i in reversed(range(max_tags + 1)):
+    places = F.sequence(F.lit(few), F.floor((size - 14) / 4).cast("int"))
+    tags = F.get(F.filter(places, lambda i: ~F.hex(cut(data, i * 4 + 12, 2)).isin(marks)), F.lit(0))
+    tags = F.when(size >= 14 + 4 * few, tags)
+    for i in reversed(range(few)):
         at = 12 + 4 * i
         tags = F.when(size < at + 2, None).when(F.hex(cut(data, at, 2)).isin(marks), tags).otherwise(F.lit(i))
     df = df.withColumn("_tags", tags)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.arith import block
 from tallywire.operators.chunks import (
-    split_large_keys,
     with_last_known,
     with_previous,
     with_running_sum,
@@ -157,13 +156,6 @@ def test_discontinuity_at_chunk_border(spark):
         assert out.first()["ts_disc"] == 2
 
 
-def test_only_large_keys_are_cut(df):
-    out = split_large_keys(df, KEY, block("n", 100), F.lit(-1).cast("bigint"), min_rows=1000)
-    chunks = {r["key"]: r["c"] for r in out.groupBy("key").agg(F.countDistinct("chunk").alias("c")).collect()}
-    assert chunks.pop("hot") == 60 and sum(c == 1 for c in chunks.values()) >= 39  # a bucket may be shared
-    assert out.count() == df.count()
-
-
 def test_no_task_gets_a_whole_hot_key(df):
     """Rows are shuffled by key and chunk: the largest shuffle group is one chunk, not the hot key."""
     out = seq_gaps(df.withColumn("chunk", block("n", 100)), KEY, ORDER, "seq", 16, ["chunk"])

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from tallywire.checks.base import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -13,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, SF, entry.queries()[name], entry.oracle_sql().get(name)) is None
 
