@@ -19,54 +19,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywire.llm.ngram_join import WORDS, Words, mix
+from tallywire.llm.ngram_join import _WORDS, mix
 
 K, SPARSE = 8, 24
 _BASE = np.uint64(0x2545F4914F6CDD1D)
+_PLACE = np.uint64((1 << 24) - 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far needs."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) <= n:
+            size = max(n + 1, 2 * len(cls.up))
+            with np.errstate(over="ignore"):
+                cls.up = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, _BASE), dtype=np.uint64)))
+                cls.down = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, _INVERSE), dtype=np.uint64)))
+        return cls.up, cls.down
+
+
 class Prefix:
     """Hashes of any stretch of words from one pass: polynomials over 64 bits."""
 
     def __init__(self, h: np.ndarray):
+        up, self.down = _Powers.to(len(h))
         with np.errstate(over="ignore"):
-            n = len(h)
-            power = np.cumprod(np.full(n, _BASE), dtype=np.uint64)
-            self.shift = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, _INVERSE), dtype=np.uint64)))
-            # sum of h[i] * base^(i + 1); a stretch is a difference, shifted to the power of its start
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)))
+            # sum of h[i] * base^i; a stretch is a difference, shifted by the power of its start
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
 
     def hash(self, starts: np.ndarray, length: int, seed: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            part = self.sums[starts + length] - self.sums[starts]
-            return mix(part * self.shift[starts], seed)
-
-
-def _hashes(text: str | None, words: Words) -> np.ndarray:
-    found = WORDS.findall(text or "")
-    return np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-
-
-def retained(h: np.ndarray, prefix: Prefix, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window start, retained place) of every window of `length` words: the leftmost smallest of its first SPARSE k-grams."""
-    grams = prefix.hash(np.arange(len(h) - K + 1), K, 21)
-    windows = len(h) - length + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, SPARSE)[:windows]
-    starts = np.arange(windows)
-    return starts, starts + view.argmin(1)
+            return mix((self.sums[starts + length] - self.sums[starts]) * self.down[starts], seed)
+
+
+def retained(h: np.ndarray, prefix: Prefix, length: int) -> np.ndarray:
+    """The retained place of every window of `length` words: the leftmost smallest of its first SPARSE k-grams. The minimum runs
+    over numbers that hold 40 bits of the k-gram's hash and its place, widened step by step."""
+    n = len(h) - K + 1
+    with np.errstate(over="ignore"):
+        grams = (prefix.sums[K:] - prefix.sums[:n]) * prefix.down[:n] * np.uint64(0x9E3779B97F4A7C15)
+    least = (grams & ~_PLACE) | (np.arange(n, dtype=np.uint64) & _PLACE)
+    width = 1
+    while width < SPARSE:
+        step = min(width, SPARSE - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    starts = np.arange(len(h) - length + 1)
+    low = (least[: len(starts)] & _PLACE).astype(np.int64)
+    return starts + ((low - starts) & int(_PLACE))  # a place is near its window, so its lower bits tell it in a text of any length
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = Words()
         found, places, keys = [], [], []
         for i, t in enumerate(batch.column(1).to_pylist()):
-            h = _hashes(t, words)
+            h = _WORDS.hashes(t)
             if len(h) < length:
                 continue
             p = Prefix(h)
-            at = np.unique(retained(h, p, length)[1])
+            at = np.unique(retained(h, p, length))
             found.append(p.hash(at, length - SPARSE + 1, 22).view(np.int64))
             places.append(at.astype(np.int32))
             keys.append(np.full(len(at), i))
@@ -74,15 +89,22 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(places))], ["suffix", "key", "place"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        size = pa.array([len(x) for x in raw], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.compress(x).to_pybytes() for x in raw], pa.binary()), size], ["key", "data", "size"])
+
+
 def _extended(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
     for batch in batches:
-        words = Words()
         found, begins, keys = [], [], []
-        for i, (t, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            h = _hashes(t, words)
+        for i, (data, size, at) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+            h = _WORDS.hashes(codec.decompress(data, size).to_pybytes().decode("utf-8", "surrogatepass"))
             p = Prefix(h)
-            starts, place = retained(h, p, length)
-            starts = starts[np.isin(place, np.array(at))]
+            starts = np.flatnonzero(np.isin(retained(h, p, length), np.array(at)))
             found.append(p.hash(starts, length, 23).view(np.int64))
             begins.append(starts.astype(np.int32))
             keys.append(np.full(len(starts), i))
@@ -108,7 +130,7 @@ def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str =
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     suffixes = rows.mapInArrow(lambda it: _suffixes(it, length), f"suffix bigint, key {kind}, place int")
     places = suffixes.join(_in_two(suffixes, "suffix"), "suffix", "left_semi").groupBy("key").agg(F.collect_list("place").alias("places"))
-    again = rows.join(places, "key").select("key", "text", "places")
+    again = rows.mapInArrow(_packed, f"key {kind}, data binary, size bigint").join(places, "key").select("key", "data", "size", "places")
     windows = again.mapInArrow(lambda it: _extended(it, length), f"window bigint, key {kind}, start int")
     found = windows.join(_in_two(windows, "window"), "window", "left_semi").select("key", "start").distinct()
     edge = found.selectExpr("*", "start - lag(start) OVER (PARTITION BY key ORDER BY start) AS step")
