@@ -3,8 +3,8 @@
 Two sets of sizes a <= b reach a Jaccard similarity s only if they differ in at most (1-s)/(1+s)*(a+b) elements and a >= s*b.
 Sizes are cut into bands; a set signs for its own band and for the next one if a partner can be there. For a band whose
 pairs differ in at most k elements, the feature domain is hashed to n1 partitions of two levels. A pair differs in at
-most one element in some partition (n1 * 2 > k), so there all second-level parts but one agree: the signatures of a partition
-are its elements without one of its n2 parts, for each of the n2 choices.
+most one element in some partition (n1 * 2 > k), so one of the two second-level parts of that partition agrees: each part of
+each partition gives a signature.
 
 Empty projections would put unrelated sets together. Each band has a few partitions more than the proof needs; a set whose
 empty partitions are no more than these signs without them, and a set with more of them signs by the next of FAMILIES
@@ -21,14 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywire.llm.common import components, stored
 
-WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
 FAMILIES = 4
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -43,27 +40,40 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Words(dict):
-    """A 64-bit hash by word, kept while a batch is read."""
+    """A 64-bit hash by word (its UTF-8 bytes), kept by a Python worker; when full, it starts again."""
 
-    def __missing__(self, word: str) -> int:
+    MOST = 600_000
+
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
+    def hashes(self, text: str | None, lower: bool = False) -> np.ndarray:
+        """The hashes of a text's words. Bytes split at, and `lower` lowers, exactly the ASCII characters that are meant."""
+        data = (text or "").encode("utf-8", "surrogatepass")
+        found = (data.lower() if lower else data).split()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+_WORDS = Words()
 
-def shingles(text: str | None, words: Words, n: int = 5) -> np.ndarray:
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """The sorted different hashes of a text's n-word shingles; with fewer words, of the whole sequence; none without words."""
-    found = WORDS.findall((text or "").translate(UPPER) if text and not text.islower() else text or "")
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    h = _WORDS.hashes(text, lower=True)
+    if not len(h):
+        return h
     width = min(n, len(h))
     rows = len(h) - width + 1
-    out = np.full(rows, np.uint64(len(h) if width < n else 0))
-    for i in range(width):
-        out = mix(out ^ h[i : i + rows], i)
-    return np.unique(out)
+    with np.errstate(over="ignore"):
+        out = np.full(rows, np.uint64(len(h) if width < n else 0))
+        for i in range(width):
+            out = out * np.uint64(_ODD[3]) + h[i : i + rows]
+    return np.unique(mix(out, width))
 
 
 @lru_cache(None)
@@ -78,12 +88,12 @@ def band(size: int, numerator: int = 80) -> tuple[int, int, int]:
 
 
 @lru_cache(None)
-def scheme(high: int, numerator: int = 80) -> tuple[int, int, int, int]:
-    """(k, n1, n2, spare) for pairs whose larger set has at most `high` elements."""
+def scheme(high: int, numerator: int = 80) -> tuple[int, int, int]:
+    """(k, n1, spare) for pairs whose larger set has at most `high` elements."""
     k = (100 - numerator) * 2 * high // (100 + numerator)
     needed = k // 2 + 1
     spare = 3 * needed // 10
-    return k, needed + spare, 2, spare
+    return k, needed + spare, spare
 
 
 def signatures(h: np.ndarray, numerator: int = 80) -> np.ndarray:
@@ -98,27 +108,22 @@ def signatures(h: np.ndarray, numerator: int = 80) -> np.ndarray:
     out = []
     with np.errstate(over="ignore"):
         for tag, top in tags:
-            k, n1, n2, spare = scheme(top, numerator)
+            k, n1, spare = scheme(top, numerator)
             if k == 0:  # only equal sets match
                 out.append(mix(np.array([h.sum(dtype=np.uint64)]), tag + 1000))
                 continue
             for family in range(FAMILIES):
-                where = mix(h, 7 + family)
-                cell = ((where >> np.uint64(32)) % np.uint64(n1)).astype(np.int64) * n2 + ((where & np.uint64(0xFFFFFFFF)) % np.uint64(n2)).astype(np.int64)
-                order = np.argsort(cell, kind="stable")
-                sums = np.zeros(n1 * n2, np.uint64)
-                counts = np.bincount(cell, minlength=n1 * n2)
-                first = np.flatnonzero(counts)
-                starts = np.concatenate(([0], np.cumsum(counts)))[first]
-                sums[first] = np.add.reduceat(mix(h, 3)[order], starts)
-                sums, counts = sums.reshape(n1, n2), counts.reshape(n1, n2)
-                rest = sums.sum(1, keepdims=True, dtype=np.uint64) - sums  # all parts of a partition but one
-                empty = counts.sum(1, keepdims=True) == counts
-                poor = int(empty.any(1).sum()) > spare
-                place = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) + np.uint64((tag * FAMILIES + family) << 40)
-                signed = mix(rest ^ mix(place, 11), 5)
-                last = family == FAMILIES - 1
-                out.append(signed.ravel() if poor and last else signed[~empty])
+                cell = (((mix(h, 7 + family) >> np.uint64(32)) * np.uint64(2 * n1)) >> np.uint64(32)).astype(np.int64)
+                value = mix(h, 3)
+                # exact sums modulo 2^64 in two halves: 2^21 numbers of 32 bits fit a double
+                low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(float), 2 * n1).astype(np.uint64)
+                top = np.bincount(cell, (value >> np.uint64(32)).astype(float), 2 * n1).astype(np.uint64)
+                sums = low + (top << np.uint64(32))
+                empty = np.bincount(cell, minlength=2 * n1) == 0
+                poor = int((empty[::2] | empty[1::2]).sum()) > spare
+                place = np.arange(2 * n1, dtype=np.uint64) + np.uint64((tag * FAMILIES + family) << 40)
+                signed = mix(sums ^ mix(place, 11), 5)
+                out.append(signed if poor and family == FAMILIES - 1 else signed[~empty])
                 if not poor:
                     break
     return np.concatenate(out)
@@ -139,8 +144,7 @@ def classes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words()
-            sets = [shingles(t, words, n) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             digest = [_digest(s) if len(s) else None for s in sets]
             yield _batches([batch.column(0), [len(s) for s in sets], digest], ["key", "n_shingles", "digest"], [None, pa.int64(), pa.binary()])
 
@@ -154,10 +158,9 @@ def signed(docs: DataFrame, text: str, n: int, numerator: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            words = Words()
             sigs, ids, held = [], [], 0
             for t in batch.column(0).to_pylist():
-                s = shingles(t, words, n)
+                s = shingles(t, n)
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
@@ -174,36 +177,46 @@ def signed(docs: DataFrame, text: str, n: int, numerator: int) -> DataFrame:
 
 
 def _linked(pairs: Iterator[pa.RecordBatch], n: int, numerator: int) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
     for batch in pairs:
-        words = Words()
-        known: dict[str, np.ndarray] = {}
+        known: dict[bytes, np.ndarray] = {}
 
-        def of(t: str) -> np.ndarray:
-            if t not in known:
+        def of(data: bytes, size: int) -> np.ndarray:
+            if data not in known:
                 if len(known) > 2000:
                     known.clear()
-                known[t] = shingles(t, words, n)
-            return known[t]
+                known[data] = shingles(codec.decompress(data, size).to_pybytes().decode("utf-8", "surrogatepass"), n)
+            return known[data]
 
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            a, b = of(x), of(y)
+            a, b = of(x["data"], x["size"]), of(y["data"], y["size"])
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= numerator * (len(a) + len(b) - both))
         mask = pa.array(keep, pa.bool_())
         yield _batches([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"], [None, None])
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
+    kind = pa.struct([("data", pa.binary()), ("size", pa.int64())])
+    for batch in batches:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        packed = [{"data": codec.compress(x).to_pybytes(), "size": len(x)} for x in raw]
+        yield _batches([batch.column(0), packed], ["a", "ta"], [None, kind])
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, n: int, numerator: int) -> DataFrame:
     """Of candidate `pairs` (x, y: ids), the linked pairs of classes (a, b: their representatives' keys), compared exactly."""
     sized = reps.select("id", "rep", "n_shingles")
     both = pairs.join(sized.toDF("x", "a", "na"), "x").join(sized.toDF("y", "b", "nb"), "y")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * numerator).where("a <> b")
     both = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    kind = docs.schema[key].dataType.simpleString()
+    packed = docs.select(F.col(key), F.col(text)).mapInArrow(_compressed, f"a {kind}, ta struct<data: binary, size: bigint>")
     needed = both.select("a").union(both.select("b")).distinct()
-    texts = docs.select(F.col(key).alias("a"), F.col(text).alias("ta")).join(needed, "a", "left_semi").dropDuplicates(["a"])
+    texts = stored(packed.join(needed, "a", "left_semi").dropDuplicates(["a"]), "texts")
     full = both.join(texts, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    kind = docs.schema[key].dataType.simpleString()
     return full.mapInArrow(lambda it: _linked(it, n, numerator), f"a {kind}, b {kind}")
 
 
@@ -241,9 +254,9 @@ def id_of(digest: str):
 
 def linked_classes(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, numerator: int) -> DataFrame:
     """The links (a, b) that make the components, between representatives of classes."""
-    members = signed(docs, text, n, numerator).distinct()
-    starred = members.selectExpr("signature", "id", "first(id) OVER (PARTITION BY signature ORDER BY id) AS head", "count(*) OVER (PARTITION BY signature) AS n")
-    groups = stored(starred.where("n > 1").select("signature", "id", "head"), "groups")
+    ends = "min(id) OVER (PARTITION BY signature) AS head", "max(id) OVER (PARTITION BY signature) AS top"
+    members = signed(docs, text, n, numerator).selectExpr("signature", "id", *ends)
+    groups = stored(members.where("head < top").select("signature", "id", "head"), "groups")
     star = groups.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
     links = stored(verified(star, reps, docs, key, text, n, numerator), "links")
     labels = components(links).toDF("rep", "component")
