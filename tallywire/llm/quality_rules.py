@@ -67,20 +67,26 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     """One row per document: its `keep` columns (all by default) in the struct `doc`, and what the rules look at.
 
     n_words, word_chars (code points in words), n_symbols, n_lines (lines with a word), n_dup_lines (of them, equal to an
-    earlier line), n_repeat_words, n_function_words (different ones), n_closed_lines, n_upper. The whole text is read.
+    earlier line), n_repeat_words, n_function_words (different ones), n_closed_lines, n_upper, n_letters, n_symbol_runs, n_bare (words of
+    neither letters nor digits). The whole text is read.
     A null text measures like an empty one (all 0). Columns of the same names are safe inside `doc`.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    upper = F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))
+    upper = F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
+    letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))
+    bare = F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"))
     return docs.select(
         F.struct(*[F.col(c) for c in (docs.columns if keep is None else keep)]).alias("doc"),
         F.length(F.translate(t, SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         upper.cast("bigint").alias("n_upper"),
+        letters.cast("bigint").alias("n_letters"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]+")).cast("bigint").alias("n_symbol_runs"),
+        bare.cast("bigint").alias("n_bare"),
         let(words_of(t), _from_words).alias("w"),
         let(lines, _from_lines).alias("l"),
-    ).select("doc", "word_chars", "n_symbols", "n_upper", "w.*", "l.*")
+    ).select("doc", "word_chars", "n_symbols", "n_upper", "n_letters", "n_symbol_runs", "n_bare", "w.*", "l.*")
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -91,12 +97,15 @@ def rules() -> dict[str, Column]:
     """The rules over the columns of `measure`: name and vote."""
     n = F.col("n_words")
     chars, symbols = _share(F.col("word_chars"), n), _share(F.col("n_symbols"), n)
+    marked, bare, letters = _share(F.col("n_symbol_runs"), n), _share(F.col("n_bare"), n), _share(F.col("n_letters"), F.col("word_chars"))
     repeat, dup = _share(F.col("n_repeat_words"), n), _share(F.col("n_dup_lines"), F.col("n_lines"))
     upper, closed = _share(F.col("n_upper"), F.col("word_chars")), _share(F.col("n_closed_lines"), F.col("n_lines"))
     return {
-        "length": _vote(n < MIN_WORDS, n >= 80),
         "word_length": _vote((chars < 2.5) | (chars > 12), chars.between(3, 9)),
         "symbols": _vote(symbols > 0.1, symbols < 0.02),
+        "marked_words": _vote(marked > 0.1, marked < 0.02),
+        "letters": _vote(letters < 0.75, letters > 0.9),
+        "bare_words": _vote(bare > 0.1, bare < 0.02),
         "repeats": _vote(repeat > 0.3, repeat < 0.15),
         "dup_lines": _vote(dup > 0.3, dup < 0.1),
         "upper": _vote(upper > 0.3, upper < 0.15),
@@ -166,7 +175,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
     named = rules()
     measured = stored(measure(docs, text, keep), "measures")
     votes = measured.withColumns({f"v_{r}": v for r, v in named.items()})
-    model = fit(votes, list(named))
+    model = fit(votes.where(~base_failed()), list(named))  # of what is still to be judged
     return (
         votes.withColumn("posterior", model.posterior())
         .withColumn("base_failed", base_failed())
