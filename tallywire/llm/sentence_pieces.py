@@ -13,13 +13,12 @@ pieces if it spans exactly these, which is the library's result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +26,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 MARK = "▁"
 #: Text of a block in bytes, about; one longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
-#: Words up to this many characters keep their borders in the bits of a number; longer ones are folded in Arrow batches.
+BLOCK_BYTES = 8 << 20
+#: Words up to this many characters keep their borders in the bits of a number; longer ones are folded by the Arrow batch.
 SHORT = 60
+#: Characters by which pieces of that length and more are indexed.
+HEAD = 4
 #: A code holds the rank, start and length of an edge, in this order.
 RANK, START = 1 << 40, 1 << 8
 
@@ -45,22 +46,18 @@ class Pieces:
     bpe: bool = True
     unknown: int = 0
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.ids))
-
-    def solitary(self) -> str:
-        """White space that stands in no piece of two characters or more."""
+    def cutter(self) -> re.Pattern:
+        """Cuts a chunk (the text from one word mark to the next) to words that no piece reaches across: around white space that stands in no
+        longer piece, and between letters and other characters if no piece has both."""
         joined = {c for p in self.ids if len(p) > 1 for c in p}
-        return "".join(c for c in "\n\t\r" if c not in joined)
-
-    def pattern(self) -> regex.Pattern:
-        """Words: the marks before a mark, a solitary character, or the other characters up to a mark with the mark before them."""
-        alone = regex.escape(self.solitary())
-        return regex.compile(f"{MARK}+(?={MARK})" + (f"|[{alone}]" if alone else "") + f"|{MARK}?[^{MARK}{alone}]+|{MARK}")
+        alone = "".join(c for c in "\n\t\r" if c not in joined)
+        mixed = any(a.isalpha() != b.isalpha() for p in self.ids for a, b in zip(p.lstrip(MARK), p.lstrip(MARK)[1:]))
+        rest = f"[^{MARK}{alone}]+" if mixed else f"(?:[^\\W\\d_]+|(?:[^\\w{MARK}{alone}]|[\\d_])+)"
+        return re.compile(f"{MARK}?{rest}|{MARK}" + (f"|[{alone}]" if alone else ""))
 
-    def words(self, text: str, pattern: regex.Pattern) -> list[str]:
-        return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        return (MARK + text.replace(" ", MARK)).replace(MARK, " " + MARK)[1:].split(" ") if text else []
 
     def marks(self, n: int) -> list[int]:
         """Ids of a run of n marks. Its pieces rank alike, so the leftmost pair that makes a piece joins first, each time anew."""
@@ -123,9 +120,18 @@ def edges_of(words: DataFrame, pieces: Pieces) -> DataFrame:
     least = 2 if pieces.bpe else 1  # single characters are where BPE starts
     rows = [(p, ranks[pieces.scores[i]], float(pieces.scores[i])) for p, i in pieces.ids.items() if len(p) >= least]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, score double"))  # a vocabulary
+    # longer pieces are looked for only where their first HEAD characters stand
+    heads: dict[str, set[int]] = {}
+    for p in pieces.ids:
+        if len(p) >= HEAD:
+            heads.setdefault(p[:HEAD], set()).add(len(p))
+    longer = F.broadcast(spark.createDataFrame([(h, sorted(k)) for h, k in heads.items()] or [("", [])], "head string, sizes array<int>"))
     n = F.length("word")
     starts = words.where(n >= least).select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(least), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("size"))
+    headed = starts.withColumn("head", F.substring("word", F.col("start") + 1, F.lit(HEAD))).join(longer, "head", "left")
+    short = F.array(*[F.lit(k) for k in range(least, HEAD)])
+    spans = headed.select("word", "n", "start", F.explode(F.concat(short, F.coalesce("sizes", F.array().cast("array<int>")))).alias("size"))
+    spans = spans.where(F.col("start") + F.col("size") <= F.col("n"))
     parts = spans.select("word", "start", "size", F.substring("word", F.col("start") + 1, F.col("size")).alias("piece"))
     code = F.col("rank").cast("bigint") * RANK + F.col("start").cast("bigint") * START + F.col("size")
     found = parts.join(table, "piece")
@@ -173,48 +179,40 @@ def viterbi_starts(edges: Column, n: Column, unknown: float = -1e4) -> Column:
     return F.get(best, n)["starts"]
 
 
-def _long_borders(sizes, codes):
-    """Borders of long words, by the same fold over sorted codes."""
-    out = []
-    for n, c in zip(sizes, codes):
-        if c is None:
-            out.append(None)
-            continue
-        on = bytearray(b"\x01") * (n + 1)
-        for code in np.sort(np.asarray(c, np.int64)).tolist():
-            start, size = code % RANK // START, code % START
-            end = start + size
-            if on[start] and on[end] and on[start + 1 : end].count(1) == 1:
-                on[start + 1 : end] = bytes(size - 1)
-        out.append(np.flatnonzero(np.frombuffer(on, np.uint8)[:-1]).astype(np.int32))
-    return out
+def _long_starts(n: int, codes: list[int]) -> list[int]:
+    """Starts of a long word's pieces, by the same fold over sorted codes."""
+    on = bytearray(b"\x01") * (n + 1)
+    for code in np.sort(np.asarray(codes, np.int64)).tolist():
+        start, size = code % RANK // START, code % START
+        end = start + size
+        if on[start] and on[end] and on[start + 1 : end].count(1) == 1:
+            on[start + 1 : end] = bytes(size - 1)
+    return np.flatnonzero(np.frombuffer(on, np.uint8)[:-1]).tolist()
 
 
 def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids: little-endian 32-bit numbers) of every word in which two characters join; other words are their characters."""
-    @F.pandas_udf("array<int>")
-    def long_borders(sizes: pd.Series, codes: pd.Series) -> pd.Series:
-        return pd.Series(_long_borders(sizes, codes))
-
     n = F.length("word")
     lattice = edges_of(words, pieces)
     if pieces.bpe:
         folded = lattice.select(
             "word",
             F.when(n <= SHORT, bpe_borders(F.col("codes"), n)).alias("bits"),
-            long_borders(n, F.when(n > SHORT, F.col("codes"))).alias("starts"),
+            F.when(n > SHORT, F.col("codes")).alias("more"),
         )
     else:
-        folded = lattice.select("word", F.lit(None).cast("bigint").alias("bits"), viterbi_starts(F.col("edges"), n).alias("starts"))
+        folded = lattice.select("word", F.lit(None).cast("bigint").alias("bits"), viterbi_starts(F.col("edges"), n).cast("array<bigint>").alias("more"))
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
             ids = []
-            for w, bits, starts in zip(*(c.to_pylist() for c in batch.columns)):
-                if starts is None:
+            for w, bits, more in zip(*(c.to_pylist() for c in batch.columns)):
+                if bits is not None:
                     starts = [i for i in range(len(w)) if bits >> i & 1]
+                else:
+                    starts = _long_starts(len(w), more) if p.bpe else more
                 parts = [w[a:b] for a, b in zip(starts, [*starts[1:], len(w)])]
                 ids.append(np.array(p.encode_cut(parts), "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
@@ -250,8 +248,9 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Per document its `keep` columns (all by default) in the struct `doc`, the text as `body`, and `ids`.
+def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Per document its `keep` columns (all by default) in the struct `doc`, the text as `body`, `ids`, and with `decoded` what
+    `decode` makes of these.
 
     The ids are those of the library without begin or end pieces. Empty and null texts have none; repeated rows stay; an empty table gives no rows.
     `docs` is read twice and must give the same rows in the same order within a partition, as files and stored tables do.
@@ -263,11 +262,14 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        pattern = p.pattern()
+        cut = p.cutter().findall
         for number, table in _blocks(batches):
-            words: set[str] = set()
+            chunks: set[str] = set()
             for t in table.column("body").to_pylist():
-                words.update(p.words(t or "", pattern))
+                chunks.update(p.chunks(t or ""))
+            words: set[str] = set()
+            for c in chunks:
+                words.update(cut(c))
             found = sorted(words)
             for at in range(0, len(found), 50_000):
                 part = found[at : at + 50_000]
@@ -283,41 +285,45 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
 
     def together(held: pa.Table, entries: pa.Table) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        pattern = p.pattern()
+        cut = p.cutter().findall
+        words = dict(zip(entries.column("word").to_pylist(), entries.column("ids").to_pylist()))
+        known: dict[str, bytes] = {}
         mark = p.characters(MARK)
-        known = dict(zip(entries.column("word").to_pylist(), entries.column("ids").to_pylist()))
         for data in held.column("data").to_pylist():
-            for batch in pa.ipc.open_stream(data).read_all().to_batches(max_chunksize=2000):
+            for batch in pa.ipc.open_stream(data).read_all().to_batches(max_chunksize=500):
                 ids = []
                 for t in batch.column("body").to_pylist():
                     parts, run = [], 0
-                    for w in p.words(t or "", pattern):
-                        if run or (w[0] == MARK and not w.strip(MARK)):
-                            if not w.strip(MARK) and len(w) > 1 or w == MARK:
-                                run += len(w)
-                                continue
-                            # marks join before a word whose own mark stays alone
-                            part = known[w] or p.characters(w)
-                            own = w[0] == MARK and part[:4] == mark
-                            parts += [np.array(p.marks(run + own), "<i4").tobytes(), part[4 * own :]]
-                            run = 0
+                    for c in p.chunks(t or ""):
+                        if c == MARK:
+                            run += 1
                             continue
-                        part = known[w]
-                        if part is None:  # no two of its characters join
-                            known[w] = part = p.characters(w)
+                        part = known.get(c)
+                        if part is None:  # a word in which no two characters join has no entry
+                            known[c] = part = b"".join([words[w] or p.characters(w) for w in cut(c)])
+                        if run:  # marks join before a word whose own mark stays alone
+                            own = part[:4] == mark
+                            parts.append(np.array(p.marks(run + own), "<i4").tobytes())
+                            part, run = part[4 * own :], 0
                         parts.append(part)
                     if run:
                         parts.append(np.array(p.marks(run), "<i4").tobytes())
                     ids.append(np.frombuffer(b"".join(parts), "<i4"))
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("body"), pa.ListArray.from_arrays(offsets, values)], ["doc", "body", "ids"])
+                columns = [batch.column("doc"), batch.column("body"), pa.ListArray.from_arrays(offsets, values)]
+                if decoded:
+                    columns.append(pa.array([p.decode(i.tolist()) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "body", "ids", "decoded"][: len(columns)])
 
     pairs = rows.mapInArrow(distinct, "word string, block bigint").repartition("word")
-    words = pairs.groupBy("word").agg(F.min("block").alias("first")).select("word")
+    # the filter keeps `block`, so that this and the join below read the same exchange
+    words = pairs.groupBy("word").agg(F.min("block").alias("first")).where("first IS NOT NULL").select("word")
     entries = pairs.join(dictionary(words, pieces), "word", "left")
     held = rows.mapInArrow(packed, "block bigint, data binary")
     schema = _with(rows, "ids", T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = T.StructType([*schema.fields, T.StructField("decoded", T.StringType())])
 
     def tables(left: pa.Table, right: pa.Table) -> pa.Table:
         made = list(together(left, right))
