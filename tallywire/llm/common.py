@@ -60,6 +60,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")
         ).select("e.*").where("a > b").distinct()
         edges = stored(small, "edges")
+        if before is None and edges.isEmpty():
+            break
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tallywire.llm.common import components, stored
 
 FAMILIES = 4
+BITS = 2048
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -139,17 +140,35 @@ def _batches(columns: list, names: list[str], types: list[pa.DataType]) -> pa.Re
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """A set as BITS bits. Sets differ in at least as many elements as their bitmaps in bits."""
+    on = np.zeros(BITS, np.uint8)
+    on[(mix(h, 31) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(on).tobytes()
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of (a, b, na, nb, bits of a, bits of b) whose bitmaps allow a link."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
+        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        mask = pa.array(differ * (100 + numerator) <= (100 - numerator) * size)
+        yield _batches([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"], [None, None])
+
+
 def classes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, n_shingles, digest): rows with equal sets have equal digests; an empty set has none."""
+    """(key, n_shingles, digest, bits): rows with equal sets have equal digests; an empty set has none."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             digest = [_digest(s) if len(s) else None for s in sets]
-            yield _batches([batch.column(0), [len(s) for s in sets], digest], ["key", "n_shingles", "digest"], [None, pa.int64(), pa.binary()])
+            columns = [batch.column(0), [len(s) for s in sets], digest, [bitmap(s) if len(s) else None for s in sets]]
+            yield _batches(columns, ["key", "n_shingles", "digest", "bits"], [None, pa.int64(), pa.binary(), pa.binary()])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(rows, f"key {kind}, n_shingles bigint, digest binary")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(rows, f"key {kind}, n_shingles bigint, digest binary, bits binary")
 
 
 def signed(docs: DataFrame, text: str, n: int, numerator: int) -> DataFrame:
@@ -208,11 +227,12 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, n: int, numerator: int) -> DataFrame:
     """Of candidate `pairs` (x, y: ids), the linked pairs of classes (a, b: their representatives' keys), compared exactly."""
-    sized = reps.select("id", "rep", "n_shingles")
-    both = pairs.join(sized.toDF("x", "a", "na"), "x").join(sized.toDF("y", "b", "nb"), "y")
+    kind = docs.schema[key].dataType.simpleString()
+    sized = reps.select("id", "rep", "n_shingles", "bits")
+    both = pairs.join(sized.toDF("x", "a", "na", "xbits"), "x").join(sized.toDF("y", "b", "nb", "ybits"), "y")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * numerator).where("a <> b")
+    both = both.select("a", "b", "na", "nb", "xbits", "ybits").mapInArrow(lambda it: _may_link(it, numerator), f"a {kind}, b {kind}")
     both = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    kind = docs.schema[key].dataType.simpleString()
     packed = docs.select(F.col(key), F.col(text)).mapInArrow(_compressed, f"a {kind}, ta struct<data: binary, size: bigint>")
     needed = both.select("a").union(both.select("b")).distinct()
     texts = stored(packed.join(needed, "a", "left_semi").dropDuplicates(["a"]), "texts")
@@ -231,11 +251,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     usable = docs.where(F.col(key).isNotNull())
     classed = stored(classes(docs, key, text, n), "classes")
     some = classed.where("digest IS NOT NULL AND key IS NOT NULL")
-    reps = some.groupBy("digest").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"))
+    reps = some.groupBy("digest").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     reps = stored(reps.withColumn("id", id_of("digest")), "reps")
-    edges = linked_classes(usable, reps, key, text, n, numerator)
-    labels = components(edges).toDF("rep", "component_id")
-    named = reps.join(labels, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    labels = labelled(usable, reps, key, text, n, numerator)
+    named = reps.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return classed.join(named, "digest", "left").select(
         F.col("key").alias(key),
         "n_shingles",
@@ -252,15 +271,15 @@ def id_of(digest: str):
     return low + F.shiftleft(F.when(top >= 128, top - 256).otherwise(top), 56)
 
 
-def linked_classes(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, numerator: int) -> DataFrame:
-    """The links (a, b) that make the components, between representatives of classes."""
+def labelled(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, numerator: int) -> DataFrame:
+    """(rep, component) of the representatives of classes that have links."""
     ends = "min(id) OVER (PARTITION BY signature) AS head", "max(id) OVER (PARTITION BY signature) AS top"
     members = signed(docs, text, n, numerator).selectExpr("signature", "id", *ends)
     groups = stored(members.where("head < top").select("signature", "id", "head"), "groups")
     star = groups.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
     links = stored(verified(star, reps, docs, key, text, n, numerator), "links")
-    labels = components(links).toDF("rep", "component")
-    named = reps.join(labels, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    labels = stored(components(links).toDF("rep", "component"), "labels")
+    named = reps.join(labels, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
     apart = groups.join(named, "id").select("signature", "id", "component").distinct()
     split = apart.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
     left = stored(apart.join(split, "signature", "left_semi"), "apart")
@@ -268,4 +287,9 @@ def linked_classes(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int
     x, y = sized.toDF("xid", "signature", "xc", "xn"), sized.toDF("yid", "signature", "yc", "yn")
     rest = x.join(y, "signature").where("xc < yc AND least(xn, yn) * 100 >= greatest(xn, yn) * %d" % numerator)
     rest = rest.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
-    return links.union(verified(rest, reps, docs, key, text, n, numerator))
+    more = verified(rest, reps, docs, key, text, n, numerator)
+    # links between components are few; joined components take the smaller label
+    ends = more.join(named.select("rep", "component").toDF("a", "ca"), "a").join(named.select("rep", "component").toDF("b", "cb"), "b")
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("component", "low")
+    known = named.select("rep", "component").join(joined, "component", "left")
+    return known.select("rep", F.coalesce("low", "component").alias("component"))
