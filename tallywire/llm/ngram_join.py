@@ -10,6 +10,9 @@ Empty projections would put unrelated sets together. Each band has a few partiti
 empty partitions are no more than these signs without them, and a set with more of them signs by the next of FAMILIES
 independent hashings as well (in the last one with its empty projections), so that no pair is lost.
 
+Very common shingles (a line on a third of all documents) would do the same. The families but the last sign without the HOT most common ones: sets
+without them differ in no more elements than before, so nothing is lost whichever are chosen.
+
 Equal sets are one class before anything else. Within a signature, members are compared with its smallest member, not with each
 other; what those links leave in different components is compared in a second step.
 """
@@ -23,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallywire.llm.common import components, stored
 
 FAMILIES = 4
+#: Shingles of so many documents among CHUNK shingles are common; the HOT most common ones are left out of the first families.
+COMMON, CHUNK, HOT = 8, 2_000_000, 1 << 16
 BITS = 2048
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -97,8 +103,9 @@ def scheme(high: int, numerator: int = 80) -> tuple[int, int, int]:
     return k, needed + spare, spare
 
 
-def signatures(h: np.ndarray, numerator: int = 80) -> np.ndarray:
-    """The signatures of a set of hashes: sets with a similarity of numerator/100 or more share one. None for an empty set."""
+def signatures(h: np.ndarray, numerator: int = 80, hot: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set of hashes: sets with a similarity of numerator/100 or more share one. None for an empty set.
+    `hot`: sorted hashes of very common elements."""
     size = len(h)
     if not size:
         return np.empty(0, np.uint64)
@@ -107,6 +114,11 @@ def signatures(h: np.ndarray, numerator: int = 80) -> np.ndarray:
     if size * 100 // numerator > high:
         tags.append((number + 1, band(high + 1, numerator)[2]))
     out = []
+    rare = h
+    if hot is not None and len(hot):
+        at = np.searchsorted(hot, h)
+        at[at == len(hot)] = 0
+        rare = h[hot[at] != h]
     with np.errstate(over="ignore"):
         for tag, top in tags:
             k, n1, spare = scheme(top, numerator)
@@ -114,8 +126,9 @@ def signatures(h: np.ndarray, numerator: int = 80) -> np.ndarray:
                 out.append(mix(np.array([h.sum(dtype=np.uint64)]), tag + 1000))
                 continue
             for family in range(FAMILIES):
-                cell = (((mix(h, 7 + family) >> np.uint64(32)) * np.uint64(2 * n1)) >> np.uint64(32)).astype(np.int64)
-                value = mix(h, 3)
+                some = h if family == FAMILIES - 1 else rare
+                cell = (((mix(some, 7 + family) >> np.uint64(32)) * np.uint64(2 * n1)) >> np.uint64(32)).astype(np.int64)
+                value = mix(some, 3)
                 # exact sums modulo 2^64 in two halves: 2^21 numbers of 32 bits fit a double
                 low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(float), 2 * n1).astype(np.uint64)
                 top = np.bincount(cell, (value >> np.uint64(32)).astype(float), 2 * n1).astype(np.uint64)
@@ -158,22 +171,54 @@ def _may_link(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[pa.
 
 
 def classes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, n_shingles, digest, bits): rows with equal sets have equal digests; an empty set has none."""
+    """(key, n_shingles, digest, bits): rows with equal sets have equal digests; an empty set has none. A row with n_shingles -1 has the
+    common shingles of a stretch of rows and their numbers of documents in `bits`."""
+
+    def common(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        found = np.stack((h[n >= COMMON], n[n >= COMMON].astype(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0]), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([found.tobytes()], pa.binary())], names)
+
+    names, kinds = ["key", "n_shingles", "digest", "bits"], [to_arrow_type(docs.schema[key].dataType)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+            held += [s for s in sets if len(s)]
+            size += sum(map(len, sets))
+            if size >= CHUNK:
+                yield common(held)
+                held, size = [], 0
             digest = [_digest(s) if len(s) else None for s in sets]
             columns = [batch.column(0), [len(s) for s in sets], digest, [bitmap(s) if len(s) else None for s in sets]]
-            yield _batches(columns, ["key", "n_shingles", "digest", "bits"], [None, pa.int64(), pa.binary(), pa.binary()])
+            yield _batches(columns, names, [None, pa.int64(), pa.binary(), pa.binary()])
+        if held:
+            yield common(held)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(rows, f"key {kind}, n_shingles bigint, digest binary, bits binary")
 
 
-def signed(docs: DataFrame, text: str, n: int, numerator: int) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            h, n = np.frombuffer(data, np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+
+
+def most_common(classed: DataFrame) -> np.ndarray:
+    """The HOT most common shingles, sorted."""
+    found = classed.where("n_shingles = -1").select("bits").mapInArrow(_counted, "h bigint, n bigint")
+    top = found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT)
+    return np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64))  # at most HOT numbers
+
+
+def signed(docs: DataFrame, text: str, n: int, numerator: int, hot: np.ndarray) -> DataFrame:
     """(signature, id): id is the first half of the class's digest; a class signs once in each partition of the input."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -183,7 +228,7 @@ def signed(docs: DataFrame, text: str, n: int, numerator: int) -> DataFrame:
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
-                sigs.append(signatures(s, numerator).view(np.int64))
+                sigs.append(signatures(s, numerator, shared.value).view(np.int64))
                 ids.append(np.full(len(sigs[-1]), int.from_bytes(d[:8], "little", signed=True)))
                 held += len(sigs[-1])
                 if held > 500_000:
@@ -249,11 +294,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     classed by its own text, and links are compared by one of them. An empty table gives no rows.
     """
     usable = docs.where(F.col(key).isNotNull())
-    classed = stored(classes(docs, key, text, n), "classes")
+    everything = stored(classes(docs, key, text, n), "classes")
+    hot, classed = most_common(everything), everything.where("n_shingles >= 0")
     some = classed.where("digest IS NOT NULL AND key IS NOT NULL")
     reps = some.groupBy("digest").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     reps = stored(reps.withColumn("id", id_of("digest")), "reps")
-    labels = labelled(usable, reps, key, text, n, numerator)
+    labels = labelled(usable, reps, key, text, n, numerator, hot)
     named = reps.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return classed.join(named, "digest", "left").select(
         F.col("key").alias(key),
@@ -271,10 +317,10 @@ def id_of(digest: str):
     return low + F.shiftleft(F.when(top >= 128, top - 256).otherwise(top), 56)
 
 
-def labelled(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, numerator: int) -> DataFrame:
+def labelled(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, numerator: int, hot: np.ndarray) -> DataFrame:
     """(rep, component) of the representatives of classes that have links."""
     ends = "min(id) OVER (PARTITION BY signature) AS head", "max(id) OVER (PARTITION BY signature) AS top"
-    members = signed(docs, text, n, numerator).selectExpr("signature", "id", *ends)
+    members = signed(docs, text, n, numerator, hot).selectExpr("signature", "id", *ends)
     groups = stored(members.where("head < top").select("signature", "id", "head"), "groups")
     star = groups.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
     links = stored(verified(star, reps, docs, key, text, n, numerator), "links")

@@ -129,6 +129,8 @@ def test_similar_sets_share_a_signature():
             if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
                 tested += 1
                 assert set(ngram_join.signatures(a)) & set(ngram_join.signatures(b))
+                hot = np.unique(np.concatenate([rng.permutation(a)[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, 5).astype(np.uint64)]))
+                assert set(ngram_join.signatures(a, hot=hot)) & set(ngram_join.signatures(b, hot=hot))
     assert tested > 200
 
 
