@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallywire.llm.ngram_join import _WORDS, mix
 
-K, SPARSE = 8, 24
+K, SPARSE = 8, 32
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _PLACE = np.uint64((1 << 24) - 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -132,7 +132,7 @@ def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str =
     places = suffixes.join(_in_two(suffixes, "suffix"), "suffix", "left_semi").groupBy("key").agg(F.collect_list("place").alias("places"))
     again = rows.mapInArrow(_packed, f"key {kind}, data binary, size bigint").join(places, "key").select("key", "data", "size", "places")
     windows = again.mapInArrow(lambda it: _extended(it, length), f"window bigint, key {kind}, start int")
-    found = windows.join(_in_two(windows, "window"), "window", "left_semi").select("key", "start").distinct()
+    found = windows.join(_in_two(windows, "window"), "window", "left_semi").select("key", "start")
     edge = found.selectExpr("*", "start - lag(start) OVER (PARTITION BY key ORDER BY start) AS step")
     island = edge.selectExpr("*", "sum(CASE WHEN step <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY start) AS island")
     spans = island.groupBy("key", "island").agg(F.min("start").alias("a"), F.max("start").alias("b"))
