@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 MARK = "▁"
 #: Text of a block in bytes, about; one longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Words up to this many characters keep their borders in the bits of a number; longer ones are folded by the Arrow batch.
 SHORT = 60
 #: Characters by which pieces of that length and more are indexed.
@@ -114,7 +114,8 @@ def _ranks(pieces: Pieces) -> dict[float, int]:
 
 
 def edges_of(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, codes, scores) of every word with an edge: all its substrings that are pieces. `words` has a column `word`."""
+    """(word, codes, scores) of every word with an edge: all its substrings that are pieces. `words` has a column `word`, and may have
+    its length as `n`."""
     spark = words.sparkSession
     ranks = _ranks(pieces)
     least = 2 if pieces.bpe else 1  # single characters are where BPE starts
@@ -126,7 +127,7 @@ def edges_of(words: DataFrame, pieces: Pieces) -> DataFrame:
         if len(p) >= HEAD:
             heads.setdefault(p[:HEAD], set()).add(len(p))
     longer = F.broadcast(spark.createDataFrame([(h, sorted(k)) for h, k in heads.items()] or [("", [])], "head string, sizes array<int>"))
-    n = F.length("word")
+    n = F.col("n") if "n" in words.columns else F.length("word")
     starts = words.where(n >= least).select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
     headed = starts.withColumn("head", F.substring("word", F.col("start") + 1, F.lit(HEAD))).join(longer, "head", "left")
     short = F.array(*[F.lit(k) for k in range(least, HEAD)])
@@ -190,34 +191,59 @@ def _long_starts(n: int, codes: list[int]) -> list[int]:
     return np.flatnonzero(np.frombuffer(on, np.uint8)[:-1]).tolist()
 
 
-def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids: little-endian 32-bit numbers) of every word in which two characters join; other words are their characters."""
+def folded(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, bits, more) of every word with an edge: its borders as bits, or for long BPE words their codes and for unigram tables
+    the starts."""
     n = F.length("word")
     lattice = edges_of(words, pieces)
-    if pieces.bpe:
-        folded = lattice.select(
-            "word",
-            F.when(n <= SHORT, bpe_borders(F.col("codes"), n)).alias("bits"),
-            F.when(n > SHORT, F.col("codes")).alias("more"),
-        )
+    if not pieces.bpe:
+        return lattice.select("word", F.lit(None).cast("bigint").alias("bits"), viterbi_starts(F.col("edges"), n).cast("array<bigint>").alias("more"))
+    short = F.when(n <= SHORT, bpe_borders(F.col("codes"), n))
+    return lattice.select("word", short.alias("bits"), F.when(n > SHORT, F.col("codes")).alias("more"))
+
+
+def _ids(p: Pieces, word: str, bits: int | None, more: list[int] | None) -> bytes:
+    """The ids of a folded word as little-endian 32-bit numbers; a word without an edge is its characters."""
+    if bits is not None:
+        starts = [i for i in range(len(word)) if bits >> i & 1]
+    elif more is None:
+        return p.characters(word)
     else:
-        folded = lattice.select("word", F.lit(None).cast("bigint").alias("bits"), viterbi_starts(F.col("edges"), n).cast("array<bigint>").alias("more"))
+        starts = _long_starts(len(word), more) if p.bpe else more
+    return np.array(p.encode_cut([word[a:b] for a, b in zip(starts, [*starts[1:], len(word)])]), "<i4").tobytes()
+
+
+def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids: little-endian 32-bit numbers) of every word with an edge."""
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            ids = []
-            for w, bits, more in zip(*(c.to_pylist() for c in batch.columns)):
-                if bits is not None:
-                    starts = [i for i in range(len(w)) if bits >> i & 1]
-                else:
-                    starts = _long_starts(len(w), more) if p.bpe else more
-                parts = [w[a:b] for a, b in zip(starts, [*starts[1:], len(w)])]
-                ids.append(np.array(p.encode_cut(parts), "<i4").tobytes())
+            ids = [_ids(p, *row) for row in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    return folded.mapInArrow(named, "word string, ids binary")
+    return folded(words, pieces).mapInArrow(named, "word string, ids binary")
+
+
+#: Entries that are packed together at most before they go to their blocks.
+PACKED = 400_000
+
+
+def _by_block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, data): the entries of each block as one compressed stream."""
+    table = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("word", "ascending")]).combine_chunks()
+    blocks = table.column("block").to_numpy()
+    edges = np.concatenate((np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1 if len(blocks) else 0)), [len(blocks)]))
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield pa.RecordBatch.from_arrays([pa.array([blocks[a]], pa.int64()), pa.array([_stream(table.slice(a, b - a).select(["word", "ids"]))], pa.binary())], ["block", "data"])
+
+
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -276,17 +302,34 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([number] * len(part), pa.int64())], ["word", "block"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for number, table in _blocks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
-                out.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_stream(table)], pa.binary())], ["block", "data"])
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        held, size = [], 0
+        last, part = None, b""
+        for batch in batches:
+            ids = []
+            for w, bits, more in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                if w != last:  # rows come in order of words
+                    last, part = w, _ids(p, w, bits, more)
+                ids.append(part)
+            held.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["block", "word", "ids"]))
+            size += batch.num_rows
+            if size >= PACKED:
+                yield from _by_block(held)
+                held, size = [], 0
+        if size:
+            yield from _by_block(held)
 
     def together(held: pa.Table, entries: pa.Table) -> Iterator[pa.RecordBatch]:
         p = shared.value
         cut = p.cutter().findall
-        words = dict(zip(entries.column("word").to_pylist(), entries.column("ids").to_pylist()))
+        words: dict[str, bytes] = {}
+        for data in entries.column("data").to_pylist():
+            part = pa.ipc.open_stream(data).read_all()
+            words.update(zip(part.column("word").to_pylist(), part.column("ids").to_pylist()))
         known: dict[str, bytes] = {}
         mark = p.characters(MARK)
         for data in held.column("data").to_pylist():
@@ -299,8 +342,8 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
                             run += 1
                             continue
                         part = known.get(c)
-                        if part is None:  # a word in which no two characters join has no entry
-                            known[c] = part = b"".join([words[w] or p.characters(w) for w in cut(c)])
+                        if part is None:
+                            known[c] = part = b"".join([words[w] for w in cut(c)])
                         if run:  # marks join before a word whose own mark stays alone
                             own = part[:4] == mark
                             parts.append(np.array(p.marks(run + own), "<i4").tobytes())
@@ -316,10 +359,10 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
                     columns.append(pa.array([p.decode(i.tolist()) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "body", "ids", "decoded"][: len(columns)])
 
-    pairs = rows.mapInArrow(distinct, "word string, block bigint").repartition("word")
-    # the filter keeps `block`, so that this and the join below read the same exchange
-    words = pairs.groupBy("word").agg(F.min("block").alias("first")).where("first IS NOT NULL").select("word")
-    entries = pairs.join(dictionary(words, pieces), "word", "left")
+    pairs = rows.mapInArrow(distinct, "word string, block bigint").where("word IS NOT NULL").repartition("word")
+    # `first` and `n` keep all columns and filters above the exchange, so that this and the join below read the same one
+    words = pairs.groupBy("word").agg(F.min("block").alias("first"), F.max(F.length("word")).alias("n")).where("first IS NOT NULL")
+    entries = pairs.join(folded(words, pieces), "word", "left").select("block", "word", "bits", "more").mapInArrow(entered, "block bigint, data binary")
     held = rows.mapInArrow(packed, "block bigint, data binary")
     schema = _with(rows, "ids", T.ArrayType(T.IntegerType()))
     if decoded:
