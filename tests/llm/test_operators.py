@@ -288,6 +288,34 @@ def test_leaks(spark, hard, empty):
     assert decontaminate.with_leaks(hard, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+@pytest.mark.parametrize("twins", [False, True])
+def test_edited_leaks_equal_alignment_of_all(spark, twins):
+    rng = random.Random(9)
+    common = [f"c{int(60 * rng.random() ** 3)}" for _ in range(20_000)]
+    items = []
+    for _ in range(24):
+        a = rng.randrange(15_000)
+        items.append([w if rng.random() < 0.5 else f"r{rng.randrange(3000)}" for w in common[a : a + rng.randrange(15, 60)]])
+    items += [["c1"], ["c7", "r9"], ["c2", "r5", "c3"], ["c4", "r6", "c5", "r7"]]
+    texts = [common[a : a + 120] for a in range(0, 6000, 120)]
+    new = lambda: f"n{rng.randrange(500)}"
+    for words in items:
+        for every in (2, 3, 4, 5, 6):
+            body = [new() if i % every == every - 1 else w for i, w in enumerate(words)]
+            texts.append(common[:30] + body + common[40:90])
+        body = [new() if rng.random() < 0.25 else w for w in words]
+        texts += [common[:9] + body, [x for w in words for x in (w, new())], [w for w in words if rng.random() < 0.7]]
+        texts += [words] if twins else []
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = decontaminate.with_leaks(df, bench).select("doc.doc_id", "leaks").collect()
+    got = {(r["doc_id"], x["item"]): x["score"] for r in rows for x in r["leaks"]}
+    number = {w: i for i, w in enumerate({w for x in items + texts for w in x}, 1)}
+    a, b = ([np.array([number[w] for w in x]) for x in y] for y in (items, texts))
+    full = {(d, i): decontaminate.align(x, y)[0] / (2 * len(x)) for i, x in enumerate(a) for d, y in enumerate(b)}
+    assert got == {k: v for k, v in full.items() if v >= 0.5}
+
+
 # 8: classifier -------------------------------------------------------------------------------------------------------
 
 
