@@ -76,18 +76,7 @@ def _stream_first_seen(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("user_id", "event_type")
 
 
-@check(
-    "stream_metrics",
-    f"""
-WITH s AS (SELECT user_id, {D} AS w, epoch_us(ts) AS t, ts, event_id, event_type, event_id % 65536 AS seq FROM events),
-p AS (SELECT *, lag(seq) OVER o AS ps, lag(event_type) OVER o AS pe, lag(t) OVER o AS pt FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-d AS (SELECT *, CASE WHEN ps IS NOT NULL THEN {wrap_sql('seq - ps - 1', 16)} END AS delta FROM p)
-SELECT user_id, CAST(w AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS received, CAST(sum(event_id % 1500 + 64) AS BIGINT) AS bytes,
-  CAST(sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS BIGINT) AS lost, CAST(sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS reorders,
-  CAST(sum(CASE WHEN t - pt > 43200000000 THEN 1 ELSE 0 END) AS BIGINT) AS gap_events,
-  CAST(sum(CASE WHEN pe <> event_type THEN 1 ELSE 0 END) AS BIGINT) AS ssrc_changes, CAST(max(t - pt) AS BIGINT) AS max_iat_us FROM d GROUP BY 1, 2""",
-)
-def _stream_metrics(spark, sf_dir):
+def metrics_of_stream(spark: SparkSession, sf_dir: str, prune: float) -> DataFrame:
     folder = run_folder(spark)
     rows = captured_stream(spark, sf_dir).withColumns(
         {
@@ -98,12 +87,45 @@ def _stream_metrics(spark, sf_dir):
         }
     )
     stream_metrics(
-        rows, f"{folder}/out", f"{folder}/state", f"{folder}/ck", ["user_id"], seconds=DAY, gap_ms=12 * HOUR * 1000, prune=90 * DAY
+        rows, f"{folder}/out", f"{folder}/state", f"{folder}/ck", ["user_id"], seconds=DAY, gap_ms=12 * HOUR * 1000, prune=prune
     ).awaitTermination()
     out = merged_metrics(spark.read.parquet(f"{folder}/out"), ["user_id"])
     return out.withColumn("window_start", F.unix_micros("window_start"))
 
 
+@check(
+    "stream_metrics",
+    f"""
+WITH s AS (SELECT user_id, {D} AS w, epoch_us(ts) AS t, ts, event_id, event_type, event_id % 65536 AS seq FROM events),
+p AS (SELECT *, lag(seq) OVER o AS ps, lag(event_type) OVER o AS pe, lag(t) OVER o AS pt FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT *, CASE WHEN ps IS NOT NULL THEN {wrap_sql('seq - ps - 1', 16)} END AS delta FROM p)
+SELECT user_id, CAST(w AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS received, CAST(sum(event_id % 1500 + 64) AS BIGINT) AS bytes,
+  CAST(sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS BIGINT) AS lost, CAST(sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS reorders,
+  CAST(sum(CASE WHEN t - pt > 43200000000 THEN 1 ELSE 0 END) AS BIGINT) AS gap_events,
+  CAST(sum(CASE WHEN pe <> event_type THEN 1 ELSE 0 END) AS BIGINT) AS ssrc_changes, CAST(max(t - pt) AS BIGINT) AS max_iat_us FROM d GROUP BY 1, 2""",
+)
+def _stream_metrics(spark, sf_dir):
+    return metrics_of_stream(spark, sf_dir, 90 * DAY)
+
+
+# The same with pruning: a user who was silent for two whole days when the Window began starts afresh.
+@check(
+    "stream_metrics_sessions",
+    f"""
+WITH s AS (SELECT user_id, {D} AS w, epoch_us(ts) AS t, ts, event_id, event_type, event_id % 65536 AS seq FROM events),
+p AS (SELECT *, lag(seq) OVER o AS ps, lag(event_type) OVER o AS pe, lag(t) OVER o AS pt FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, pt IS NOT NULL AND floor((w - pt) / 1000000.0) < 172800 AS goes_on FROM p),
+d AS (SELECT *, CASE WHEN goes_on THEN {wrap_sql('seq - ps - 1', 16)} END AS delta FROM f)
+SELECT user_id, CAST(w AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS received, CAST(sum(event_id % 1500 + 64) AS BIGINT) AS bytes,
+  CAST(sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS BIGINT) AS lost, CAST(sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS reorders,
+  CAST(sum(CASE WHEN goes_on AND t - pt > 43200000000 THEN 1 ELSE 0 END) AS BIGINT) AS gap_events,
+  CAST(sum(CASE WHEN goes_on AND pe <> event_type THEN 1 ELSE 0 END) AS BIGINT) AS ssrc_changes,
+  CAST(max(CASE WHEN goes_on THEN t - pt END) AS BIGINT) AS max_iat_us FROM d GROUP BY 1, 2""",
+)
+def _stream_metrics_sessions(spark, sf_dir):
+    return metrics_of_stream(spark, sf_dir, 2 * DAY)
+
+
 # Transitions of users over closed Windows: dead after 2 days, pruned after 4 (or while the watermark allows).
 @check(
     "stream_silence",

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tallywire.functions.arith import period_start
+from tallywire.functions.arith import MICROS, micros, period_start
 from tallywire.operators.chunks import fold_pairs
 from tallywire.operators.enrich import announce_enrich
 from tallywire.operators.sequence import loss_steps
-from tallywire.operators.timing import iat_steps, jitter_ewma
+from tallywire.operators.timing import iat_steps, jitter_decay, jitter_fields
 from tallywire.operators.windows import WINDOW_SECONDS
 from tallywire.streaming.windows import start_batches, write_batch
 
@@ -42,41 +42,50 @@ def batch_metrics(
     """Metrics per (key, Window) of one micro-batch, and the rows to carry into the next one.
 
     The carried row comes first whatever its time: a late row then counts as a reorder, as it does on arrival.
-    Streams silent for `prune` seconds before the newest row are forgotten.
+    A stream that was silent for `prune` whole seconds when its Window began starts afresh, inside a batch or across batches, as in
+    `stream_windows`. Silence is judged against the latest time the stream has shown, so a late row is none. Carried rows are forgotten
+    after twice that silence before the newest row's Window; that only bounds the table.
     """
     key, order = list(key), list(order)
     columns = list(dict.fromkeys([*key, *order, ts, *FIELDS]))
-    rows = batch.select(*columns).withColumns({"_side": F.lit(1), "_jitter": F.lit(0.0)})
+    rows = batch.select(*columns).withColumns({"_side": F.lit(1), "_jitter": F.lit(0.0), "_seen": micros(ts)})
     if carried is not None:
-        rows = rows.unionByName(carried.select(*columns, F.lit(0).alias("_side"), "_jitter"))
+        seen = F.col("_seen") if "_seen" in carried.columns else micros(ts)
+        carried = carried.withColumns({"_side": F.lit(0), "_seen": seen}).select(*rows.columns)
+        upto = carried.select(*key, F.col("_seen").alias("_upto"))
+        rows = rows.join(upto, key, "left").withColumn("_seen", F.greatest("_seen", "_upto")).drop("_upto").unionByName(carried)
     rows = rows.withColumn("window_start", period_start(ts, seconds))
     order1, chunk = ["_side", *order], ["_side", "window_start"]
     new = (F.col("_side") == 1).cast("bigint")
-    fields = {"seq": "rtp_seq", "us": F.unix_micros(ts), "ssrc": "rtp_ssrc"}
+    fields = {"seq": "rtp_seq", "us": micros(ts), "ssrc": "rtp_ssrc", "begin": micros("window_start"), "seen": "_seen", **jitter_fields(ts)}
     steps = {
         **loss_steps(16),
         **iat_steps(gap_ms),
         "ssrc_changes": ("sum", lambda p, c: (p["ssrc"] != c["ssrc"]).cast("bigint")),
+        "_linked": ("sum", lambda p, c: p["seen"].isNotNull().cast("bigint")),
     }
     totals = {"received": ("sum", new), "bytes": ("sum", F.col("frame_bytes").cast("bigint") * new)}
-    out = fold_pairs(rows, key, order1, chunk, fields, steps, totals).where(F.col("_side") == 1).drop("_side")
+    fresh = lambda p, c: F.floor((c["begin"] - p["seen"]) / MICROS) >= prune
+    folded = fold_pairs(rows, key, order1, chunk, fields, steps, totals, None, {"_j": jitter_decay(32)}, fresh)
+    out = folded.where(F.col("_side") == 1).drop("_side", "_linked", "_j")
     out = out.na.fill(0, ["lost", "reorders", "gap_events", "ssrc_changes"])
 
-    jitter = jitter_ewma(rows, key, order1, ts, "rtp_ts", "clock_hz", 32, chunk)
-    last = jitter.groupBy(*key).agg(
-        F.max_by("jitter", F.struct(*chunk)).alias("_j"),
-        F.sum(F.when(F.col("_side") == 1, F.col("packets")).otherwise(0)).alias("_rows"),
+    last = folded.groupBy(*key).agg(
+        F.max_by("_j", F.struct(*chunk)).alias("_j"), F.sum("received").alias("_rows"), F.coalesce(F.sum("_linked"), F.lit(0)).alias("_linked")
     )
     rest = [c for c in [*columns, "_jitter"] if c not in key]
     newest = rows.groupBy(*key).agg(
-        F.max_by(F.struct(*rest), F.struct(*order1)).alias("_last"), F.min_by("_jitter", F.struct(*order1)).alias("_j0")
+        F.max_by(F.struct(*rest), F.struct(*order1)).alias("_last"),
+        F.min_by("_jitter", F.struct(*order1)).alias("_j0"),
+        F.max("_seen").alias("_seen"),
     )
-    decayed = F.col("_j0") * F.pow(F.lit(15.0 / 16.0), F.col("_rows"))
+    # what was carried in lives on while every row continues the session of the one before
+    decayed = F.when(F.col("_linked") == F.col("_rows"), F.col("_j0") * F.pow(F.lit(15.0 / 16.0), F.col("_rows"))).otherwise(0.0)
     state = newest.join(last, key).select(
-        *key, *[F.col(f"_last.{c}").alias(c) for c in rest if c != "_jitter"], (F.col("_j") + decayed).alias("_jitter")
+        *key, *[F.col(f"_last.{c}").alias(c) for c in rest if c != "_jitter"], (F.col("_j") + decayed).alias("_jitter"), "_seen"
     )
-    newest_us = rows.select(F.max(F.unix_micros(ts))).scalar()
-    kept = state.where(newest_us - F.unix_micros(ts) < F.lit(int(prune * 1e6)))
+    begin = rows.select(F.max(micros("window_start"))).scalar()
+    kept = state.where(F.floor((begin - F.col("_seen")) / MICROS) < F.lit(2 * prune))
     return out, kept
 
 

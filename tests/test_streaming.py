@@ -55,6 +55,26 @@ def test_metrics_over_batches(spark, packets, tmp_path):
     assert state == pytest.approx({r["key"]: r["jitter"] for r in fold.collect()}, rel=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_silence_inside_and_across_batches(spark, tmp_path, parts):
+    rnd, rows, t = random.Random(4), [], 0.0
+    for n in range(240):
+        t += rnd.choice([0.01, 0.02, 0.3, 4.0]) if n % 24 else rnd.choice([12.0, 21.0, 24.0, 45.0, 200.0])
+        key = "steady" if n % 5 == 0 else f"k{n // 48 % 2}"
+        rows.append((key, n, T0 + dt.timedelta(seconds=round(t, 6)), rnd.randrange(65536), n * 48, n // 24, 48000.0, 100))
+    stream = source(spark, rows, tmp_path / "in", parts)
+    stream_metrics(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "ck"), ["key"], gap_ms=1000).awaitTermination()
+    got = merged_metrics(spark.read.parquet(str(tmp_path / "out")), ["key"])
+    df = spark.createDataFrame(rows, COLS).withColumn("window_start", period_start("ts", 5))
+    want = stream_windows(df, ["key"], gap_ms=1000, prune=20)
+    names = ["key", "window_start", "received", "lost", "reorders", "gap_events", "ssrc_changes", "max_iat_us", "bytes"]
+    assert got.select(names).exceptAll(want.select(names)).count() == 0 and got.count() == want.count()
+    ends = {r["key"]: r["j"] / 1000 for r in want.groupBy("key").agg(F.max_by("jitter_ms", "window_start").alias("j")).collect()}
+    state = spark.read.parquet(str(tmp_path / "state")).where(f"version = {parts - 1}").collect()
+    assert "steady" in {r["key"] for r in state}
+    assert all(r["_jitter"] == pytest.approx(ends[r["key"]], rel=1e-9) for r in state)
+
+
 def test_late_row_counts_as_reorder(spark, tmp_path):
     base = [("s", 0, T0, 10, 0, 1, 48000.0, 1), ("s", 1, T0 + dt.timedelta(seconds=2), 11, 0, 1, 48000.0, 1)]
     late = [("s", 2, T0 + dt.timedelta(seconds=1), 9, 0, 1, 48000.0, 1), ("s", 3, T0 + dt.timedelta(seconds=3), 12, 0, 1, 48000.0, 1)]
@@ -65,6 +85,16 @@ def test_late_row_counts_as_reorder(spark, tmp_path):
     assert (r["received"], r["reorders"], r["lost"]) == (4, 1, 2)
 
 
+def test_late_row_is_no_silence(spark, tmp_path):
+    at = lambda n, sec, seq: ("s", n, T0 + dt.timedelta(seconds=sec), seq, 0, 1, 48000.0, 1)
+    rows = [at(0, 0, 1), at(1, 100, 10), at(2, 101, 11), at(3, 1, 9), at(4, 102, 12), at(5, 103, 13)]
+    stream_metrics(
+        source(spark, rows, tmp_path / "in", 2), str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "ck"), ["key"]
+    ).awaitTermination()
+    r = merged_metrics(spark.read.parquet(str(tmp_path / "out")), ["key"]).agg(F.sum("received"), F.sum("reorders"), F.sum("lost")).first()
+    assert tuple(r) == (6, 1, 2)
+
+
 def test_silence_over_batches(spark, tmp_path):
     rows = [("a", T0 + dt.timedelta(seconds=s)) for s in (1, 3, 21, 60)] + [("b", T0 + dt.timedelta(seconds=s)) for s in (2, 4, 62, 100)]
     rows.sort(key=lambda r: r[1])
