@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Fallback folders of local sessions by application, where the session sets none. Core settings cannot be set afterwards.
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,7 +36,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tallywire-ckpt-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
-
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tallywire-ckpt-")
+    return _LOCAL[app]
