@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from tallywire.session import checkpoint_root
 
@@ -71,3 +76,59 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     return labels.union(roots)
+
+
+def in_order(df: DataFrame, order: list[str], what: str, by: str | None = None) -> DataFrame:
+    """The rows of `df` in the order of `order` (nulls first) as a stored table with `part` (number of the range), `place` (position in its range)
+    and, with `by`, `local` (position among the range's rows of that group). Groups of any size are cut at range borders, equal rows too."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in ("part", "place", "local")]])
+    types = to_arrow_schema(schema)
+    at = df.columns.index(by) if by else -1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place, group, local = TaskContext.get().partitionId(), 0, object(), 0
+        for batch in batches:
+            n, positions = batch.num_rows, []
+            for value in batch.column(at).to_pylist() if by else ():
+                local = local + 1 if value == group else 0
+                group = value
+                positions.append(local)
+            columns = [*batch.columns, pa.array([part] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), pa.array(positions or [0] * n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types)], schema=types)
+            place += n
+
+    tie = "_tie"
+    sorted_rows = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    return stored(sorted_rows.mapInArrow(count, schema), what)
+
+
+def numbered(df: DataFrame, by: str, order: list[str], what: str) -> DataFrame:
+    """The rows of `df` with `at` (position from 0 among the rows of equal `by`, in the order of `order`) and `total` (their number). A group
+    of any size is spread over ranges; what is added up by group is one row a range."""
+    rows = in_order(df, [by, *order], what, by)
+    sizes = rows.groupBy("part", by).agg((F.max("local") + 1).alias("n"))
+    group = Window.partitionBy(by)
+    before = F.coalesce(F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(sizes.select("part", F.col(by).alias("_by"), before.alias("_before"), F.sum("n").over(group).alias("total")), f"{what}-starts")
+    starts = starts.withColumnRenamed("part", "_part")
+    joined = rows.join(starts, (F.col("part") == F.col("_part")) & rows[by].eqNullSafe(F.col("_by")))
+    return joined.select(*df.columns, (F.col("_before") + F.col("local")).alias("at"), "total")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key values, rows) of every run of rows with equal values in the first `keys` columns. A run must fit in memory."""
+    key, held = None, []
+    for batch in batches:
+        values = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
+        start = 0
+        for i in range(1, len(values) + 1):
+            if i < len(values) and values[i] == values[start]:
+                continue
+            if held and values[start] != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = values[start]
+            held.append(batch.slice(start, i - start))
+            start = i
+    if held:
+        yield key, pa.Table.from_batches(held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm import decontaminate, line_dedup, ngram_join, quality_gam, quality_rules, sentence_pieces, sharding, suffix_repeats, token_counts, warc
+from tallywire.llm import decontaminate, line_dedup, merkle, ngram_join, quality_gam, quality_rules, sentence_pieces, sharding, simhash, suffix_repeats, token_counts, warc
 from tallywire.llm.common import shared_folder
 
 
@@ -124,5 +124,59 @@ SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS word_from, CAST(max(i) + 49 AS BIGI
 FROM g GROUP BY doc_id, island
 """
 
-QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op7_benchmark_leaks, op8_additive_quality, op9_weak_rules, op10_suffix_repeats)}
-ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL, "op10_suffix_repeats": OP10_SQL}
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.build(merkle.document_leaves(_table(spark, sf_dir, "documents"))))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII string in SQL, bit by bit."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {step})"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, CAST(i AS INT), 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+    CAST(doc_id AS VARCHAR) AS d FROM documents),
+g AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN {_crc32_sql('d')} % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':'
+      || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM g),
+t AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY i) AS nodes FROM l GROUP BY source
+  UNION ALL SELECT source, level + 1, list_transform(range(0, (len(nodes) + 15) // 16), lambda k: sha256(array_to_string(nodes[16*k+1:16*k+16], '')))
+  FROM t WHERE len(nodes) > 1),
+s AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM t WHERE len(nodes) = 1),
+u AS (
+  SELECT 0 AS level, list(subroot ORDER BY i) AS nodes FROM s
+  UNION ALL SELECT level + 1, list_transform(range(0, (len(nodes) + 15) // 16), lambda k: sha256(array_to_string(nodes[16*k+1:16*k+16], '')))
+  FROM u WHERE len(nodes) > 1),
+a AS (
+  SELECT l.doc_id, l.source, l.i, t.level, t.nodes, l.i // CAST(pow(16, t.level) AS BIGINT) AS k FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source AND len(t.nodes) > 1),
+b AS (SELECT s.source, u.level, u.nodes, s.i // CAST(pow(16, u.level) AS BIGINT) AS k FROM s JOIN u ON len(u.nodes) > 1),
+ap AS (SELECT doc_id, source, i, list({{'l': array_to_string(nodes[k//16*16+1:k], ''), 'r': array_to_string(nodes[k+2:k//16*16+16], '')}} ORDER BY level) AS p
+  FROM a GROUP BY doc_id, source, i),
+bp AS (SELECT source, list({{'l': array_to_string(nodes[k//16*16+1:k], ''), 'r': array_to_string(nodes[k+2:k//16*16+16], '')}} ORDER BY level) AS p
+  FROM b GROUP BY source),
+z AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, coalesce(l.changed, l.leaf) AS now,
+    list_concat(coalesce(ap.p, []), coalesce(bp.p, [])) AS p
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN ap ON ap.source IS NOT DISTINCT FROM l.source AND ap.i = l.i
+  LEFT JOIN bp ON bp.source IS NOT DISTINCT FROM l.source),
+y AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda x: x.l || x.r), '')) AS proof_sha256,
+  list_reduce(list_concat([{{'l': now, 'r': ''}}], p), lambda c, x: {{'l': sha256(x.l || c.l || x.r), 'r': ''}}).l AS folded_root FROM z)
+SELECT *, folded_root = root AS verified FROM y
+"""
+
+
+def op12_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op7_benchmark_leaks, op8_additive_quality, op9_weak_rules, op10_suffix_repeats, op11_merkle_manifest, op12_simhash_blocks)}
+ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL, "op10_suffix_repeats": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
