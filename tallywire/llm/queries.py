@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm import decontaminate, line_dedup, merkle, ngram_join, quality_gam, quality_rules, sentence_pieces, sharding, simhash, suffix_repeats, token_counts, warc
+from tallywire.llm import decontaminate, line_dedup, merkle, ngram_join, prefix_trie, quality_gam, quality_rules, sentence_pieces, sharding, simhash, suffix_repeats, token_counts, warc
 from tallywire.llm.common import shared_folder
 
 
@@ -178,5 +178,40 @@ def op12_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op7_benchmark_leaks, op8_additive_quality, op9_weak_rules, op10_suffix_repeats, op11_merkle_manifest, op12_simhash_blocks)}
-ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL, "op10_suffix_repeats": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+OP13_SQL = f"""
+WITH q AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS id, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS p FROM q),
+k AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32_sql('s')} % 9 AS h FROM k),
+r AS (
+  SELECT c.conv_id, 0 AS part, t.p, t.id, t.b FROM c JOIN t ON t.conv_id = c.base AND t.p < c.h
+  UNION ALL SELECT c.conv_id, 1, t.p, t.id, t.b FROM c JOIN t ON t.conv_id = c.conv_id AND t.p >= c.h),
+l AS (
+  SELECT c.conv_id, count(r.id) AS n, coalesce(string_agg(r.id, '' ORDER BY part, p), '') AS ids, list(r.b ORDER BY part, p) AS bs
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+x AS (SELECT conv_id, n, ids, bs, unnest(range(0, n + 1)) AS depth FROM l),
+v AS (
+  SELECT depth, ids[1:CAST(32 * depth AS INT)] AS key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN bs[depth] ELSE 0 END) AS b,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM x GROUP BY 1, 2),
+ch AS (SELECT key[1:CAST(32 * (depth - 1) AS INT)] AS key, depth - 1 AS depth, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1, 2),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN ch USING (key, depth)),
+a AS (SELECT depth AS of, key, n_children, (n_convs - 1) * b AS saved, unnest(range(0, depth + 1)) AS depth FROM w),
+s AS (
+  SELECT depth, key[1:CAST(32 * depth AS INT)] AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM a GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(w.n_convs AS BIGINT) AS n_convs, CAST(w.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (key, depth) LEFT JOIN v u ON u.depth = w.depth - 1 AND u.key = w.key[1:CAST(32 * (w.depth - 1) AS INT)]
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_prefix_counts, op3_shingle_join, op4_warc_revisits, op5_hash_tree, op6_site_spread, op7_benchmark_leaks, op8_additive_quality, op9_weak_rules, op10_suffix_repeats, op11_merkle_manifest, op12_simhash_blocks, op13_prefix_trie)}
+ORACLES = {"op3_shingle_join": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op6_site_spread": OP6_SQL, "op10_suffix_repeats": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_prefix_trie": OP13_SQL}

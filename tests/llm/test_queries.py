@@ -24,7 +24,7 @@ def test_query(spark, con, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_classifier_on_held_out_rows(spark):
