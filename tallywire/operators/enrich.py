@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.addresses import is_link_local
@@ -51,57 +51,112 @@ def struct_of(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in df.columns])
 
 
-def announce_enrich(
-    packets: DataFrame,
-    media: DataFrame,
-    port: str = "dst_port",
-    ip: str = "dst_ip",
-    ts: str = "ts",
-    order: Sequence[str] = ("ts", "frame_no"),
-    chunk: Sequence[str] = ("window_start",),
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Apply announced media fields to the packets of a stream from the announcement on.
-
-    An announcement matches on the port and on the connection address unless it has none. `session_name` is
-    written once (first announcement); `rtpmap`, `clock_hz`, `ptime_ms`, `channels` and the first payload type
-    follow the latest announcement that carries a positive value; a positive clock confirms the clock.
-    """
-    values = {
+def _announced_values() -> dict[str, Column]:
+    """What a media section announces; null where it says nothing."""
+    return {
         "rtpmap": F.col("rtpmap"),
         "clock_hz": F.when(F.col("clock_hz") > 0, F.col("clock_hz")),
         "ptime_ms": F.when(F.col("ptime_ms") > 0, F.col("ptime_ms")),
         "channels": F.when(F.col("channels") > 0, F.col("channels")),
         "expected_pt": F.get("payload_types", F.lit(0)),
     }
+
+
+def _known_points(slots: DataFrame, events: DataFrame, key: Sequence[str], order: Sequence[str], bucket: str, names: Sequence[str], out: str) -> DataFrame:
+    """(key, bucket, order, `out`) what is known of each key from its announcements: at the start of each bucket in `slots` (order
+    columns null) and after every announcement."""
+    marks = slots.select(*key, bucket).distinct()
+    rows = events.unionByName(marks, allowMissingColumns=True)
+    known = with_last_known(rows, key, order, [bucket], {f"_k_{n}": n for n in names})
+    some = F.coalesce(*[F.col(f"_k_{n}.at")[order[0]] for n in names]).isNotNull()
+    return known.where(some).select(*key, bucket, *order, F.struct(*[F.col(f"_k_{n}").alias(n) for n in names]).alias(out))
+
+
+def announced_intervals(
+    slots: DataFrame,
+    media: DataFrame,
+    port: str = "dst_port",
+    ip: str = "dst_ip",
+    order: Sequence[str] = ("ts", "frame_no"),
+    bucket: str = "window_start",
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """What is announced for every slot (by, port, ip, bucket), as intervals: `_from` (null: from the bucket's start), `_to` (null: to its
+    end), `session_name` and `announced_*`. A slot has one interval and one more for each announcement inside it; slots of which nothing is
+    known have none. Rows are as many as slots and announcements, never packets."""
+    order = list(order)
+    values = _announced_values()
     at = F.struct(*[F.col(c) for c in order])
     stamped = media.select(
         F.col("port").alias(port),
         F.col("connection_ip").alias(ip),
-        *dict.fromkeys([*by, *order, *chunk]),
+        *dict.fromkeys([*by, *order, bucket]),
         *[F.when(v.isNotNull(), F.struct(at.alias("at"), v.alias("v"))).alias(n) for n, v in values.items()],
         F.struct(at.alias("at"), F.col("session_name").alias("v")).alias("session_name"),
     )
-    exact, loose = stamped.where(F.col(ip).isNotNull()), stamped.where(F.col(ip).isNull()).drop(ip)
     names = [*values, "session_name"]
-    out = packets
-    for side, rows, key in (("x", exact, [*by, port, ip]), ("y", loose, [*by, port])):
+    slot = [*by, port, ip, bucket]
+    slots = slots.select(*slot).distinct()
+    points = []
+    for side, rows, key in (
+        ("_x", stamped.where(F.col(ip).isNotNull()), [*by, port, ip]),
+        ("_y", stamped.where(F.col(ip).isNull()).drop(ip), [*by, port]),
+    ):
         first = rows.groupBy(*key).agg(F.min_by("session_name", at).alias("_first"))
         rows = rows.join(first, key).withColumn(
             "session_name", F.when(F.col("session_name.at") == F.col("_first.at"), F.col("session_name"))
         )
-        out = asof_latest(out, rows, key, order, chunk, {f"_{side}_{n}": n for n in names})
+        known = _known_points(slots, rows.drop("_first"), key, order, bucket, names, side)
+        points.append(slots.join(known, [*key, bucket]))
+    every = points[0].unionByName(points[1], allowMissingColumns=True)
+    every = every.groupBy(*slot, *order).agg(F.first("_x", ignorenulls=True).alias("_x"), F.first("_y", ignorenulls=True).alias("_y"))
+    w = Window.partitionBy(*slot).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    every = every.select(
+        *slot, F.col(order[0]).alias("_from"), F.lead(order[0]).over(w).alias("_to"), *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("_x", "_y")]
+    )
 
     def pick(n: str, latest: bool) -> Column:
-        a, b = F.col(f"_x_{n}"), F.col(f"_y_{n}")
+        a, b = F.col(f"_x.{n}"), F.col(f"_y.{n}")
         use_a = b.isNull() | (a.isNotNull() & ((a["at"] >= b["at"]) if latest else (a["at"] <= b["at"])))
         return F.when(use_a, a["v"]).otherwise(b["v"])
 
-    return out.select(
-        *packets.columns,
-        pick("session_name", latest=False).alias("session_name"),
-        *[pick(n, latest=True).alias(f"announced_{n}") for n in values],
-    ).withColumn("clock_confirmed", F.col("announced_clock_hz").isNotNull())
+    held = every.where(F.col("_to").isNull() | F.col("_from").isNull() | (F.col("_from") < F.col("_to")))
+    return held.select(
+        *slot, "_from", "_to", pick("session_name", latest=False).alias("session_name"), *[pick(n, latest=True).alias(f"announced_{n}") for n in values]
+    )
+
+
+def announce_enrich(
+    packets: DataFrame,
+    media: DataFrame,
+    port: str = "dst_port",
+    ip: str = "dst_ip",
+    ts: str = "ts",
+    order: Sequence[str] = ("ts", "frame_no"),
+    chunk: Sequence[str] = ("window_start",),
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Apply announced media fields to the packets of a stream from the announcement on.
+
+    An announcement matches on the port and on the connection address unless it has none. `session_name` is
+    written once (first announcement); `rtpmap`, `clock_hz`, `ptime_ms`, `channels` and the first payload type
+    follow the latest announcement that carries a positive value; a positive clock confirms the clock.
+
+    Packets meet the intervals of their slot (stream address and first chunk column) in one equi-join with a range test. If the
+    intervals are small they are broadcast; if not, packets are shuffled once by the slot, which later work per stream and chunk needs anyway.
+    """
+    bucket = chunk[0]
+    slot = [*by, port, ip, bucket]
+    found = announced_intervals(packets.select(*slot), media, port, ip, order, bucket, by)
+    names = [c for c in found.columns if c not in slot]
+    right = found.select(*[F.col(c).alias(f"_s_{c}") for c in slot], *names)
+    here = F.col(order[0])
+    same = (F.col("_from").isNull() | (F.col("_from") <= here)) & (F.col("_to").isNull() | (here < F.col("_to")))
+    for c in slot:
+        same = same & (packets[c] == F.col(f"_s_{c}"))
+    out = packets.join(right, same, "left").select(*[packets[c] for c in packets.columns], *[c for c in names if c not in ("_from", "_to")])
+    return out.withColumn("clock_confirmed", F.col("announced_clock_hz").isNotNull())
 
 
 def backfill_name(streams: DataFrame, names: DataFrame, on: str = "src_ip", name: str = "name", ts: str = "ts") -> DataFrame:
