@@ -64,24 +64,30 @@ def sightings(kinds: dict[str, DataFrame]) -> DataFrame:
     return control.unionByName(devices).select(F.struct("capture_id", "src_ip").alias("_who"), *ORDER, "class")
 
 
-def media_packets(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
-    """Media packets with announced fields, defaults, and flags for wrong marks and payload types.
+#: What the stream metrics read of a media packet; payloads stay in the packets table.
+MEDIA_COLUMNS = [*STREAM_KEY, *ORDER, *CHUNK, "rtp_seq", "rtp_ts", "rtp_ssrc", "rtp_pt", "frame_bytes", "dscp", "ecn", "pcp", "ttl", "is_multicast"]
 
-    A Dante sender counts as software by the signals of its whole stream.
-    """
-    media = announce_enrich(stream_packets(packets), kinds["sdp"], order=ORDER, chunk=CHUNK, by=BY)
+
+def media_packets(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """Media packets with announced fields, defaults, and flags for wrong marks and payload types. `unmarked` tells which
+    wrong marks are forgiven if the sender turns out to be software."""
+    media = stream_packets(packets).select(*MEDIA_COLUMNS)
+    media = announce_enrich(media, kinds["sdp"], order=ORDER, chunk=CHUNK, by=BY)
     media = media.withColumnsRenamed({"announced_clock_hz": "clock_hz", "announced_ptime_ms": "ptime_ms"})
     media = stream_defaults(media.withColumn("expected_pt", F.col("announced_expected_pt")))
-    dante = stream_packets(packets).where(F.col("protocol") == "Dante")
+    wrong = dscp_violation()
+    unmarked = wrong & F.coalesce(~dscp_violation(software=F.lit(True)), F.lit(False))
+    return media.withColumns({"dscp_viol": wrong, "unmarked": unmarked, "pcp_viol": pcp_advisory(), "pt_mismatch": pt_mismatch()})
+
+
+def software_streams(packets: DataFrame, rows: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """Whether each Dante stream comes from software, by the signals of the whole stream: `rows` are its Windows."""
+    ttl = rows.where(F.col("protocol") == "Dante").groupBy(*STREAM_KEY).agg(F.min("min_ttl").alias("_ttl"))
+    dante = stream_packets(packets).where(F.col("protocol") == "Dante").select(*STREAM_KEY, *CHUNK, "ts")
     timing = timing_regularity(dante, STREAM_KEY, "ts", CHUNK)
-    ttl = dante.groupBy(*STREAM_KEY).agg(F.min("ttl").alias("_ttl"))
     classes = class_registry(sightings(kinds), "_who", order=ORDER).select("_who.capture_id", F.col("_who.src_ip").alias("stream_src"), "class")
     soft = ttl.join(timing, STREAM_KEY, "left").join(classes, ["capture_id", "stream_src"], "left")
-    soft = soft.select(*STREAM_KEY, is_software(F.col("class"), F.col("regularity"), F.col("_ttl")).alias("_soft"))
-    out = media.join(soft, STREAM_KEY, "left")
-    return out.withColumns(
-        {"dscp_viol": dscp_violation(software=F.col("_soft")), "pcp_viol": pcp_advisory(), "pt_mismatch": pt_mismatch()}
-    ).drop("_soft")
+    return soft.select(*STREAM_KEY, is_software(F.col("class"), F.col("regularity"), F.col("_ttl")).alias("_soft"))
 
 
 def sender_classes(packets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
@@ -186,14 +192,19 @@ def network_report(
     until = stage(everything.groupBy(*BY).agg(F.max("window_start").alias("until")), root, "ends")
     tcp = relevant_segments(kinds["tcp"], kinds["ndi_sources"], by=BY)
 
-    media = stage(media_packets(packets, kinds), root, "media")
     extra = {
+        "_unmarked": ("sum", F.col("unmarked").cast("bigint")),
         "ecn_marks": ("sum", (F.col("ecn") == 3).cast("bigint")),
         "_multicast": ("max", F.col("is_multicast").cast("int")),
         "_rtp": ("max", F.col("rtp_seq").isNotNull().cast("int")),
         "_confirmed": ("max", F.col("clock_confirmed").cast("int")),
     }
-    streams = stream_windows(media, STREAM_KEY, ORDER, chunk=CHUNK, extra=extra, prune=PRUNE)
+    # packets are read and shuffled once from the packets table to one row per stream and Window
+    streams = stream_windows(media_packets(packets, kinds), STREAM_KEY, ORDER, chunk=CHUNK, extra=extra, prune=PRUNE)
+    streams = stage(streams, root, "stream_windows")
+    streams = streams.join(software_streams(packets, streams, kinds), STREAM_KEY, "left")
+    forgiven = F.when(F.col("_soft"), F.col("_unmarked")).otherwise(0)
+    streams = streams.withColumn("dscp_viol", F.col("dscp_viol") - forgiven).drop("_soft", "_unmarked")
     streams = with_silence(streams, STREAM_KEY, until, seconds=seconds, prune=PRUNE)
     life = Window.partitionBy(*STREAM_KEY, "session").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     streams = streams.withColumns(
