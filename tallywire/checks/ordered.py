@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywire.checks.base import CHUNK, DAY, HOUR, ORDER, check, events, table, us
 from tallywire.functions.arith import block
+from tallywire.operators.bitrate import elapsed_bitrate
 from tallywire.operators.sequence import loss_rates, seq_gaps, tcp_retransmissions, ts_discontinuity, value_changes
 from tallywire.operators.timing import (
     final_jitter,
@@ -318,3 +319,26 @@ def _running_max_regress(spark, sf_dir):
     return tcp_retransmissions(
         lineitem(spark, sf_dir), ["l_orderkey"], LINE_ORDER, "l_partkey", F.col("l_quantity") <= 5, 32, ["chunk"]
     )
+
+
+# One key has two thirds of all rows; sizes may be null.
+@check(
+    "elapsed_bitrate",
+    """
+WITH RECURSIVE p AS (SELECT CASE WHEN event_id % 3 > 0 THEN 0 ELSE user_id % 7 END AS k, epoch_us(ts) AS us, event_id,
+    CASE WHEN event_id % 11 = 0 THEN 0 ELSE 60 + event_id % 1400 END AS size FROM events),
+c AS (SELECT k, us, event_id, sum(size) OVER (PARTITION BY k ORDER BY us, event_id) AS upto FROM p),
+n AS MATERIALIZED (SELECT k, us, arg_min(upto, event_id) AS upto FROM c GROUP BY 1, 2),
+nx AS MATERIALIZED (SELECT a.k, a.us, b.us AS next FROM (SELECT k, us, us + 5400000000 AS due FROM n) a ASOF JOIN n b ON b.k = a.k AND a.due < b.us),
+s AS (SELECT k, min(us) AS us, NULL::BIGINT AS prev FROM n GROUP BY k
+  UNION ALL SELECT s.k, nx.next, s.us FROM s JOIN nx ON nx.k = s.k AND nx.us = s.us),
+r AS (SELECT s.k, s.us, s.us - s.prev AS elapsed, n.upto - coalesce(lag(CASE WHEN s.prev IS NOT NULL THEN n.upto END) OVER (PARTITION BY s.k ORDER BY s.us), 0) AS bytes, s.prev
+  FROM s JOIN n ON n.k = s.k AND n.us = s.us)
+SELECT k, us AS ts, CAST(bytes AS BIGINT) AS bytes, CAST(elapsed AS BIGINT) AS elapsed_us,
+  CAST(floor(CAST(bytes AS DOUBLE) * 8.0 / (CAST(elapsed AS DOUBLE) / 1e6)) AS BIGINT) AS bitrate_bps FROM r WHERE prev IS NOT NULL""",
+)
+def _elapsed_bitrate(spark, sf_dir):
+    i = F.col("event_id")
+    ev = events(spark, sf_dir, 6 * HOUR).withColumn("k", F.when(i % 3 > 0, 0).otherwise(F.col("user_id") % 7))
+    size = F.when(i % 11 != 0, 60 + i % 1400)
+    return elapsed_bitrate(ev, ["k"], ORDER, size=size, chunk=CHUNK, seconds=1.5 * HOUR, fan=4).select("k", us("ts"), "bytes", "elapsed_us", "bitrate_bps")

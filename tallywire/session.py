@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Fallback folders of local sessions by application, where the session sets none. Core settings cannot be set afterwards.
@@ -40,3 +41,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tallywire-ckpt-")
     return _LOCAL[app]
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """The rows of `df` written once to a new table in the shared folder and read from there: computed once, and safe when executors are lost."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/tallywire-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
