@@ -9,7 +9,9 @@ and budgets at any position without encoding again. Tables are kept by pre-token
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -132,7 +134,10 @@ class _Totals(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) >= TOTALS:
             self.clear()
-        self[piece] = n = self.tables.vocabulary.prefix_counts(piece.encode("utf-8", "surrogatepass"))[-1]
+        data = piece.encode("utf-8", "surrogatepass")
+        vocabulary = self.tables.vocabulary
+        # a token is its own encoding
+        self[piece] = n = 1 if data in vocabulary.ids else vocabulary.prefix_counts(data)[-1]
         return n
 
 
@@ -162,15 +167,20 @@ class Counter:
     def _inside(self, piece: str, chars: int) -> int:
         return self.tables[piece][len(piece[:chars].encode("utf-8", "surrogatepass"))]
 
-    def _partial(self, segment: str, base: int, limit: int) -> Iterator[tuple[int, int]]:
-        """(characters, token count) of every non-empty prefix of a segment; `base` tokens stand before it. While whole
-        pre-tokens stay within `limit`, only their ends are given: every prefix before a later end is shorter."""
-        space_from, space_base = 0, base
-        for m in self.pattern.finditer(segment):
+    def _partial(self, segment: str, base: int, limit: int, at: int = 0) -> Iterator[tuple[int, int]]:
+        """(characters, token count) of every non-empty prefix of a segment that is longer than `at`, the end of a pre-token that is not
+        blank (or 0); `base` tokens stand before it. While whole pre-tokens stay within `limit`, only their ends are given: every prefix
+        before a later end is shorter. With a limit it ends where no longer prefix can keep it."""
+        space_from, space_base = at, base
+        sure = [base]  # tokens before each of the last pre-tokens that are not blank
+        for m in self.pattern.finditer(segment, at):
             piece, start = m.group(), m.start()
             whole = base + self.tables.totals[piece]
             blank = piece.isspace() or not piece.strip()
             if whole > limit or blank:
+                # a longer prefix has the same pre-tokens up to the last two and the blanks before them
+                if 0 <= limit < sure[0] and len(sure) == 3:
+                    return
                 for c in range(1, len(piece) + 1):
                     if blank or c == 1 and piece[0].isspace() and len(piece) > 1:
                         run = segment[space_from : start + c]  # white space up to the end is one pre-token
@@ -184,6 +194,7 @@ class Counter:
             base = whole
             if not blank:
                 space_from, space_base = m.end(), base
+                sure = [*sure[-2:], base]
 
     def prefixes(self, text: str, limit: int = -1) -> Iterator[tuple[int, int]]:
         """(characters, token count of that prefix) in rising order; with `limit` below 0 for every prefix."""
@@ -203,7 +214,31 @@ class Counter:
 
     def longest(self, text: str, limit: int) -> int:
         """The characters of the longest prefix with at most `limit` tokens."""
-        return max((c for c, n in self.prefixes(text, limit) if n <= limit), default=0)
+        totals, best, base = self.tables.totals, 0, 0
+        before, before_base = "", 0
+        for start, s, special in self.segments(text):
+            if special:
+                for c in range(1, len(s)) if before_base <= limit else ():  # a special string cut short is ordinary text
+                    if before_base + sum(map(totals.__getitem__, self.pattern.findall(before + s[:c]))) <= limit:
+                        best = max(best, start + c)
+                base += 1
+                if base <= limit:
+                    best = start + len(s)
+                continue
+            before, before_base = s, base
+            pieces = self.pattern.findall(s)
+            ends = list(accumulate(map(totals.__getitem__, pieces), initial=base))
+            if ends[-1] <= limit:
+                best = start + len(s) if s else best
+            elif base <= limit:
+                # the counts of whole pre-tokens find the place near which the limit is passed
+                k = bisect_right(ends, limit) - 1
+                while k and (pieces[k - 1].isspace() or not pieces[k - 1].strip()):
+                    k -= 1
+                at = sum(map(len, pieces[:k]))
+                best = max(best, start + at, *(start + c for c, n in self._partial(s, ends[k], limit, at) if n <= limit)) if at or s else best
+            base = ends[-1]
+        return best
 
 
 _COUNTERS: dict[int, Counter] = {}
