@@ -14,7 +14,10 @@ Very common shingles (a line on a third of all documents) would do the same. The
 without them differ in no more elements than before, so nothing is lost whichever are chosen.
 
 Equal sets are one class before anything else. Within a signature, members are compared with its smallest member, not with each
-other; what those links leave in different components is compared in a second step.
+other; what those links leave in different components is compared in a second step. There, classes that share a signature's smallest member
+with a class of another component form families (components of that relation); a family is compared block by block over bitmaps, and what these allow to link is
+compared exactly. Inside a family this looks at all pairs of different components, as any exact method must that cannot tell 0.79 from 0.8 without
+looking, but it emits and shuffles only blocks and the few pairs that may link.
 """
 
 from __future__ import annotations
@@ -270,17 +273,22 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batches([batch.column(0), packed], ["a", "ta"], [None, kind])
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, n: int, numerator: int) -> DataFrame:
-    """Of candidate `pairs` (x, y: ids), the linked pairs of classes (a, b: their representatives' keys), compared exactly."""
+def texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, ta): key and compressed text of the classes `ids`, stored: texts are shuffled once for all comparisons."""
     kind = docs.schema[key].dataType.simpleString()
+    packed = docs.select(F.col(key), F.col(text)).mapInArrow(_compressed, f"a {kind}, ta struct<data: binary, size: bigint>")
+    needed = ids.join(reps, "id").select(F.col("rep").alias("a"))
+    return stored(packed.join(needed, "a", "left_semi").dropDuplicates(["a"]), "texts")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, numerator: int) -> DataFrame:
+    """Of candidate `pairs` (x, y: ids), the linked pairs of classes (a, b: their representatives' keys), compared exactly."""
+    kind = reps.schema["rep"].dataType.simpleString()
     sized = reps.select("id", "rep", "n_shingles", "bits")
     both = pairs.join(sized.toDF("x", "a", "na", "xbits"), "x").join(sized.toDF("y", "b", "nb", "ybits"), "y")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * numerator).where("a <> b")
     both = both.select("a", "b", "na", "nb", "xbits", "ybits").mapInArrow(lambda it: _may_link(it, numerator), f"a {kind}, b {kind}")
     both = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    packed = docs.select(F.col(key), F.col(text)).mapInArrow(_compressed, f"a {kind}, ta struct<data: binary, size: bigint>")
-    needed = both.select("a").union(both.select("b")).distinct()
-    texts = stored(packed.join(needed, "a", "left_semi").dropDuplicates(["a"]), "texts")
     full = both.join(texts, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return full.mapInArrow(lambda it: _linked(it, n, numerator), f"a {kind}, b {kind}")
 
@@ -317,23 +325,56 @@ def id_of(digest: str):
     return low + F.shiftleft(F.when(top >= 128, top - 256).otherwise(top), 56)
 
 
+def _cell(group: pa.Table, numerator: int) -> pa.Table:
+    """The pairs (x, y) of different components in a cell that sizes and bitmaps allow to link: rows of its two blocks, or of its one block."""
+    group = group.combine_chunks()
+    block, low, high = group["block"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
+    ids, size = group["id"].to_numpy(), group["n_shingles"].to_numpy()
+    label = group["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+    bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    found = []
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        differ = np.zeros((len(some), len(right)), np.int32)
+        for word in range(BITS // 64):
+            differ += np.bitwise_count(bits[some, word][:, None] ^ bits[right, word])
+        both = size[some][:, None] + size[right]
+        near = (differ * (100 + numerator) <= (100 - numerator) * both) & (label[some][:, None] != label[right])
+        near &= np.minimum(size[some][:, None], size[right]) * 100 >= np.maximum(size[some][:, None], size[right]) * numerator
+        x, y = np.nonzero(near)
+        found.append(np.stack((ids[some[x]], ids[right[y]])))
+    pairs = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
+    return pa.table({"x": np.minimum(*pairs), "y": np.maximum(*pairs)})
+
+
+def possible(rows: DataFrame, numerator: int, side: int = 1024) -> DataFrame:
+    """Candidate pairs (x, y) of different components of a family, of `rows` (family, id, component, n_shingles, bits).
+
+    A family is cut into blocks of about `side` members, and every pair of blocks is a cell of its own: a large family is many tasks. Pairs are
+    looked at as bitmaps inside a cell; only those that may link leave it.
+    """
+    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / side).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "n_shingles", "bits")
+    return cells.groupBy("family", "low", "high").applyInArrow(lambda t: _cell(t, numerator), "x bigint, y bigint")
+
+
 def labelled(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, numerator: int, hot: np.ndarray) -> DataFrame:
     """(rep, component) of the representatives of classes that have links."""
-    ends = "min(id) OVER (PARTITION BY signature) AS head", "max(id) OVER (PARTITION BY signature) AS top"
-    members = signed(docs, text, n, numerator, hot).selectExpr("signature", "id", *ends)
-    groups = stored(members.where("head < top").select("signature", "id", "head"), "groups")
-    star = groups.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
-    links = stored(verified(star, reps, docs, key, text, n, numerator), "links")
+    members = signed(docs, text, n, numerator, hot).selectExpr("signature", "id", "min(id) OVER (PARTITION BY signature) AS head")
+    star = stored(members.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct(), "star")
+    texts = texts_of(star.select(F.explode(F.array("x", "y")).alias("id")).distinct(), reps, docs, key, text)
+    links = stored(verified(star, reps, texts, n, numerator), "links")
     labels = stored(components(links).toDF("rep", "component"), "labels")
-    named = reps.join(labels, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = groups.join(named, "id").select("signature", "id", "component").distinct()
-    split = apart.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    left = stored(apart.join(split, "signature", "left_semi"), "apart")
-    sized = left.join(reps.select("id", "n_shingles"), "id").distinct()
-    x, y = sized.toDF("xid", "signature", "xc", "xn"), sized.toDF("yid", "signature", "yc", "yn")
-    rest = x.join(y, "signature").where("xc < yc AND least(xn, yn) * 100 >= greatest(xn, yn) * %d" % numerator)
-    rest = rest.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
-    more = verified(rest, reps, docs, key, text, n, numerator)
+    named = stored(reps.join(labels, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    # the members of a signature are neighbours of its smallest one: where all neighbours are of one component, nothing is left to compare
+    placed = star.join(named.selectExpr("id AS x", "component AS cx"), "x").join(named.selectExpr("id AS y", "component AS cy"), "y")
+    split = placed.groupBy("x").agg(F.min(F.least("cx", "cy")).alias("low"), F.max(F.greatest("cx", "cy")).alias("high")).where("low < high").select("x")
+    family = stored(components(star.join(split, "x", "left_semi").toDF("a", "b")).toDF("id", "family"), "families")
+    rest = stored(possible(family.join(named, "id").join(reps.select("id", "n_shingles", "bits"), "id"), numerator).distinct(), "rest")
+    more = verified(rest, reps, texts, n, numerator)
     # links between components are few; joined components take the smaller label
     ends = more.join(named.select("rep", "component").toDF("a", "ca"), "a").join(named.select("rep", "component").toDF("b", "cb"), "b")
     joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("component", "low")
