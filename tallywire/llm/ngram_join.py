@@ -330,7 +330,8 @@ def _cell(group: pa.Table, numerator: int) -> pa.Table:
     group = group.combine_chunks()
     block, low, high = group["block"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
     ids, size = group["id"].to_numpy(), group["n_shingles"].to_numpy()
-    label = group["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+    codes: dict[str, int] = {}  # keys may be of any type
+    label = np.array([codes.setdefault(str(c), len(codes)) for c in group["component"].to_pylist()])
     bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     found = []

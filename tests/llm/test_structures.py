@@ -270,3 +270,39 @@ def test_minima():
         while hi < 199 and values[hi + 1] >= depth[i]:
             hi += 1
         assert (a, b) == (lo, hi)
+
+
+def test_pipeline_judges_rows_by_id_and_text(spark):
+    """Repeats of id and text stay once, an id with two texts is two documents, rows without an id stay."""
+    import corpus_pipeline
+
+    t, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "tu")
+    rows = [(1, t, "a"), (1, t, "b"), (2, t + " x", "a"), (2, u, "a"), (None, t, "a"), (5, None, "a"), (5, None, "a"), (6, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = corpus_pipeline.keep_first_of_group(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, t), (2, u), (None, t), (5, None), (6, "")], key=str)
+    assert corpus_pipeline.keep_first_of_group(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("side", [1024, 3])
+def test_families_below_the_limit(spark, monkeypatch, side):
+    """Texts that are alike at all degrees around the limit, compared in one block or in many, with keys of any type."""
+    from tallywire.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join.possible, "__defaults__", (side,))
+    rng = random.Random(7)
+    base, texts = [f"b{i}" for i in range(90)], []
+    for _ in range(70):
+        words = list(base)
+        for k in rng.sample(range(90), rng.randrange(0, 6)):
+            words[k] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = cases.components(list(enumerate(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == want
+    if side == 3:
+        keyed = docs.withColumn("k", F.struct("doc_id", F.lit(1).alias("x")))
+        rows = ngram_join.near_duplicates(keyed, key="k").collect()
+        assert {r["k"]["doc_id"]: r["component_id"]["doc_id"] for r in rows} == {i: c for i, (_, c) in want.items()}
