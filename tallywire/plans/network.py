@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.arith import micros, period_micros
 from tallywire.operators.chunks import with_last_known
-from tallywire.operators.classify import dscp_violation, is_software, pcp_advisory, pt_mismatch, sender_verdict
-from tallywire.operators.enrich import announce_enrich, class_registry, device_registry, relevant_segments, stream_defaults
+from tallywire.operators.classify import dscp_violation, expand_choices, is_software, pcp_advisory, pt_mismatch, sender_verdict
+from tallywire.operators.enrich import announce_enrich, attribute_sender, class_registry, device_registry, relevant_segments, stream_defaults
 from tallywire.operators.sequence import connection_quality, tcp_retransmissions
 from tallywire.operators.state import alerts, clock_state
 from tallywire.operators.timing import timing_regularity
@@ -36,10 +36,20 @@ from tallywire.plans.health import stream_windows, with_silence
 from tallywire.plans.packets import CHUNK, ORDER, STREAM_KEY, kind_tables, packets_table, selected_packets, stream_packets
 from tallywire.plans.report import window_report
 from tallywire.plans.scoring import Limits, health_score, infrastructure_deductions, penalties, stream_diagnostics
+from tallywire.plans.window_checks import (
+    BY,
+    GROUP,
+    alert,
+    discovery_checks,
+    dropouts,
+    listed,
+    missing_clocks,
+    multicast_checks,
+    reference_clocks,
+    stream_spikes,
+)
 
-BY = ["capture_id"]
 PRUNE = 20  # seconds of silence after which a stream, connection or reservation is forgotten
-GROUP = ["capture_id", "window_start"]
 # Fixed value: the address that general group queries go to.
 ALL_SYSTEMS = "224.0.0.1"
 
@@ -115,8 +125,12 @@ def with_event_window(events: DataFrame, seconds: float) -> DataFrame:
 
 
 def clock_windows(ptp: DataFrame, events: DataFrame, windows: DataFrame, seconds: float) -> DataFrame:
-    """State and number of changes of every clock domain at each Window end from its first message on."""
+    """State, grandmaster named last, kind and number of changes of every clock domain at each Window end from its first message on."""
     key = ["capture_id", "domain", "version"]
+    at = F.struct(*ORDER)
+    said = ptp.groupBy(*key, "window_start").agg(
+        F.max_by("protocol_kind", at).alias("_kind"), F.max_by("grandmaster_id", F.when(F.col("grandmaster_id").isNotNull(), at)).alias("_gm")
+    )
     per = with_event_window(events, seconds).groupBy(*key, "window_start").agg(
         F.max_by("event", F.struct("ts", F.col("event") == "lost")).alias("_state"),
         F.count_if(F.col("event") == "changed").alias("_changes"),
@@ -127,19 +141,25 @@ def clock_windows(ptp: DataFrame, events: DataFrame, windows: DataFrame, seconds
     grid = first.join(last, BY).select(*key, F.explode(each).alias("_us"))
     grid = grid.withColumn("window_start", F.timestamp_micros("_us")).drop("_us")
     w = Window.partitionBy(*key).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
-    out = grid.join(per, [*key, "window_start"], "left").withColumns(
-        {"state": F.last("_state", ignorenulls=True).over(w), "changes": F.sum(F.coalesce("_changes", F.lit(0))).over(w)}
+    out = grid.join(per, [*key, "window_start"], "left").join(said, [*key, "window_start"], "left").withColumns(
+        {
+            "state": F.last("_state", ignorenulls=True).over(w),
+            "gm": F.last("_gm", ignorenulls=True).over(w),
+            "protocol_kind": F.last("_kind", ignorenulls=True).over(w),
+            "changes": F.sum(F.coalesce("_changes", F.lit(0))).over(w),
+        }
     )
-    return out.drop("_state", "_changes")
+    out = out.withColumn("valid", F.coalesce(F.col("state").isin("detected", "changed"), F.lit(False)))
+    return out.drop("_state", "_changes", "_gm", "_kind")
 
 
 def connection_windows(tcp: DataFrame, seconds: float, until: Column | DataFrame) -> DataFrame:
-    """Retransmissions, resets and quality of every TCP connection per Window until it is pruned."""
+    """Retransmissions, resets and quality of every TCP connection per Window up to the one at whose end it is pruned (`state`)."""
     key = ["capture_id", "src_ip", "dst_ip", "src_port", "dst_port"]
     sums = {"rst_n": F.col("rst"), "fin_n": F.col("fin")}
     per = tcp_retransmissions(tcp, key, ORDER, "tcp_seq", F.col("syn"), 32, CHUNK, ["window_start"], sums, prune=PRUNE)
     last = per_window_last(tcp, key)
-    states = silence_states(last, key, seconds=seconds, until=until).where(F.col("state") != "pruned")
+    states = silence_states(last, key, seconds=seconds, prune=PRUNE, until=until)
     out = states.join(per, [*key, "window_start"], "left").na.fill(0, ["retransmissions", "rst_n", "fin_n"])
     w = Window.partitionBy(*key, "session").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     quality = connection_quality(F.sum("rst_n").over(w), F.sum("fin_n").over(w), F.sum("retransmissions").over(w))
@@ -178,12 +198,17 @@ def stage(df: DataFrame, root: str, name: str, partition: Sequence[str] = ()) ->
 
 
 def network_report(
-    frames: DataFrame, root: str, choices: Sequence[str] = ("all",), seconds: float = WINDOW_SECONDS, limits: Limits = Limits()
+    frames: DataFrame,
+    root: str,
+    choices: Sequence[str] = ("all",),
+    seconds: float = WINDOW_SECONDS,
+    limits: Limits = Limits(),
+    live: bool = True,
 ) -> NetworkReport:
     """Every section of the report for the chosen protocols, one set of rows per capture.
 
     `root` is a shared folder for the stages. Packets are stored by capture and kind, so each kind reads its own
-    partitions only.
+    partitions only. `live` tells that the capturing host had joined the clocks' multicast groups; without it the alert `ptp_blocked` is not judged.
     """
     everything = stage(packets_table(frames, seconds), root, "packets", ["capture_id", "kind"])
     packets = selected_packets(everything, choices)
@@ -201,8 +226,8 @@ def network_report(
     }
     # packets are read and shuffled once from the packets table to one row per stream and Window
     streams = stream_windows(media_packets(packets, kinds), STREAM_KEY, ORDER, chunk=CHUNK, extra=extra, prune=PRUNE)
-    streams = stage(streams, root, "stream_windows")
-    streams = streams.join(software_streams(packets, streams, kinds), STREAM_KEY, "left")
+    packet_windows = stage(streams, root, "stream_windows")
+    streams = packet_windows.join(software_streams(packets, packet_windows, kinds), STREAM_KEY, "left")
     forgiven = F.when(F.col("_soft"), F.col("_unmarked")).otherwise(0)
     streams = streams.withColumn("dscp_viol", F.col("dscp_viol") - forgiven).drop("_soft", "_unmarked")
     streams = with_silence(streams, STREAM_KEY, until, seconds=seconds, prune=PRUNE)
@@ -220,9 +245,9 @@ def network_report(
 
     pause = F.when(F.hex(F.substring("payload", 1, 2)) == "0001", "pause").when(F.hex(F.substring("payload", 1, 2)) == "0101", "pfc")
     # traffic is counted before any selection
-    flows = everything.withColumn("kind", F.when(F.col("kind") == "flow_control", pause).otherwise(F.col("kind")))
+    marked = everything.withColumn("kind", F.when(F.col("kind") == "flow_control", pause).otherwise(F.col("kind")))
     counters = window_counters(
-        flows, BY, retransmission=F.coalesce("rst", F.lit(False)), dispatched=F.col("kind").isNotNull()
+        marked, BY, retransmission=F.coalesce("rst", F.lit(False)), dispatched=F.col("kind").isNotNull()
     )
     counters = stage(counters, root, "counters")
     windows = densify(counters.select(*GROUP), BY, seconds=seconds)
@@ -235,7 +260,10 @@ def network_report(
     clock_key = ["capture_id", "domain", "version"]
     clock_events = stage(clock_state(kinds["ptp"], clock_key, ORDER, chunk=CHUNK, seconds=seconds, until=until), root, "clock_events")
     clocks = stage(clock_windows(kinds["ptp"], clock_events, windows, seconds), root, "clocks")
-    connections = stage(connection_windows(tcp, seconds, until), root, "connections")
+    held = stage(connection_windows(tcp, seconds, until), root, "connections")
+    connections = held.where(F.col("state") != "pruned")
+    senders = attribute_sender(tcp, kinds["ndi_sources"], by=BY)
+    flows = stage(listed(packet_windows, STREAM_KEY, senders, held, kinds["avtp"], until, seconds, PRUNE), root, "flows")
     reserved = stage(reservation_windows(kinds["avtp"], kinds["msrp"], until, seconds), root, "reserved")
     ports = kinds["eee"].groupBy("capture_id", "chassis_id", "port_id").agg(F.min("window_start").alias("window_start"))
     running = Window.partitionBy(*BY).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
@@ -269,26 +297,28 @@ def network_report(
     score = health_score(charged, windows, GROUP)
     labels = distinct_per_group(streams, [*GROUP, "protocol"], ["stream_src", "dst_ip", "dst_port"])
 
-    def alert(df: DataFrame, level: Column | str, code: str, subject: Column | None = None) -> DataFrame:
-        lv = F.lit(level) if isinstance(level, str) else level
-        who = F.lit(None).cast("string") if subject is None else subject.cast("string")
-        return df.select(*GROUP, lv.alias("level"), F.lit(code).alias("code"), who.alias("subject"))
-
     syncs = kinds["ptp"].where((F.col("version") == 1) & (F.col("message_type") == 0))
     clash = sync_conflict(syncs, ["capture_id", "domain", "window_start"])
     fast = bandwidth(counters, queries, BY, seconds=seconds).where(F.col("high_multicast"))
     reports = kinds["igmp"].where(F.col("igmp_kind") == "v3_report")
     versions = version_mismatch(queries.withColumn("version", F.col("igmp_version")), reports, BY)
+    sightings_of = [kinds[k].select("capture_id", "src_ip", "ts") for k in ("dante_names", "conmon", "control_plane")]
+    seen_devices = stage(sightings_of[0].unionByName(sightings_of[1]).unionByName(sightings_of[2]), root, "device_sightings")
+    lost = with_event_window(clock_events, seconds).where(F.col("event") == "lost")
     raised = alerts(
-        alert(with_event_window(clock_events, seconds).where(F.col("event") == "lost"), "error", "clock_lost", domain),
-        alert(conflicts, "error", "multiple_queriers", F.col("src_ip")),
+        *dropouts(alert(lost, "error", "clock_lost", domain), clocks, streams),
+        stream_spikes(flows, windows),
         alert(querier.where(F.col("slow_queries")), "info", "slow_queries", F.col("interval_secs")),
+        alert(conflicts, "error", "multiple_queriers", F.col("src_ip")),
         alert(versions, "warn", "version_mismatch"),
+        *multicast_checks(kinds, seen_devices, queries, flows, windows, seconds, live),
         alert(fast, "warn", "high_multicast"),
+        reference_clocks(kinds["sdp"], streams, clocks),
+        *discovery_checks(kinds, seen_devices, windows, until, seconds),
         alert(clash, F.col("level"), "sync_conflict", F.col("domain")),
     )
     who = F.struct("capture_id", "src_ip").alias("device")
     seen = [kinds[k].select(who, *[c for c in ("ts", "name") if c in kinds[k].columns]) for k in ("dante_names", "conmon", "control_plane")]
     devices = device_registry(seen, "device").select("device.*", "first_seen", "last_seen", "name")
-    report = window_report(counters, score, labels, by=BY)
+    report = window_report(counters, score, labels, missing_clocks(flows, clocks, expand_choices(choices)), by=BY)
     return NetworkReport(packets, streams, found, charged, report, raised, devices)
