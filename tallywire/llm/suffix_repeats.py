@@ -1,13 +1,16 @@
-"""Passages that repeat across documents, by a sparse suffix array over words.
+"""Passages that repeat across documents, by hash joins over a sparse choice of suffixes.
 
-Only suffixes at content-selected places are retained: of every SPARSE neighbouring k-grams the one with the smallest hash, so two copies of a
-passage of `length` words retain a suffix at the same place, at most SPARSE - 1 words from its start. Suffixes are brought into order
-by their first `length - SPARSE + 1` words; those that equal no suffix of another document end here. The
-others are extended left and right to the windows of `length` words they stand for, and windows that occur in two
-documents are joined to passages.
+No suffix array is built: nothing is sorted, and no match is extended word by word. Only suffixes at content-selected places are
+retained: of every SPARSE neighbouring k-grams the one with the smallest hash, so two copies of a passage of `length` words retain a
+suffix at the same place, at most SPARSE - 1 words from its start. Retained suffixes are joined on the hash of their first
+`length - SPARSE + 1` words; those that equal no suffix of another document end here. The others stand for the windows of
+`length` words that hold them, to the left and to the right; these are joined on their hash as well, and windows of two documents make up passages.
 
-Neighbours are compared as (smallest, largest document) of equal keys, a partial aggregate: a passage on a third of
-all documents is one row a task, and no list of its places is made.
+Why not sorted neighbours: the neighbour of a suffix shares the longest stretch to its right, but another document further off in the order may be the
+only one that also shares the words to its left, so extending neighbours alone loses passages, and comparing all of an equal run is quadratic.
+
+Keys are compared as (smallest, largest document), a partial aggregate: a passage on a third of all documents is one row
+a task, and no list of its places is made.
 """
 
 from __future__ import annotations
