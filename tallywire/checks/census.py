@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywire.checks.base import DAY, check, events, us
 from tallywire.operators.census import bridged_windows, census_windows, ip_windows, refclk_windows
+from tallywire.operators.enrich import reservation_timeline
 
 _TWO = """
 e AS (SELECT 'c' AS capture_id, event_id, user_id, event_type, epoch_us(ts) AS us, epoch_us(ts) // 86400000000 AS no FROM events
@@ -137,3 +138,49 @@ def _refclk_windows(spark, sf_dir):
     clocks = views.groupBy("capture_id", "window_start", "domain", "version").agg(F.max_by("gm", "ts").alias("gm"), F.max_by("valid", "ts").alias("valid"))
     out = refclk_windows(claims, active, clocks)
     return out.select("capture_id", us("window_start"), "session_id", "port", "claimed_domain", "claimed_gm", "active_gm", "status")
+
+
+# Views are frames of streams, clicks talkers, purchases listeners, few errors VLANs; streams fall silent for days and come back.
+@check(
+    "reservation_timeline",
+    f"""
+WITH {_TWO},
+a AS (SELECT capture_id, user_id AS s, no, max(us) AS us FROM e WHERE event_type = 'view' AND event_id % 3 = 0 GROUP BY 1, 2, 3),
+m AS (SELECT w.capture_id, w.no, a.s, max(a.us) AS us FROM w JOIN a ON a.capture_id = w.capture_id AND a.no <= w.no GROUP BY 1, 2, 3),
+l AS (SELECT *, no - row_number() OVER (PARTITION BY capture_id, s ORDER BY no) AS life FROM m WHERE ((no + 1) * 86400000000 - us) // 1000000 < 172800),
+d AS (SELECT e.*, l.life FROM e JOIN l ON l.capture_id = e.capture_id AND l.s = e.user_id AND l.no = e.no),
+t AS (SELECT l.capture_id, l.no, l.s, arg_max(event_id, CAST(d.us AS HUGEINT) * 100000000 + event_id) AS i FROM l JOIN d ON d.capture_id = l.capture_id AND d.user_id = l.s AND d.life = l.life
+  AND d.no <= l.no AND d.event_type = 'click' GROUP BY 1, 2, 3),
+h AS (SELECT l.capture_id, l.no, l.s, arg_max(event_id, CAST(d.us AS HUGEINT) * 100000000 + event_id) AS i FROM l JOIN d ON d.capture_id = l.capture_id AND d.user_id = l.s AND d.life = l.life
+  AND d.no <= l.no AND d.event_type = 'purchase' GROUP BY 1, 2, 3),
+z AS (SELECT *, no - row_number() OVER (PARTITION BY capture_id ORDER BY no) AS run FROM (SELECT DISTINCT capture_id, no FROM l)),
+v AS (SELECT z.capture_id, z.run, min(z.no) AS no FROM z JOIN e ON e.capture_id = z.capture_id AND e.no = z.no AND e.event_type = 'error' AND e.event_id % 211 = 3 GROUP BY 1, 2)
+SELECT l.capture_id, l.s AS stream_id, CAST(l.no * 86400000000 AS BIGINT) AS window_start,
+  CASE WHEN t.i % 2 = 0 THEN 'failed' WHEN t.i % 2 = 1 THEN 'reserved' ELSE 'none' END AS status, CAST(t.i % 8 AS BIGINT) AS priority,
+  CAST(CASE WHEN t.i % 2 = 0 THEN 1 + t.i % 3 END AS BIGINT) AS failure_code,
+  CASE WHEN t.i % 2 = 0 THEN CASE t.i % 3 WHEN 0 THEN 'insufficient bandwidth' WHEN 1 THEN 'insufficient bridge resources'
+    ELSE 'insufficient bandwidth for Traffic Class' END END AS reason,
+  CASE h.i % 5 WHEN 0 THEN 'ignore' WHEN 1 THEN 'asking failed' WHEN 2 THEN 'ready' WHEN 3 THEN 'ready failed' END AS listener,
+  t.i IS NULL AND NOT coalesce(v.no <= l.no, false) AS no_vlan
+FROM l LEFT JOIN t ON t.capture_id = l.capture_id AND t.no = l.no AND t.s = l.s LEFT JOIN h ON h.capture_id = l.capture_id AND h.no = l.no AND h.s = l.s
+JOIN z ON z.capture_id = l.capture_id AND z.no = l.no LEFT JOIN v ON v.capture_id = z.capture_id AND v.run = z.run""",
+)
+def _reservation_timeline(spark, sf_dir):
+    ev, _, until = two_captures(spark, sf_dir)
+    ev = ev.withColumnsRenamed({"user_id": "stream_id", "event_id": "frame_no"})
+    i, kind = F.col("frame_no"), F.col("event_type")
+    talker = kind == "click"
+    said = ev.where(talker | (kind == "purchase")).select(
+        "capture_id",
+        "stream_id",
+        "ts",
+        "frame_no",
+        "window_start",
+        F.when(~talker, "listener").when(i % 2 == 0, "talker_failed").otherwise("talker_advertise").alias("decl_type"),
+        F.when(talker, i % 8).alias("priority"),
+        F.when(talker & (i % 2 == 0), 1 + i % 3).alias("failure_code"),
+        F.when(~talker, i % 5).alias("listener_state"),
+    )
+    frames = ev.where((kind == "view") & (i % 3 == 0))
+    out = reservation_timeline(frames, said, ev.where((kind == "error") & (i % 211 == 3)), seconds=DAY, prune=2 * DAY, until=until)
+    return out.withColumn("window_start", us("window_start"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.addresses import is_link_local
-from tallywire.functions.arith import MICROS, micros
+from tallywire.functions.arith import MICROS, micros, period_micros
 from tallywire.functions.lookups import (
     LISTENER_STATES,
     RESERVATION_FAILURES,
@@ -21,6 +21,7 @@ from tallywire.functions.lookups import (
     literal_table,
 )
 from tallywire.operators.chunks import with_last_known
+from tallywire.operators.windows import WINDOW_SECONDS, per_window_last, silence_states
 
 QUALITY_RANK = [("healthy", 0), ("degrading", 1), ("critical", 2), ("terminated", 3)]
 
@@ -330,6 +331,60 @@ def reservation_status(avtp_streams: DataFrame, declarations: DataFrame, vlans:
     )
 
 
+def reservation_timeline(
+    avtp: DataFrame,
+    declarations: DataFrame,
+    vlans: DataFrame,
+    by: Sequence[str] = ("capture_id",),
+    key: str = "stream_id",
+    order: Sequence[str] = ("ts", "frame_no"),
+    window: str = "window_start",
+    seconds: float = WINDOW_SECONDS,
+    prune: float = 20,
+    until: Column | DataFrame | None = None,
+) -> DataFrame:
+    """Reservation of every listed stream at each Window end: status, priority, failure_code, reason, listener and `no_vlan`.
+
+    A stream is listed from its first frame until it was silent for `prune` seconds. A declaration counts from its Window on while the stream
+    stays listed; one whose stream is not listed at the end of its Window is forgotten. The latest talker and the latest listener count, each by itself.
+    VLAN registrations of a capture are forgotten at the end of a Window without any listed stream. Streams without frames have no rows.
+    """
+    by = list(by)
+    who = [*by, key]
+    states = silence_states(per_window_last(avtp, who, order[0], window), who, window, seconds=seconds, prune=prune, until=until)
+    listed = states.where(F.col("state") != "pruned").select(*who, window, "session")
+    at = F.struct(*order)
+    is_talker = F.col("decl_type") != "listener"
+    said = declarations.groupBy(*who, window).agg(
+        F.max_by(F.struct(F.col("decl_type").alias("t"), "priority", "failure_code"), F.when(is_talker, at)).alias("_talker"),
+        F.max_by(F.struct("listener_state"), F.when(~is_talker, at)).alias("_listener"),
+    )
+    life = Window.partitionBy(*who, "session").orderBy(window).rowsBetween(Window.unboundedPreceding, 0)
+    out = listed.join(said, [*who, window], "left")
+    out = out.withColumns({c: F.last(c, ignorenulls=True).over(life) for c in ("_talker", "_listener")})
+
+    # runs of Windows with listed streams, and whether a VLAN was registered in the run so far
+    busy = listed.select(*by, window).distinct()
+    number = F.floor(micros(window) / F.lit(period_micros(seconds)))
+    busy = busy.withColumn("_run", number - F.row_number().over(Window.partitionBy(*by).orderBy(window)))
+    busy = busy.join(vlans.select(*by, window).distinct().withColumn("_vlan", F.lit(True)), [*by, window], "left")
+    so_far = Window.partitionBy(*by, "_run").orderBy(window).rowsBetween(Window.unboundedPreceding, 0)
+    busy = busy.select(*by, window, F.coalesce(F.max("_vlan").over(so_far), F.lit(False)).alias("_vlan"))
+
+    kind = F.col("_talker.t")
+    status = F.when(kind == "talker_failed", "failed").when(kind == "talker_advertise", "reserved").otherwise("none")
+    return out.join(busy, [*by, window]).select(
+        *who,
+        window,
+        status.alias("status"),
+        F.col("_talker.priority").alias("priority"),
+        F.col("_talker.failure_code").alias("failure_code"),
+        F.when(kind == "talker_failed", case_of(F.col("_talker.failure_code"), RESERVATION_FAILURES, UNKNOWN_FAILURE)).alias("reason"),
+        case_of(F.col("_listener.listener_state"), LISTENER_STATES).alias("listener"),
+        (kind.isNull() & ~F.col("_vlan")).alias("no_vlan"),
+    )
+
+
 def announced_no_flow(devices: DataFrame, streams: DataFrame, key: str = "src_ip", window: str = "window_start") -> DataFrame:
     """Announced devices without any active flow, once, at the Window of the first announcement."""
     idle = devices.join(streams.select(key).distinct(), key, "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallywire.functions.arith import micros, period_micros
 from tallywire.operators.chunks import with_last_known
 from tallywire.operators.classify import dscp_violation, expand_choices, is_software, pcp_advisory, pt_mismatch, sender_verdict
-from tallywire.operators.enrich import announce_enrich, attribute_sender, class_registry, device_registry, relevant_segments, stream_defaults
+from tallywire.operators.enrich import announce_enrich, attribute_sender, class_registry, device_registry, relevant_segments, reservation_timeline, stream_defaults
 from tallywire.operators.sequence import connection_quality, tcp_retransmissions
 from tallywire.operators.state import alerts, clock_state
 from tallywire.operators.timing import timing_regularity
@@ -65,6 +65,7 @@ class NetworkReport:
     report: DataFrame
     alerts: DataFrame
     devices: DataFrame
+    reservations: DataFrame
 
 
 def sightings(kinds: dict[str, DataFrame]) -> DataFrame:
@@ -320,5 +321,9 @@ def network_report(
     who = F.struct("capture_id", "src_ip").alias("device")
     seen = [kinds[k].select(who, *[c for c in ("ts", "name") if c in kinds[k].columns]) for k in ("dante_names", "conmon", "control_plane")]
     devices = device_registry(seen, "device").select("device.*", "first_seen", "last_seen", "name")
+    reservations = reservation_timeline(
+        kinds["avtp"], kinds["msrp"], kinds["mvrp"], BY, order=[*ORDER, "decl_no"], seconds=seconds, prune=PRUNE, until=until
+    )
+    reservations = stage(reservations, root, "reservations")
     report = window_report(counters, score, labels, missing_clocks(flows, clocks, expand_choices(choices)), by=BY)
-    return NetworkReport(packets, streams, found, charged, report, raised, devices)
+    return NetworkReport(packets, streams, found, charged, report, raised, devices, reservations)

@@ -3,7 +3,7 @@
 import datetime as dt
 from collections import Counter
 
-from test_frames import FRAMES, MDNS, SDP, T0, ether, ipv4, rtp, udp
+from test_frames import CASES, FRAMES, MDNS, SDP, T0, ether, ipv4, rtp, udp
 
 from tallywire.operators.state import ALERT_ORDER
 from tallywire.plans.network import network_report
@@ -72,6 +72,8 @@ def captures():
         "two masters": [(0, ptp1("10.0.0.1", 0, 0, mac)), (1, ptp1("10.0.0.2", 0, 0, mac))],
         "masters": [(0, ptp1("10.0.0.1", 0, 0, mac)), (1, ptp1("10.0.0.2", 0, 4, mac))],
         "heavy": one[:3],
+        # no alert: a stream that nobody reserved
+        "reservation": [(0, CASES["avtp"]), (6, CASES["avtp"])],
     }
 
 
@@ -110,3 +112,7 @@ def test_every_alert_fires(spark, tmp_path):
     ]
     assert got == Counter(want)
     assert {w[1] for w in want} == set(ALERT_ORDER)
+    rows = sorted((r["capture_id"], int((r["window_start"] - T0).total_seconds()), r["status"], r["no_vlan"]) for r in net.reservations.collect())
+    assert rows == [("reservation", 0, "none", True), ("reservation", 5, "none", True)]
+    gone = {tuple(c) for r in net.report.where("capture_id = 'reservation'").collect() for c in r["missing_clocks"]}
+    assert gone == {("gptp", "AVB")}
