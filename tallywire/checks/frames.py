@@ -360,7 +360,7 @@ def _parse_sdp(spark, sf_dir):
 @check(
     "decode_sap",
     """SELECT s_suppkey AS announce_id, s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS announced,
-  CAST(CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 THEN length('s=' || s_name) END AS INTEGER) AS chars FROM supplier""",
+  CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 THEN 's=' || s_name END AS sdp FROM supplier""",
 )
 def _decode_sap(spark, sf_dir):
     s = F.col("s_suppkey")
@@ -370,7 +370,7 @@ def _decode_sap(spark, sf_dir):
     mime = F.when(s % 2 == 0, F.concat(F.hex(F.lit("application/sdp")), F.lit("00"))).otherwise("")
     payload = raw(head, num(auth, 1), "beef", address, F.repeat(F.lit("00000000"), auth.cast("int")), mime, F.hex(F.concat(F.lit("s="), F.col("s_name"))))
     out = decode_sap(table(spark, sf_dir, "supplier").select(s.alias("announce_id"), payload.alias("payload")))
-    return out.select("announce_id", F.col("sdp").isNotNull().alias("announced"), F.length("sdp").alias("chars"))
+    return out.select("announce_id", F.col("sdp").isNotNull().alias("announced"), "sdp")
 
 
 @check(

@@ -6,7 +6,8 @@ the order of arrival does not matter for these operators.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,26 +46,30 @@ def stream_first_seen(stream: DataFrame, key: Sequence[str], watermark: str, ts:
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(key))
 
 
-def start(df: DataFrame, path: str, checkpoint: str, output: str = "append") -> StreamingQuery:
-    """Write a stream to Parquet until the available input is used up."""
+#: The trigger of all streams unless told otherwise: everything that is there, then stop.
+AVAILABLE: Mapping[str, Any] = {"availableNow": True}
+
+
+def start(df: DataFrame, path: str, checkpoint: str, output: str = "append", trigger: Mapping[str, Any] = AVAILABLE) -> StreamingQuery:
+    """Write a stream to Parquet; `trigger` as of `DataStreamWriter.trigger`, for example {"processingTime": "5 seconds"} to go on for ever."""
     return (
         df.writeStream.outputMode(output)
         .format("parquet")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
 
 
 def start_batches(
-    df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, output: str = "append"
+    df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, output: str = "append", trigger: Mapping[str, Any] = AVAILABLE
 ) -> StreamingQuery:
     """Run `each` on every micro-batch."""
     return (
         df.writeStream.outputMode(output)
         .foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -75,7 +80,13 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def close_windows(
-    closed: DataFrame, path: str, checkpoint: str, key: Sequence[str], limits: Limits = Limits(), group: Sequence[str] = ("window_start",)
+    closed: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: Sequence[str],
+    limits: Limits = Limits(),
+    group: Sequence[str] = ("window_start",),
+    trigger: Mapping[str, Any] = AVAILABLE,
 ) -> StreamingQuery:
     """Score Windows as they close.
 
@@ -88,4 +99,4 @@ def close_windows(
         windows = batch.select(*group).distinct()
         write_batch(health_score(penalties(found, None, group), windows, group), path, batch_id)
 
-    return start_batches(closed, each, checkpoint)
+    return start_batches(closed, each, checkpoint, trigger=trigger)

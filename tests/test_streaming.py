@@ -141,3 +141,24 @@ def test_enrichment_of_a_stream(spark, tmp_path):
     stream_enrich(stream, str(tmp_path / "media"), media.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).orderBy("frame_no").collect()
     assert [r["session_name"] for r in out] == [None, "Desk", "Desk", "Desk"]
+
+
+def test_a_stream_goes_on_until_stopped(spark, tmp_path):
+    """With a processing-time trigger rows that arrive after the start are written as well."""
+    import time
+
+    folder = str(tmp_path / "in")
+    spark.range(3).write.parquet(folder)
+    rows = spark.readStream.schema("id long").parquet(folder)
+    query = start(rows, str(tmp_path / "out"), str(tmp_path / "ck"), trigger={"processingTime": "200 milliseconds"})
+    try:
+        query.processAllAvailable()
+        spark.range(3, 5).write.mode("append").parquet(folder)
+        for _ in range(100):
+            if spark.read.schema("id long").parquet(str(tmp_path / "out")).count() == 5:
+                break
+            time.sleep(0.2)
+        assert query.isActive
+    finally:
+        query.stop()
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
