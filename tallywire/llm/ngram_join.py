@@ -6,9 +6,11 @@ pairs differ in at most k elements, the feature domain is hashed to n1 partition
 most one element in some partition (n1 * 2 > k), so one of the two second-level parts of that partition agrees: each part of
 each partition gives a signature.
 
-Empty projections would put unrelated sets together. Each band has a few partitions more than the proof needs; a set whose
-empty partitions are no more than these signs without them, and a set with more of them signs by the next of FAMILIES
-independent hashings as well (in the last one with its empty projections), so that no pair is lost.
+Empty projections would put unrelated sets together, so an empty part signs nothing. Where one part of a partition is empty, the other part signs
+with each of its elements left out in turn as well: if a pair agrees in the empty part only, the other parts differ in one element, and one set's part is
+the other's with that element left out. Only partitions with at most one element stay without a signature that holds. Large bands have some partitions more than the
+proof needs; a set with more such poor partitions than these signs by the next of FAMILIES independent hashings as well (in the last one with its empty
+parts), so that no pair is lost: of the partitions that differ in at most one element, one is not poor.
 
 Very common shingles (a line on a third of all documents) would do the same. The families but the last sign without the HOT most common ones: sets
 without them differ in no more elements than before, so nothing is lost whichever are chosen.
@@ -102,48 +104,80 @@ def scheme(high: int, numerator: int = 80) -> tuple[int, int, int]:
     """(k, n1, spare) for pairs whose larger set has at most `high` elements."""
     k = (100 - numerator) * 2 * high // (100 + numerator)
     needed = k // 2 + 1
-    spare = 3 * needed // 10
+    spare = needed // 20 + (needed > 10)
     return k, needed + spare, spare
 
 
 def signatures(h: np.ndarray, numerator: int = 80, hot: np.ndarray | None = None) -> np.ndarray:
     """The signatures of a set of hashes: sets with a similarity of numerator/100 or more share one. None for an empty set.
     `hot`: sorted hashes of very common elements."""
-    size = len(h)
-    if not size:
-        return np.empty(0, np.uint64)
-    number, _, high = band(size, numerator)
-    tags = [(number, high)]
-    if size * 100 // numerator > high:
-        tags.append((number + 1, band(high + 1, numerator)[2]))
-    out = []
-    rare = h
-    if hot is not None and len(hot):
-        at = np.searchsorted(hot, h)
-        at[at == len(hot)] = 0
-        rare = h[hot[at] != h]
-    with np.errstate(over="ignore"):
+    return signatures_of([h], numerator, hot)[0]
+
+
+def signatures_of(sets: list[np.ndarray], numerator: int = 80, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of many sets at once, and the number of each one's set in the list."""
+    out, owner, jobs = [], [], []
+    for i, h in enumerate(sets):
+        if not len(h):
+            continue
+        number, _, high = band(len(h), numerator)
+        tags = [(number, high)]
+        if len(h) * 100 // numerator > high:
+            tags.append((number + 1, band(high + 1, numerator)[2]))
         for tag, top in tags:
             k, n1, spare = scheme(top, numerator)
             if k == 0:  # only equal sets match
                 out.append(mix(np.array([h.sum(dtype=np.uint64)]), tag + 1000))
-                continue
-            for family in range(FAMILIES):
-                some = h if family == FAMILIES - 1 else rare
-                cell = (((mix(some, 7 + family) >> np.uint64(32)) * np.uint64(2 * n1)) >> np.uint64(32)).astype(np.int64)
-                value = mix(some, 3)
-                # exact sums modulo 2^64 in two halves: 2^21 numbers of 32 bits fit a double
-                low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(float), 2 * n1).astype(np.uint64)
-                top = np.bincount(cell, (value >> np.uint64(32)).astype(float), 2 * n1).astype(np.uint64)
-                sums = low + (top << np.uint64(32))
-                empty = np.bincount(cell, minlength=2 * n1) == 0
-                poor = int((empty[::2] | empty[1::2]).sum()) > spare
-                place = np.arange(2 * n1, dtype=np.uint64) + np.uint64((tag * FAMILIES + family) << 40)
-                signed = mix(sums ^ mix(place, 11), 5)
-                out.append(signed if poor and family == FAMILIES - 1 else signed[~empty])
-                if not poor:
-                    break
-    return np.concatenate(out)
+                owner.append(np.array([i]))
+            else:
+                jobs.append((i, tag, n1, spare))
+    whole = np.concatenate([*sets, np.empty(0, np.uint64)])
+    sizes = np.array([len(h) for h in sets])
+    rare, few = whole, sizes
+    if hot is not None and len(hot):
+        at = np.searchsorted(hot, whole)
+        at[at == len(hot)] = 0
+        stays = hot[at] != whole
+        rare, few = whole[stays], np.bincount(np.repeat(np.arange(len(sets)), sizes)[stays], minlength=len(sets))
+    open_jobs = np.array(jobs, np.int64).reshape(-1, 4)
+    for family in range(FAMILIES):
+        if not len(open_jobs):
+            break
+        last = family == FAMILIES - 1
+        found, of, poor = _family(*((whole, sizes) if last else (rare, few)), open_jobs, family, last)
+        out.append(found)
+        owner.append(of)
+        open_jobs = open_jobs[poor]
+    return np.concatenate([*out, np.empty(0, np.uint64)]), np.concatenate([*owner, np.empty(0, np.int64)])
+
+
+def _family(elements: np.ndarray, sizes: np.ndarray, jobs: np.ndarray, family: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, their sets, which jobs are poor) of `jobs` (set, band, partitions, spare ones) in one hashing of `elements`, set after set."""
+    of, tag, n1, spare = jobs.T
+    lens, cells = sizes[of], 2 * n1
+    base, begin = np.cumsum(cells) - cells, np.cumsum(lens) - lens
+    start = np.cumsum(sizes) - sizes
+    here = np.repeat(start[of] - begin, lens) + np.arange(lens.sum())  # a set's elements once for each of its jobs
+    value = mix(elements, 3)
+    halves = [(value & np.uint64(0xFFFFFFFF)).astype(float)[here], (value >> np.uint64(32)).astype(float)[here]]
+    spread = (mix(elements, 7 + family) >> np.uint64(32))[here]
+    cell = ((spread * np.repeat(cells, lens).astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + np.repeat(base, lens)
+    total = int(cells.sum())
+    with np.errstate(over="ignore"):
+        # exact sums modulo 2^64 in two halves: 2^21 numbers of 32 bits fit a double
+        low, top = (np.bincount(cell, half, total).astype(np.uint64) for half in halves)
+        sums = low + (top << np.uint64(32))
+        count = np.bincount(cell, minlength=total)
+        poor = np.add.reduceat((count[::2] + count[1::2] <= 1).astype(np.int64), base // 2) > spare
+        place = mix((np.arange(total) + np.repeat(((tag * FAMILIES + family) << 40) - base, cells)).astype(np.uint64), 11)
+        keep = count > 0
+        if last:
+            keep |= np.repeat(poor, cells)
+        lone = ((count.reshape(-1, 2)[:, ::-1].ravel() == 0) & (count > 1))[cell]  # elements of parts whose sibling is empty
+        at = cell[lone]
+        without = mix((sums[at] - value[here[lone]]) ^ place[at], 5)
+        found = np.concatenate([mix(sums[keep] ^ place[keep], 5), without])
+    return found, np.concatenate([np.repeat(of, cells)[keep], np.repeat(of, lens)[lone]]), poor
 
 
 def _digest(h: np.ndarray) -> bytes:
@@ -222,27 +256,49 @@ def signed(docs: DataFrame, text: str, n: int, numerator: int, hot: np.ndarray)
 
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    def made(sets: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        found, of = signatures_of(sets, numerator, shared.value)
+        return _batches([found.view(np.int64), np.array(ids, np.int64)[of]], ["signature", "id"], [pa.int64(), pa.int64()])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        sets, ids, held = [], [], 0
         for batch in batches:
-            sigs, ids, held = [], [], 0
             for t in batch.column(0).to_pylist():
                 s = shingles(t, n)
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
-                sigs.append(signatures(s, numerator, shared.value).view(np.int64))
-                ids.append(np.full(len(sigs[-1]), int.from_bytes(d[:8], "little", signed=True)))
-                held += len(sigs[-1])
-                if held > 500_000:
-                    yield _batches([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["signature", "id"], [None, None])
-                    sigs, ids, held = [], [], 0
-            if sigs:
-                yield _batches([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["signature", "id"], [None, None])
+                sets.append(s)
+                ids.append(int.from_bytes(d[:8], "little", signed=True))
+                held += len(s)
+                if held > 100_000:
+                    yield made(sets, ids)
+                    sets, ids, held = [], [], 0
+        if sets:
+            yield made(sets, ids)
 
     return docs.select(F.col(text)).mapInArrow(rows, "signature bigint, id bigint")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (smallest member, other member) of each signature, of rows (signature, id) in order. Nothing is held but the last signature's smallest member."""
+    key = head = None
+    for batch in batches:
+        signature, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(ids):
+            continue
+        first = np.ones(len(ids), bool)
+        first[1:] = signature[1:] != signature[:-1]
+        first[0] = key is None or signature[0] != key
+        at = np.maximum.accumulate(np.where(first, np.arange(len(ids)), -1))
+        heads = np.where(at >= 0, ids[at], head if head is not None else 0)
+        key, head = signature[-1], heads[-1]
+        other = heads != ids
+        pairs = np.unique(np.stack((heads[other], ids[other])), axis=1) if other.any() else np.empty((2, 0), np.int64)
+        yield _batches([*pairs], ["x", "y"], [pa.int64(), pa.int64()])
+
+
 def _linked(pairs: Iterator[pa.RecordBatch], n: int, numerator: int) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd")
     for batch in pairs:
@@ -364,8 +420,8 @@ def possible(rows: DataFrame, numerator: int, side: int = 1024) -> DataFrame:
 
 def labelled(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, numerator: int, hot: np.ndarray) -> DataFrame:
     """(rep, component) of the representatives of classes that have links."""
-    members = signed(docs, text, n, numerator, hot).selectExpr("signature", "id", "min(id) OVER (PARTITION BY signature) AS head")
-    star = stored(members.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct(), "star")
+    members = signed(docs, text, n, numerator, hot).repartition("signature").sortWithinPartitions("signature", "id")
+    star = stored(members.mapInArrow(_stars, "x bigint, y bigint").distinct(), "star")
     texts = texts_of(star.select(F.explode(F.array("x", "y")).alias("id")).distinct(), reps, docs, key, text)
     links = stored(verified(star, reps, texts, n, numerator), "links")
     labels = stored(components(links).toDF("rep", "component"), "labels")
