@@ -3,12 +3,15 @@ stay in tables of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallywire.streaming.windows import AVAILABLE
+
 
 def window_report(
     counters: DataFrame,
@@ -37,18 +40,35 @@ def window_report(
     return out.withColumn("n_streams", F.coalesce("n_streams", F.lit(0).cast("bigint")))
 
 
-def write_window_report(report: DataFrame, path: str, by: Sequence[str] = ("capture_id",), mode: str = "append") -> None:
-    """Append report rows as Parquet, partitioned by capture."""
-    report.write.mode(mode).partitionBy(*by).parquet(path)
+def _by_day(report: DataFrame, window: str) -> DataFrame:
+    return report.withColumn("day", F.date_from_unix_date(F.floor(F.unix_micros(window) / 86_400_000_000).cast("int")))
+
 
+def write_window_report(report: DataFrame, path: str, by: Sequence[str] = ("capture_id",), mode: str = "overwrite", window: str = "window_start") -> None:
+    """Store report rows as Parquet, partitioned by capture and UTC day of the Window.
+
+    The days of captures that `report` has rows of are replaced, all others stay: a run that is repeated, after a failure or with better rules,
+    leaves one row per Window. `report` must hold whole days of its captures; `mode="append"` adds instead.
+    """
+    rows = _by_day(report, window)
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by, "day").parquet(path)
 
-def stream_window_report(report: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("capture_id",)) -> StreamingQuery:
-    """The same sink for a stream of closed Windows."""
+
+def stream_window_report(
+    report: DataFrame,
+    path: str,
+    checkpoint: str,
+    by: Sequence[str] = ("capture_id",),
+    window: str = "window_start",
+    trigger: Mapping[str, Any] = AVAILABLE,
+) -> StreamingQuery:
+    """The same folders for a stream of closed Windows; its checkpoint keeps a repeated batch from adding rows twice."""
     return (
-        report.writeStream.outputMode("append")
-        .partitionBy(*by)
+        _by_day(report, window)
+        .writeStream.outputMode("append")
+        .partitionBy(*by, "day")
         .format("parquet")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
