@@ -11,8 +11,10 @@ Test items go to the tasks in blocks of bounded size, so a benchmark of any size
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,6 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 COST = -max(MISMATCH, GAP)
 #: Rare words of an item that must stand close together where it shares no n-gram: more words to look up, fewer places to align.
 TOGETHER = 4
-#: Share of the documents in which words are counted. The counts only order an item's words; what is found does not depend on them.
-COUNTED = 0.1
 
 
 def words_of(text: str | None) -> list[str]:
@@ -47,8 +47,7 @@ class Block:
     distinct: list[tuple[np.ndarray, np.ndarray]]
 
     def number(self, words: list[str]) -> np.ndarray:
-        get = self.numbers.get
-        return np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        return np.fromiter(map(self.numbers.get, words, repeat(0)), np.uint64, len(words))
 
     def codes(self, a: np.ndarray, width: int) -> np.ndarray:
         base, rows = np.uint64(len(self.numbers) + 1), len(a) - width + 1
@@ -150,19 +149,19 @@ class RareWords:
 
 
 def rare_words(docs: DataFrame, block: Block, limits: list[Bounds], text: str) -> RareWords:
-    """Of every item so many of its rarest words that an alignment without a shared n-gram cannot avoid them."""
+    """Of every item so many of its words, the rarest of all documents first, that an alignment without a shared n-gram cannot avoid them."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         found = np.zeros(len(b.numbers) + 1, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found += np.bincount(b.number(words_of(t)).astype(np.int64), minlength=len(found))
+            words = Counter(chain.from_iterable(map(words_of, batch.column(0).to_pylist())))
+            np.add.at(found, b.number(list(words)).astype(np.int64), np.fromiter(words.values(), np.int64, len(words)))
         seen = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(found[seen], pa.int64())], ["word", "n"])
 
-    counted = docs.select(text).sample(COUNTED, 7).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     often = np.zeros(len(block.numbers) + 1, np.int64)
     for r in counted.collect():  # at most the words of a block
         often[r["word"]] = r["n"]

@@ -288,6 +288,20 @@ def test_leaks(spark, hard, empty):
     assert decontaminate.with_leaks(hard, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+def test_rare_words_are_counted_in_all_documents(spark):
+    words = [f"w{i}" for i in range(12)]  # w0 is the most frequent
+    docs = [(w,) for i, w in enumerate(words) for _ in range(12 - i)]
+    df = spark.createDataFrame(docs, "text string").repartition(4)
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    block = next(decontaminate.blocks(bench, 3, "item_id", "text"))
+    limits = [decontaminate.bounds(len(words), 3, 0.5)]
+    rare = decontaminate.rare_words(df, block, limits, "text")
+    n = len(words) - limits[0].matched + int(rare.together[0])
+    assert n < len(words)
+    chosen = {w for w, k in block.numbers.items() if rare.start[k + 1] > rare.start[k]}
+    assert chosen == set(words[-n:])
+
+
 @pytest.mark.parametrize("twins", [False, True])
 def test_edited_leaks_equal_alignment_of_all(spark, twins):
     rng = random.Random(9)
