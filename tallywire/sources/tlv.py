@@ -1,17 +1,20 @@
 """Control messages of variable length: group records, reservations, VLAN registrations, link options, service names.
 
 Each message is walked by one `aggregate` over a bounded sequence that only finds offsets; the fields are then read by
-plain expressions. One message stays one row until its entries are exploded, so nothing is shuffled.
+plain expressions. Group records are read from all messages of an Arrow batch at once. One message stays one row until its
+entries are exploded, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywire.functions.addresses import ip_text, is_multicast
 from tallywire.functions.binary import cut, eui, hex_at, stream_id_text, uint
 
 _NONE = -1  # offset of a finished walk
@@ -33,24 +36,47 @@ def _walk(rounds: Column, state: dict[str, Column], step: Callable[[Column], dic
     return F.aggregate(turns, start, fold)
 
 
+def _group_texts(payloads: pa.Array) -> pa.Array:
+    """The groups named in each report. All reports of a batch take a step at once: their next record is read."""
+    body = [p or b"" for p in payloads.to_pylist()]
+    data = np.frombuffer(b"".join(body), np.uint8)
+    size = np.fromiter(map(len, body), np.int64, len(body))
+    first = np.cumsum(size) - size
+
+    def number(at: np.ndarray, n: int) -> np.ndarray:
+        return sum((data[at + i].astype(np.int64) << 8 * (n - 1 - i) for i in range(n)), np.zeros(len(at), np.int64))
+
+    left = np.zeros(len(body), np.int64)
+    headed = np.flatnonzero(size >= 8)
+    left[headed] = number(first[headed] + 6, 2)
+    rows, at = headed, np.full(len(headed), 8)
+    named, groups = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while True:
+        more = (left[rows] > 0) & (at + 8 <= size[rows])
+        rows, at = rows[more], at[more]
+        if not len(rows):
+            break
+        left[rows] -= 1
+        group = number(first[rows] + at + 4, 4)
+        multicast = (group >= 224 << 24) & (group < 240 << 24)
+        named.append(rows[multicast])
+        groups.append(group[multicast])
+        at = at + 8 + number(first[rows] + at + 2, 2) * 4 + number(first[rows] + at + 1, 1) * 4
+    named, groups = np.concatenate(named), np.concatenate(groups)
+    groups = groups[np.argsort(named, kind="stable")]
+    octets = [pa.array(groups >> s & 255).cast(pa.string()) for s in (24, 16, 8, 0)]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(named, minlength=len(body)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.binary_join_element_wise(*octets, "."))
+
+
 def igmp_v3_groups(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add `groups`, the multicast groups named in a version 3 report (empty for reports cut short)."""
-    p = F.col(payload)
-    size = F.length(p)
 
-    def record(acc: Column) -> dict[str, Column]:
-        at = acc["at"]
-        group = uint(p, at + 4, 4)
-        whole = at + 8 <= size
-        after = at + 8 + uint(p, at + 2, 2) * 4 + uint(p, at + 1) * 4
-        return {
-            "at": F.when(whole, _long(after)).otherwise(_long(_NONE)),
-            "groups": F.when(whole & is_multicast(group), F.array_append(acc["groups"], group)).otherwise(acc["groups"]),
-        }
+    @F.arrow_udf("array<string>")
+    def groups(payloads: pa.Array) -> pa.Array:
+        return _group_texts(payloads)
 
-    rounds = F.least(F.coalesce(uint(p, 6, 2), F.lit(0)), F.ceil(size / 8))
-    found = _walk(rounds, {"at": _long(8), "groups": F.array().cast("array<bigint>")}, record)
-    return df.withColumn("groups", F.transform(found["groups"], ip_text))
+    return df.withColumn("groups", groups(F.col(payload)))
 
 
 # Declaration kinds of the reservation protocol and the bytes their value needs.

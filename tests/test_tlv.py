@@ -30,6 +30,16 @@ def test_group_records(spark):
     assert [r["groups"] for r in out.orderBy("n").collect()] == [["239.1.2.3", "239.69.0.1"], ["239.1.2.3"], [], []]
 
 
+def test_group_records_are_read_by_the_batch(spark):
+    sizes = [0, 1, 40, 3, 1200]
+    reports = [b"\x22" + bytes(5) + struct.pack(">H", n) + b"".join(record((239, k // 256, k % 256, 7), k % 3, k % 2) for k in range(n)) for n in sizes]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([*reports, None, b""])], "n int, payload binary").coalesce(1)
+    out = igmp_v3_groups(df)
+    wanted = [[f"239.{k // 256}.{k % 256}.7" for k in range(n)] for n in sizes]
+    assert [r["groups"] for r in out.orderBy("n").collect()] == [*wanted, [], []]
+    assert "aggregate(" not in out._jdf.queryExecution().executedPlan().toString()  # a fold is interpreted record by record
+
+
 SID = bytes.fromhex("001dc1aabbcc0007")
 
 
