@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.addresses import is_multicast
 from tallywire.functions.arith import block, period_start
-from tallywire.functions.binary import flag, uint
+from tallywire.functions.binary import computed_once, flag, uint
 from tallywire.operators.classify import classify, control_plane_class, packet_rules, protocol_label, select_protocols
 from tallywire.operators.windows import WINDOW_SECONDS
 from tallywire.sources.decode import (
@@ -60,14 +60,15 @@ def packets_table(frames: DataFrame, seconds: float = WINDOW_SECONDS, strict_ide
     p = F.col("payload")
     response = F.coalesce(flag(uint(p, 2), 0x80), F.lit(False))
     mdns = F.when(response & has_service(p, DANTE_SERVICES), "dante").when(response & has_service(p, NDI_SERVICES), "ndi")
+    df = computed_once(df, {"entity_": F.coalesce(uint(p, 0) == 0xFA, F.lit(False)), "mdns_": mdns})
     rules = packet_rules(
-        entity=F.coalesce(uint(p, 0) == 0xFA, F.lit(False)),
+        entity=F.col("entity_"),
         conmon=F.col("device_mac").isNotNull(),
         ptp=F.col("ptp_version").isNotNull(),
         sap=F.col("sdp").isNotNull(),
-        mdns_kind=mdns,
+        mdns_kind=F.col("mdns_"),
     )
-    df = classify(df, rules)
+    df = classify(df, rules).drop("entity_", "mdns_")
     multicast = F.coalesce(is_multicast(F.col("dst_ip_num")), F.lit(False))
     df = df.withColumns(
         {

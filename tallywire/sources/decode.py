@@ -154,21 +154,24 @@ def decode_packets(frames: DataFrame) -> DataFrame:
 
 
 def decode_ptp(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add the `ptp_*` fields of a clock message, version 1 or 2; `ptp_version` is null if it is too short."""
+    """Add the `ptp_*` fields of a clock message, version 1 or 2; `ptp_version` is null if it is too short.
+
+    Fields are added a few at a time: generated code for all of them is one method, too long for the JVM to compile.
+    """
     p = F.col(payload)
     size = F.length(p)
     is_v2 = uint(p, 1).bitwiseAND(0x0F) == 2
     version = F.when((size >= 34) & is_v2, 2).when((size >= 40) & ~is_v2, 1)
-    df = df.withColumn("ptp_version", version)
+    df = computed_once(df, {"ptp_version": version})
     v2, v1 = F.col("ptp_version") == 2, F.col("ptp_version") == 1
 
     kind2 = uint(p, 0).bitwiseAND(0x0F)
     control = uint(p, 32)
     kind1 = case_of(control, [(c, t) for c, t, _ in PTP1_CONTROLS], F.lit(PTP1_OTHER[0]))
-    df = df.withColumn("ptp_type", F.when(v2, kind2).when(v1, kind1).cast("int"))
+    df = computed_once(df, {"ptp_type": F.when(v2, kind2).when(v1, kind1).cast("int")})
     kind = F.col("ptp_type")
     unnamed = F.concat(F.lit("Unknown(0x"), F.hex(kind), F.lit(")"))
-    name1 = case_of(control, [(c, n) for c, _, n in PTP1_CONTROLS], PTP1_OTHER[1])
+    name1 = case_of(F.col("_at_control"), [(c, n) for c, _, n in PTP1_CONTROLS], PTP1_OTHER[1])
     announce = v2 & (kind == 0x0B) & (size >= 64)
     body = v1 & (kind == 0) & (size >= 66) & (hex_at(p, 50, 6) != "0" * 12)
 
@@ -178,33 +181,41 @@ def decode_ptp(df: DataFrame, payload: str = "payload") -> DataFrame:
     # Version 1 subdomain names and their domain numbers (hex of the ASCII text).
     alternates = [("_ALT%d" % n, n) for n in (1, 2, 3)]
     domain1 = case_of(subdomain, [(text.encode().hex(), n) for text, n in alternates], F.lit(0))
-    clock_class = uint(p, 48)
+    read = {
+        "_at_control": F.when(v1, control),
+        "_at_class": F.when(announce, uint(p, 48)),
+        "_at_accuracy": F.when(announce, uint(p, 49)),
+        "_at_stratum": F.when(body, uint(p, 61)),
+    }
+    clock_class, stratum = F.col("_at_class"), F.col("_at_stratum")
     quality2 = F.concat(
         case_of(clock_class, CLOCK_CLASSES, F.concat(F.lit("class="), clock_class.cast("string"))),
         F.lit("  "),
-        case_of(uint(p, 49), CLOCK_ACCURACY, OTHER_ACCURACY),
+        case_of(F.col("_at_accuracy"), CLOCK_ACCURACY, OTHER_ACCURACY),
     )
-    stratum = F.when(body, uint(p, 61))
     raw = F.try_validate_utf8(cut(p, 62, 4).cast("string"))
     ident = F.trim(F.regexp_replace(raw, "\\x00+$", ""))
     level = case_of(stratum, STRATA, F.concat(F.lit("Stratum "), stratum.cast("string")))
     quality1 = F.when(ident.isin(V1_IDENTIFIERS), F.concat(level, F.lit("  "), ident)).otherwise(level)
     log_interval = signed_wrap(uint(p, 33), 8)
-    return df.withColumns(
-        {
-            "ptp_name": F.when(v2, case_of(kind, PTP2_MESSAGES, unnamed)).when(v1, name1),
-            "ptp_domain": F.when(v2, uint(p, 4)).when(v1, domain1).cast("int"),
-            "clock_id": F.when(v2, eui(p, 20, 8)).when(v1, eui(p, 22, 6)),
-            "grandmaster_id": F.when(announce, eui(p, 53, 8)).when(body, eui(p, 50, 6)),
-            "clock_quality": F.when(announce, quality2).when(body, quality1),
-            "correction_ns": correction,
-            "path_delay_ns": F.when(kind.isin(0x9, 0x3), correction),
-            "ptp_port": F.when(v2 | v1, uint(p, 28, 2)).cast("int"),
-            "ptp_sequence": F.when(v2 | v1, uint(p, 30, 2)).cast("int"),
-            "log_sync_interval": F.when(v2 | v1, log_interval).cast("int"),
-            "stratum": stratum.cast("int"),
-        }
-    )
+    named = {
+        "ptp_name": F.when(v2, case_of(kind, PTP2_MESSAGES, unnamed)).when(v1, name1),
+        "ptp_domain": F.when(v2, uint(p, 4)).when(v1, domain1).cast("int"),
+    }
+    clock = {"clock_id": F.when(v2, eui(p, 20, 8)).when(v1, eui(p, 22, 6))}
+    master = {"grandmaster_id": F.when(announce, eui(p, 53, 8)).when(body, eui(p, 50, 6))}
+    quality = {"clock_quality": F.when(announce, quality2).when(body, quality1)}
+    delays = {"correction_ns": correction}
+    numbers = {
+        "path_delay_ns": F.when(kind.isin(0x9, 0x3), F.col("correction_ns")),
+        "ptp_port": F.when(v2 | v1, uint(p, 28, 2)).cast("int"),
+        "ptp_sequence": F.when(v2 | v1, uint(p, 30, 2)).cast("int"),
+        "log_sync_interval": F.when(v2 | v1, log_interval).cast("int"),
+        "stratum": stratum.cast("int"),
+    }
+    for fields in (read, named, clock, master, quality, delays, numbers):
+        df = computed_once(df, fields)
+    return df.drop(*read)
 
 
 def decode_avtp(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -258,14 +269,14 @@ def decode_conmon(df: DataFrame, payload: str = "payload") -> DataFrame:
     ident = hex_at(p, 8, 8)
     filler = F.substring(ident, 7, 4) == "fffe"
     mac = F.when(filler, F.concat(F.substring(ident, 1, 6), F.substring(ident, 11, 6))).otherwise(F.substring(ident, 1, 12))
-    df = df.withColumn("_mac", F.when(valid, mac))
+    df = computed_once(df, {"_mac": F.when(valid, mac)})
     count = uint(p, 0x44)
     metering = (hex_at(p, 0x2A, 3) == "MBC".encode().hex()) & (hex_at(p, 0x30, 6) == F.col("_mac"))
     channels = F.when(F.col("_mac").isNotNull() & metering & (count > 0) & (count + 0x47 <= declared), count)
     text = F.concat_ws(":", *[F.substring("_mac", 2 * i + 1, 2) for i in range(6)])
-    return df.withColumns(
-        {"device_mac": F.when(F.col("_mac").isNotNull(), text), "channels": channels.cast("int")}
-    ).drop("_mac")
+    return computed_once(
+        df, {"device_mac": F.when(F.col("_mac").isNotNull(), text), "channels": channels.cast("int")}, drop=("_mac",)
+    )
 
 
 def decode_flow_control(df: DataFrame, payload: str = "payload") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywire.functions.addresses import ip_number
-from tallywire.functions.binary import flag, tail, uint
+from tallywire.functions.binary import computed_once, flag, tail, uint
 from tallywire.functions.formats import clock_reference
 
 MIME = "application/sdp"
@@ -20,11 +20,11 @@ def decode_sap(df: DataFrame, payload: str = "payload") -> DataFrame:
     head = uint(p, 0)
     announce = (F.length(p) >= 8) & (F.shiftright(head, 5) == 1) & ~flag(head, 0x04)
     start = F.when(flag(head, 0x10), 20).otherwise(8) + uint(p, 1) * 4
-    df = df.withColumn("_body", F.when(announce & (F.length(p) > start), tail(p, start)))
+    df = computed_once(df, {"_body": F.when(announce & (F.length(p) > start), tail(p, start))})
     text = F.try_validate_utf8(F.col("_body").cast("string"))
     zero = F.locate("\0", text)
     body = F.when(text.startswith(MIME) & (zero > 0), F.substring(text, zero + 1, F.length(text))).otherwise(text)
-    return df.withColumn("sdp", body).drop("_body")
+    return computed_once(df, {"sdp": body}, drop=("_body",))
 
 
 def _last(text: Column, pattern: str) -> Column:

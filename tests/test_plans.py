@@ -43,3 +43,13 @@ def test_packets_are_shuffled_once(spark, stored, threshold):
     assert not any("payload#" in n for n in exchanges)
     scans = [n for n in nodes if "Scan parquet" in n and "rtp_seq" in n]
     assert len(scans) == 1 and "payload:" not in scans[0]
+
+
+def test_decoding_methods_are_compiled(spark):
+    """No method of the generated code is longer than the 8000 bytes up to which the JVM compiles one."""
+    frame = F.to_binary(F.col("id").cast("string"), F.lit("utf-8"))
+    frames = spark.range(3).select(F.lit("c").alias("capture_id"), F.col("id").alias("frame_no"), F.timestamp_micros("id").alias("ts"), F.length(frame).alias("wire_len"), frame.alias("frame"))
+    df = packets_table(frames)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) <= 8000
