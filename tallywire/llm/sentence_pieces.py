@@ -14,11 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +49,9 @@ class Pieces:
     bpe: bool = True
     unknown: int = 0
 
+    @cached_property
     def cutter(self) -> re.Pattern:
-        """Cuts a chunk (the text from one word mark to the next) to words that no piece reaches across: around white space that stands in no
+        """Cuts chunks (texts from one word mark to the next) to words that no piece reaches across: around white space that stands in no
         longer piece, and between letters and other characters if no piece has both."""
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in joined)
@@ -57,11 +61,16 @@ class Pieces:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        return (MARK + text.replace(" ", MARK)).replace(MARK, " " + MARK)[1:].split(" ") if text else []
+        """The chunks of a text without the word mark that each starts with."""
+        return text.replace(MARK, " ").split(" ") if text else []
+
+    @cached_property
+    def longest_run(self) -> int:
+        return max((len(p) for p in self.ids if not p.strip(MARK)), default=1)
 
     def marks(self, n: int) -> list[int]:
         """Ids of a run of n marks. Its pieces rank alike, so the leftmost pair that makes a piece joins first, each time anew."""
-        most = max((len(p) for p in self.ids if not p.strip(MARK)), default=1)
+        most = self.longest_run
         sizes = [1] * (n % most)
         at = 0
         while at + 1 < len(sizes):
@@ -84,12 +93,19 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def characters(self, word: str) -> bytes:
-        return np.array(self.encode_cut(list(word)), "<i4").tobytes()
+    def packed(self, parts: list[str]) -> bytes:
+        ids = self.encode_cut(parts)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    @cached_property
+    def texts_by_id(self) -> pa.Array:
+        return pa.array(self.raw, pa.large_binary())
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return text.removeprefix(" ")
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of consecutive stretches of ids."""
+        pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.texts_by_id.take(pa.array(ids, pa.int32())))
+        joined = pc.binary_join(pieces, pa.scalar(b"", pa.large_binary())).to_numpy(zero_copy_only=False)
+        return [t.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for t in joined]
 
 
 def read_pieces(path: str) -> Pieces:
@@ -193,24 +209,27 @@ def _long_starts(n: int, codes: list[int]) -> list[int]:
 
 def folded(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, bits, more) of every word with an edge: its borders as bits, or for long BPE words their codes and for unigram tables
-    the starts."""
+    the starts, as numbers joined by commas: an array column takes far longer to an Arrow batch, even where it is null."""
     n = F.length("word")
     lattice = edges_of(words, pieces)
     if not pieces.bpe:
-        return lattice.select("word", F.lit(None).cast("bigint").alias("bits"), viterbi_starts(F.col("edges"), n).cast("array<bigint>").alias("more"))
+        starts = viterbi_starts(F.col("edges"), n)
+        return lattice.select("word", F.lit(None).cast("bigint").alias("bits"), F.array_join(starts.cast("array<string>"), ",").alias("more"))
     short = F.when(n <= SHORT, bpe_borders(F.col("codes"), n))
-    return lattice.select("word", short.alias("bits"), F.when(n > SHORT, F.col("codes")).alias("more"))
+    codes = F.array_join(F.col("codes").cast("array<string>"), ",")
+    return lattice.select("word", short.alias("bits"), F.when(n > SHORT, codes).alias("more"))
 
 
-def _ids(p: Pieces, word: str, bits: int | None, more: list[int] | None) -> bytes:
-    """The ids of a folded word as little-endian 32-bit numbers; a word without an edge is its characters."""
-    if bits is not None:
+def _ids(p: Pieces, word: str, bits: int | None, more: str | None) -> bytes:
+    """The ids of a folded word as little-endian 32-bit numbers; a word without an edge is its characters. Bits are never 0 otherwise."""
+    if bits:
         starts = [i for i in range(len(word)) if bits >> i & 1]
     elif more is None:
-        return p.characters(word)
+        return p.packed(list(word))
     else:
-        starts = _long_starts(len(word), more) if p.bpe else more
-    return np.array(p.encode_cut([word[a:b] for a, b in zip(starts, [*starts[1:], len(word)])]), "<i4").tobytes()
+        numbers = [int(x) for x in more.split(",")]
+        starts = _long_starts(len(word), numbers) if p.bpe else numbers
+    return p.packed([word[a:b] for a, b in zip(starts, [*starts[1:], len(word)])])
 
 
 def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -231,8 +250,9 @@ PACKED = 400_000
 
 
 def _by_block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, data): the entries of each block as one compressed stream."""
-    table = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("word", "ascending")]).combine_chunks()
+    """(block, data): the entries of each block as one compressed stream, in the order they come in."""
+    table = pa.Table.from_batches(held)
+    table = table.take(np.argsort(table.column("block").to_numpy(), kind="stable")).combine_chunks()
     blocks = table.column("block").to_numpy()
     edges = np.concatenate((np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1 if len(blocks) else 0)), [len(blocks)]))
     for a, b in zip(edges[:-1], edges[1:]):
@@ -288,15 +308,12 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        cut = p.cutter().findall
         for number, table in _blocks(batches):
             chunks: set[str] = set()
-            for t in table.column("body").to_pylist():
+            for t in table.column("body").to_numpy():
                 chunks.update(p.chunks(t or ""))
-            words: set[str] = set()
-            for c in chunks:
-                words.update(cut(c))
-            found = sorted(words)
+            # a word begins with a mark or holds none, so all chunks are cut as one text
+            found = sorted(set(p.cutter.findall(MARK + MARK.join(chunks)))) if chunks else []
             for at in range(0, len(found), 50_000):
                 part = found[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([number] * len(part), pa.int64())], ["word", "block"])
@@ -311,9 +328,10 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
         last, part = None, b""
         for batch in batches:
             ids = []
-            for w, bits, more in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            _, words, bits, more = batch.columns
+            for w, b, m in zip(words.to_numpy(False), bits.fill_null(0).to_numpy().tolist(), more.to_numpy(False)):
                 if w != last:  # rows come in order of words
-                    last, part = w, _ids(p, w, bits, more)
+                    last, part = w, _ids(p, w, b, m)
                 ids.append(part)
             held.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["block", "word", "ids"]))
             size += batch.num_rows
@@ -325,25 +343,34 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
 
     def together(held: pa.Table, entries: pa.Table) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        cut = p.cutter().findall
+        cut = p.cutter.findall
         words: dict[str, bytes] = {}
         for data in entries.column("data").to_pylist():
             part = pa.ipc.open_stream(data).read_all()
-            words.update(zip(part.column("word").to_pylist(), part.column("ids").to_pylist()))
-        known: dict[str, bytes] = {}
-        mark = p.characters(MARK)
+            words.update(zip(part.column("word").to_numpy(), part.column("ids").to_numpy()))
+
+        class Known(dict[str, bytes]):
+            def __missing__(self, chunk: str) -> bytes:
+                made = words[MARK + chunk] if chunk.isalpha() else b"".join([words[w] for w in cut(MARK + chunk)])
+                self[chunk] = made
+                return made
+
+        known = Known()
+        mark = p.packed([MARK])
         for data in held.column("data").to_pylist():
             for batch in pa.ipc.open_stream(data).read_all().to_batches(max_chunksize=500):
                 ids = []
-                for t in batch.column("body").to_pylist():
+                for t in batch.column("body").to_numpy(False):
+                    chunks = p.chunks(t or "")
+                    if "" not in chunks:
+                        ids.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<i4"))
+                        continue
                     parts, run = [], 0
-                    for c in p.chunks(t or ""):
-                        if c == MARK:
+                    for c in chunks:
+                        if not c:
                             run += 1
                             continue
-                        part = known.get(c)
-                        if part is None:
-                            known[c] = part = b"".join([words[w] for w in cut(c)])
+                        part = known[c]
                         if run:  # marks join before a word whose own mark stays alone
                             own = part[:4] == mark
                             parts.append(np.array(p.marks(run + own), "<i4").tobytes())
@@ -353,10 +380,10 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, text:
                         parts.append(np.array(p.marks(run), "<i4").tobytes())
                     ids.append(np.frombuffer(b"".join(parts), "<i4"))
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-                columns = [batch.column("doc"), batch.column("body"), pa.ListArray.from_arrays(offsets, values)]
+                values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                columns = [batch.column("doc"), batch.column("body"), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))]
                 if decoded:
-                    columns.append(pa.array([p.decode(i.tolist()) for i in ids], pa.string()))
+                    columns.append(pa.array(p.decode(values, offsets), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "body", "ids", "decoded"][: len(columns)])
 
     pairs = rows.mapInArrow(distinct, "word string, block bigint").where("word IS NOT NULL").repartition("word")
@@ -386,7 +413,9 @@ def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            decoded = pa.array([p.decode(i or []) for i in batch.column(at).to_pylist()], pa.string())
+            lists = batch.column(at)
+            offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())))
+            decoded = pa.array(p.decode(lists.flatten().to_numpy(zero_copy_only=False), offsets), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     return rest.mapInArrow(texts, _with(rest, "decoded", T.StringType()))

@@ -64,6 +64,30 @@ def test_viterbi_takes_the_largest_sum(spark):
         assert sum(table[names[i]] for i in ids) == pytest.approx(best(r["word"]))
 
 
+@pytest.mark.parametrize("bpe", [True, False])
+def test_folded_words_go_to_arrow_without_lists(spark, bpe):
+    """Spark writes an array column to Arrow batches so slowly, even one of nulls, that it took most of the time of handing the joined words over."""
+    names = ["a", "b", "ab", "ba", "aba"]
+    p = sentence_pieces.Pieces({n: i for i, n in enumerate(names)}, [], [n.encode() for n in names], [-9.0, -9.0, -1.0, -2.0, -3.0], bpe=bpe)
+    texts = ["ab", "a" * 70, "aba" * 30, "ab" * 30, "b", "bb"]
+    words = spark.createDataFrame([(t,) for t in texts], "word string")
+    assert {f.name: f.dataType.simpleString() for f in sentence_pieces.folded(words, p).schema} == {"word": "string", "bits": "bigint", "more": "string"}
+    got = {r["word"]: [names[i] for i in np.frombuffer(bytes(r["ids"]), "<i4")] for r in sentence_pieces.dictionary(words, p).collect()}
+    assert all("".join(parts) == w for w, parts in got.items())
+    assert got["ab"] == ["ab"] and got["ab" * 30] == ["ab"] * 30 and got["aba" * 30] == ["aba"] * 30
+
+
+def test_chunks_are_cut_together_as_each_alone(spark):
+    p = sentence_pieces.read_pieces(sentence_pieces.model_path(spark, PIECES))
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "\u2581", " ", "  ", "\n", ".", "1", "\u00bd", "\u6f22", "the", "_"]) for _ in range(rng.randrange(12)))
+        marked = (sentence_pieces.MARK + text.replace(" ", sentence_pieces.MARK)) if text else ""
+        chunks = p.chunks(text)
+        assert "".join(sentence_pieces.MARK + c for c in chunks) == marked
+        assert p.cutter.findall(marked) == [w for c in chunks for w in p.cutter.findall(sentence_pieces.MARK + c)]
+
+
 # 2: token counts -----------------------------------------------------------------------------------------------------
 
 
