@@ -11,9 +11,11 @@ Test items go to the tasks in blocks of bounded size, so a benchmark of any size
 from __future__ import annotations
 
 import math
-from collections import Counter
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -22,17 +24,54 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS = regex.compile(r"\w+")
+NO_WORD = regex.compile(r"\W+")
 #: Words of test items that are searched at once, the bound of what is broadcast. V^3 of a block's vocabulary fits 64 bits.
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 COST = -max(MISMATCH, GAP)
 #: Rare words of an item that must stand close together where it shares no n-gram: more words to look up, fewer places to align.
 TOGETHER = 4
+#: Characters of documents that are read and searched at once (or one document).
+SLICE_CHARS = 1 << 18
+#: Pairs of an item and one of its rare words that are sorted at once (or those of one document).
+SORTED_PAIRS = 1 << 18
+#: Stands behind the words of a text; no word.
+END = " "
+
+
+@cache
+def letters() -> np.ndarray:
+    """Of every character itself, or a blank where it is no part of a word."""
+    out = np.arange(sys.maxunicode + 1, dtype="<u4")
+    for blanks in NO_WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        out[blanks.start() : blanks.end()] = ord(" ")
+    return out
+
+
+@cache
+def ascii_letters() -> str:
+    return "".join(map(chr, letters()[:128]))
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    r"""The runs of `\w` in the text in lower case. Nothing that `split` cuts at is part of a word."""
+    text = (text or "").lower()
+    if text.isascii():
+        return text.translate(ascii_letters()).split()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return letters()[codes].tobytes().decode("utf-32-le").split()
+
+
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """The texts cut into [from, to) of at most SLICE_CHARS characters (or one text)."""
+    lo = size = 0
+    for hi, t in enumerate(texts):
+        if hi > lo and size + len(t or "") > SLICE_CHARS:
+            yield lo, hi
+            lo, size = hi, 0
+        size += len(t or "")
+    if texts:
+        yield lo, len(texts)
 
 
 @dataclass
@@ -49,6 +88,14 @@ class Block:
     def number(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.numbers.get, words, repeat(0)), np.uint64, len(words))
 
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The word numbers of the texts, a 0 behind those of each, and where each text begins and the last one ends."""
+        words = list(map(words_of, texts))
+        for w in words:
+            w.append(END)
+        first = np.cumsum([0, *map(len, words)])
+        return np.fromiter(map(self.numbers.get, chain.from_iterable(words), repeat(0)), np.uint64, first[-1]), first
+
     def codes(self, a: np.ndarray, width: int) -> np.ndarray:
         base, rows = np.uint64(len(self.numbers) + 1), len(a) - width + 1
         if rows <= 0:
@@ -59,15 +106,22 @@ class Block:
             inside &= a[i : i + rows] > 0
         return np.where(inside, out, np.uint64(0)) * np.uint64(4) + np.uint64(width)
 
-    def hits(self, a: np.ndarray, looked: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(code, place) of the n-grams of `a` that are among the sorted codes `looked`."""
-        for width in sorted({int(x) for x in np.unique(looked % np.uint64(4))}):
+    def looked(self) -> list[tuple[int, np.ndarray]]:
+        """The codes to look for, sorted, by the words of their n-grams."""
+        codes = np.array(sorted(self.places), np.uint64)
+        width = codes % np.uint64(4)
+        return [(int(w), codes[width == w]) for w in np.unique(width)]
+
+    def hits(self, a: np.ndarray, looked: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        """(code, place) of the n-grams of `a` that are among the codes `looked`."""
+        for width, wanted in looked:
             codes = self.codes(a, width)
-            if len(codes):
-                at = np.searchsorted(looked, codes)
-                at[at == len(looked)] = 0
-                for i in np.flatnonzero(looked[at] == codes):
-                    yield int(codes[i]), int(i)
+            places = np.flatnonzero(codes >= 4)  # without words of no item
+            codes = codes[places]
+            at = np.searchsorted(wanted, codes)
+            at[at == len(wanted)] = 0
+            same = wanted[at] == codes
+            yield from zip(codes[same].tolist(), places[same].tolist())
 
 
 def blocks(benchmark: DataFrame, n: int, item: str, text: str) -> Iterator[Block]:
@@ -130,38 +184,51 @@ class RareWords:
     together: np.ndarray
     span: np.ndarray
 
-    def near(self, a: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, place) where enough rare words of the item stand close together."""
-        count = self.start[a + 1] - self.start[a]
-        at = np.flatnonzero(count)
+    def cut(self, a: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The texts that begin at `first` cut into [from, to) of at most SORTED_PAIRS pairs (or one text)."""
+        pairs = np.concatenate([[0], np.cumsum(self.start[a + 1] - self.start[a])])[first]
+        lo = 0
+        while lo < len(first) - 1:
+            hi = max(lo + 1, int(np.searchsorted(pairs, pairs[lo] + SORTED_PAIRS, "right")) - 1)
+            yield lo, hi
+            lo = hi
+
+    def near(self, a: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, place) where enough rare words of the item stand close together in one of the texts that begin at `first`."""
+        n = self.start[a + 1] - self.start[a]
+        at = np.flatnonzero(n)
         if not len(at):
             return
-        count = count[at]
-        pos = np.repeat(at, count)
-        items = self.items[np.repeat(self.start[a[at]] - np.cumsum(count) + count, count) + np.arange(len(pos))]
-        order = np.argsort(items, kind="stable")
-        items, pos = items[order], pos[order]
+        n = n[at]
+        pos = np.repeat(at, n)
+        items = self.items[np.repeat(self.start[a[at]] - np.cumsum(n) + n, n) + np.arange(len(pos))]
+        bits = len(a).bit_length()
+        both = np.sort(items << bits | pos)
+        items, pos = both >> bits, both & ((1 << bits) - 1)
         last = np.arange(len(pos)) + self.together[items] - 1
         inside = last < len(pos)
         last[~inside] = 0
-        for i in np.flatnonzero(inside & (items[last] == items) & (pos[last] - pos < self.span[items])):
-            yield int(items[i]), int(pos[i])
+        found = np.flatnonzero(inside & (items[last] == items) & (pos[last] - pos < self.span[items]))
+        text = lambda p: np.searchsorted(first, p, "right")
+        found = found[text(pos[last[found]]) == text(pos[found])]
+        yield from zip(items[found].tolist(), pos[found].tolist())
 
 
 def rare_words(docs: DataFrame, block: Block, limits: list[Bounds], text: str) -> RareWords:
     """Of every item so many of its words, the rarest of all documents first, that an alignment without a shared n-gram cannot avoid them."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         found = np.zeros(len(b.numbers) + 1, np.int64)
         for batch in batches:
-            words = Counter(chain.from_iterable(map(words_of, batch.column(0).to_pylist())))
-            np.add.at(found, b.number(list(words)).astype(np.int64), np.fromiter(words.values(), np.int64, len(words)))
+            texts = batch.column(0).to_pylist()
+            for lo, hi in slices(texts):
+                found += np.bincount(b.read(texts[lo:hi])[0].astype(np.int64), minlength=len(found))
         seen = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(found[seen], pa.int64())], ["word", "n"])
 
-    counted = docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     often = np.zeros(len(block.numbers) + 1, np.int64)
     for r in counted.collect():  # at most the words of a block
         often[r["word"]] = r["n"]
@@ -177,6 +244,30 @@ def rare_words(docs: DataFrame, block: Block, limits: list[Bounds], text: str) -
     return RareWords(start, ordered[:, 1], together, np.array([x.span for x in limits], np.int64))
 
 
+def seeds(block: Block, looked: list[tuple[int, np.ndarray]], rare: RareWords, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, dict[int, list[int]]]]:
+    """(text, its word numbers, item to places) of the texts that have an n-gram or enough rare words of an item."""
+    for start, end in slices(texts):
+        numbers, first = block.read(texts[start:end])
+        words = numbers.astype(np.int64)
+        for lo, hi in rare.cut(words, first):
+            here = slice(first[lo], first[hi])
+            begin = (first[lo : hi + 1] - first[lo]).tolist()
+            ngrams: dict[int, list[tuple[int, int]]] = {}
+            for code, p in block.hits(numbers[here], looked):
+                ngrams.setdefault(bisect_right(begin, p) - 1, []).append((code, p))
+            groups: dict[int, list[tuple[int, int]]] = {}
+            for it, p in rare.near(words[here], np.array(begin)):
+                groups.setdefault(bisect_right(begin, p) - 1, []).append((it, p))
+            for k in sorted(ngrams.keys() | groups.keys()):
+                near: dict[int, list[int]] = {}
+                for code, p in ngrams.get(k, ()):
+                    for it in block.places[code]:
+                        near.setdefault(it, []).append(p - begin[k])
+                for it, p in groups.get(k, ()):
+                    near.setdefault(it, []).append(p - begin[k])
+                yield start + lo + k, numbers[here][begin[k] : begin[k + 1] - 1], near
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """The best local alignment of a and b: (score, end in a, end in b), ends exclusive. A gap costs the same per word, so a row follows
     from the one above by a running maximum."""
@@ -242,17 +333,10 @@ def with_leaks(
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b, limits, rare = shared.value
-            looked = np.array(sorted(b.places), np.uint64)
+            looked = b.looked()
             for batch in batches:
                 leaks = batch.column(2).to_pylist()
-                for k, t in enumerate(batch.column(1).to_pylist()):
-                    a = b.number(words_of(t))
-                    near: dict[int, list[int]] = {}
-                    for code, p in b.hits(a, looked):
-                        for it in b.places[code]:
-                            near.setdefault(it, []).append(p)
-                    for it, p in rare.near(a.astype(np.int64)):
-                        near.setdefault(it, []).append(p)
+                for k, a, near in seeds(b, looked, rare, batch.column(1).to_pylist()):
                     for it, places in near.items():
                         (name, words), limit = b.items[it], limits[it]
                         spans = [(lo, hi) for lo, hi in _windows(places, limit.span, len(a)) if reaches(*b.distinct[it], a[lo:hi], limit.score)]

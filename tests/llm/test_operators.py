@@ -1,11 +1,13 @@
 """Operators against brute force and public libraries on small fixtures with hard rows."""
 
 import random
+import sys
 import zlib
 
 import cases
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tallywire.llm import decontaminate, line_dedup, ngram_join, quality_gam, quality_rules, sentence_pieces, sharding, suffix_repeats, token_counts, warc
@@ -326,6 +328,35 @@ def test_rare_words_are_counted_in_all_documents(spark):
     assert chosen == set(words[-n:])
 
 
+def test_words_of_benchmark_and_documents():
+    rng = random.Random(10)
+    word = regex.compile(r"\w+")
+    every = [chr(c) for c in range(sys.maxunicode + 1)]
+    assert all(decontaminate.words_of(f"a{c}B") == word.findall(f"a{c}B".lower()) for c in every)
+    for _ in range(500):
+        t = "".join(rng.choice(every if rng.random() < 0.3 else "aB_ Σς.İ9'\u0301\u200d\u00a0\x1c\n") for _ in range(rng.randrange(40)))
+        assert decontaminate.words_of(t) == word.findall(t.lower())
+    assert decontaminate.words_of(None) == decontaminate.words_of("") == []
+
+
+def test_leaks_of_many_short_texts_are_looked_for_at_once(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "a b c d e f"), (2, "a g")], "item_id long, text string")
+    block = next(decontaminate.blocks(bench, 3, "item_id", "text"))
+    limits = [decontaminate.bounds(len(a), 3, 0.5) for _, a in block.items]
+    rare = decontaminate.rare_words(spark.createDataFrame([("x",)], "text string"), block, limits, "text")
+    texts = ["x a b", "c d", None, "", "X c D E a g", "a x b", "g a g"] * 30
+    calls, codes = [], decontaminate.Block.codes
+    monkeypatch.setattr(decontaminate.Block, "codes", lambda self, a, width: calls.append(width) or codes(self, a, width))
+    whole = [(k, a.tolist(), near) for k, a, near in decontaminate.seeds(block, block.looked(), rare, texts)]
+    assert calls == [2, 3]  # not once a text
+    n = dict(zip("abcdefg", block.number(list("abcdefg")).tolist()))
+    assert [x for x in whole if x[0] == 4] == [(4, [0, n["c"], n["d"], n["e"], n["a"], n["g"]], {1: [4, 4, 5], 0: [1, 1]})]
+    for limit in ("SLICE_CHARS", "SORTED_PAIRS"):  # text by text: no n-gram and no group of rare words spans two
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, limit, 1)
+            assert [(k, a.tolist(), near) for k, a, near in decontaminate.seeds(block, block.looked(), rare, texts)] == whole
+
+
 @pytest.mark.parametrize("twins", [False, True])
 def test_edited_leaks_equal_alignment_of_all(spark, twins):
     rng = random.Random(9)
