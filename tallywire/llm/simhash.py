@@ -97,7 +97,8 @@ def links(nodes: DataFrame, most: int = MOST, blocks: int = BLOCKS, crowd: int =
     signed = nodes.select("fp", F.explode(keys).alias("k")).select("k.*", "fp")
     crowded = stored(signed.groupBy("choice", "bits").count().where(F.col("count") > crowd).select("choice", "bits"), "crowded")
     few = signed.join(crowded, ["choice", "bits"], "left_anti")
-    x, y = few.withColumnRenamed("fp", "x"), few.withColumnRenamed("fp", "y")
+    # both sides are dealt out: Spark sizes the exploded keys like the fingerprints, 35 times too low, and would broadcast them
+    x, y = few.withColumnRenamed("fp", "x").hint("merge"), few.withColumnRenamed("fp", "y").hint("merge")
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most
     pairs = x.join(y, (x["choice"] == y["choice"]) & (x["bits"] == y["bits"]) & (F.col("x") < F.col("y")) & near).select("x", "y")
     many = stored(signed.join(crowded, ["choice", "bits"], "left_semi").select("fp").distinct(), "crowd")

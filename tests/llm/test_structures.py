@@ -194,6 +194,15 @@ def test_links_of_a_dense_family(spark, crowd):
     assert classes([(r["x"], r["y"]) for r in found]) == classes(every)
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    """Spark sizes the keys like the fingerprints they are made of, so a small table would be broadcast 35 times as large."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 1 << 20
+    found = simhash.links(spark.range(100).selectExpr("xxhash64(id) AS fp"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    inner = [line for line in plan.splitlines() if "Join [" in line and "Inner" in line]
+    assert inner and not any("BroadcastHashJoin" in line for line in inner)
+
+
 def test_simhash_of_nothing(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
