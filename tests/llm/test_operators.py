@@ -142,6 +142,77 @@ def test_join_equals_all_pairs(spark, hard, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_shingles_of_many_texts(monkeypatch):
+    """Texts hashed together, in pieces, with words of any length and odd characters have as many shingles as one by one, and the same ones."""
+    rng = random.Random(5)
+    texts = [r[1] for r in cases.hard_rows()] + ["a" * 700 + " b " + "c" * 300 + " d", "x\x1cy \x85 z\u2003w", "K \u212a k", ""]
+    texts += [" ".join(rng.choice(["ab", "ba", "aab", "A" * 256, "a" * 257]) for _ in range(rng.randrange(9))) for _ in range(200)]
+    whole = list(ngram_join.shingle_sets(texts))
+    assert [len(s) for s in whole] == [len(cases.shingles(t)) for t in texts]
+    monkeypatch.setattr(ngram_join, "PIECE", 64)
+    ngram_join._powers.cache_clear()
+    for t, s in zip(texts, whole):
+        assert np.array_equal(ngram_join.shingles(t), s)
+    monkeypatch.undo()
+    ngram_join._powers.cache_clear()
+
+
+def test_signatures_travel_in_blocks(spark, monkeypatch):
+    """A signature and its document take half of the 13 bytes of a row (signature, id), and blocks give the members of every signature."""
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 2**63, 200_000).astype(np.uint64)) << np.uint64(1)
+    assert len(ngram_join._packed(keys)) < 6.7 * len(keys)
+    for some in (keys, keys[:1], np.repeat(keys[:2], 3)):
+        signature, number = ngram_join._unpacked(ngram_join._packed(some))
+        assert np.array_equal((signature << np.uint64(16)) | number.astype(np.uint64), some)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 40)) for _ in range(50)]
+    texts += [t + " end" for t in texts[:20]] + texts[:5]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    monkeypatch.setattr(ngram_join, "HELD", 300)  # many blocks
+    blocks = ngram_join.signed(docs, "text", 5, 80, np.empty(0, np.uint64), 6).collect()
+    bases = sorted({r["base"] for r in blocks})
+    named = {r["base"]: np.frombuffer(r["data"], "<i8") for r in blocks if r["bucket"] < 0}
+    assert len(bases) == len(named)
+    got = set()
+    for r in blocks:
+        if r["bucket"] >= 0:
+            signature, number = ngram_join._unpacked(r["data"])
+            assert set((signature >> np.uint64(42)).tolist()) == {r["bucket"]}
+            got |= set(zip(signature.tolist(), named[r["base"]][number].tolist()))
+    want = set()
+    for t in texts:
+        s = ngram_join.shingles(t)
+        i = int.from_bytes(ngram_join._digest(s)[:8], "little", signed=True)
+        want |= {(x >> 16, i) for x in ngram_join.signatures(s).tolist()}
+    assert got == want
+
+
+def test_texts_are_opened_once_in_a_cell(monkeypatch):
+    """However many pairs of a cell a text stands in, it is shipped and hashed once."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(60)) + f" x{k}" * (k > 0) for k in range(8)] + [" ".join(f"v{i}" for i in range(60))]
+    codec, opened, real = pa.Codec("zstd"), [], ngram_join._opened
+    monkeypatch.setattr(ngram_join, "_opened", lambda packed, n: opened.extend(packed) or real(packed, n))
+    packed = [{"data": codec.compress(t.encode()).to_pybytes(), "size": len(t)} for t in texts]
+    pairs = [(x, y) for x in range(9) for y in range(x + 1, 9)]
+    kind = pa.struct([("data", pa.binary()), ("size", pa.int64())])
+    names, types = [*ngram_join.CELL, "x", "y", "ta"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), kind]
+    rows = [(c, 0, 0, *row) for c in (1, 2) for row in [*((i, None, p) for i, p in enumerate(packed)), *((x, y, None) for x, y in pairs)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 7]), types)], names) for i in range(0, len(rows), 7)]
+    got = [tuple(r.values()) for b in ngram_join._linked_in_cells(iter(batches), 5, 80) for r in b.to_pylist()]
+    assert got == 2 * [(x, y) for x, y in pairs if y < 8]
+    assert len(opened) == 2 * len(texts)
+
+
+def test_sieve_lets_its_keys_through(spark):
+    keys = spark.range(0, 3000, 3).withColumn("a", F.struct("id", F.lit("k")))
+    sieve, log = ngram_join.sieve_of(keys, "a")
+    rows = spark.range(3000).select(F.struct("id", F.lit("k")).alias("a"), "id").withColumns({f"at{i}": c for i, c in enumerate(ngram_join._places("a", log))})
+    through = {r["id"] for r in rows.collect() if all(int(sieve[r[f"at{i}"] >> 6]) >> (r[f"at{i}"] & 63) & 1 for i in range(3))}
+    assert through >= set(range(0, 3000, 3)) and len(through) < 1200
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(7)
     tested = 0
