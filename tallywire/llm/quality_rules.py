@@ -173,7 +173,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
     ones; empty and null texts have fewer than MIN_WORDS words and are not kept; an empty table gives no rows.
     """
     named = rules()
-    measured = stored(measure(docs, text, keep), "measures")
+    measured = stored(measure(docs, text, keep), "measures", "zstd")  # with `keep` None it holds all texts, and lies there while later stages of a pipeline run
     votes = measured.withColumns({f"v_{r}": v for r, v in named.items()})
     model = fit(votes.where(~base_failed()), list(named))  # of what is still to be judged
     return (

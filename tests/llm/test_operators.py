@@ -205,6 +205,20 @@ def test_texts_are_opened_once_in_a_cell(monkeypatch):
     assert len(opened) == 2 * len(texts)
 
 
+def test_stored_measures_are_packed(spark, hard, monkeypatch):
+    """With all columns they hold every text, and lie there while later stages of the pipeline run."""
+    files, real = {}, quality_rules.stored
+
+    def stored(df, what, *codec):
+        out = real(df, what, *codec)
+        files[what] = out.inputFiles()
+        return out
+
+    monkeypatch.setattr(quality_rules, "stored", stored)
+    assert quality_rules.judge(hard).count() == hard.count()
+    assert files["measures"] and all(".zstd." in f for f in files["measures"])
+
+
 def test_sieve_lets_its_keys_through(spark):
     keys = spark.range(0, 3000, 3).withColumn("a", F.struct("id", F.lit("k")))
     sieve, log = ngram_join.sieve_of(keys, "a")
